@@ -1,3 +1,190 @@
-"""Registered queries."""
+"""Queries for keyword / algorithm filters and corpus counts.
+
+Documents come either from the driver's ``documents`` table as they are,
+or rendered from ``orders`` with one SQL expression that both Spark and
+the DuckDB oracle evaluate (so both sides see byte-identical text)."""
 
 from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..constants import ALGORITHMS, KEYWORDS
+from ..operators.keywords import (algorithm_filter, algorithm_regex, keyword_context,
+                                  keyword_filter, keyword_table_filter)
+from ..operators.summary import count_by_algorithm, corpus_summary
+from .queries import read, register
+
+
+# ------------------------------------------------------------ RE2 oracles
+def _re2(term: str) -> str:
+    return "".join("\\" + ch if ch in r".^$*+?()[]{}|\\" else ch for ch in term)
+
+
+def _re2_pattern(alternatives: list[str], plural: bool) -> str:
+    body = "(?:" + "|".join(_re2(a) for a in alternatives) + ")" + ("s?" if plural else "")
+    return r"(?i)(^|[^\pL\pN_-])" + body + r"($|[^\pL\pN_-])"
+
+
+def _sql_str(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _hits_sql(text: str, terms: list[tuple[str, list[str]]], plural: bool) -> str:
+    items = ", ".join(
+        f"CASE WHEN regexp_matches({text}, {_sql_str(_re2_pattern(alts, plural))}) "
+        f"THEN {_sql_str(name)} END" for name, alts in terms)
+    return f"list_sort(list_filter([{items}], lambda x: x IS NOT NULL))"
+
+
+KEYWORD_TERMS = [(kw, [kw]) for kw in KEYWORDS]
+ALGORITHM_TERMS = [(a, [a, f]) for a, f in ALGORITHMS]
+
+# ------------------------------------------------- papers rendered from orders
+# Each order becomes a short "paper".  pmod(orderkey, 13) picks the mention:
+# 0-9 one of the ten algorithms, written (by custkey mod 4) as the bare
+# abbreviation, the lower-cased full name, "(ABBR)", or only glued to
+# other words (no match); 10 "SLiC" alone, 11 a plural "DPOs", 12 a
+# citation "\cite{DPO}".
+_ALGO_CASES = "\n".join(
+    f"      WHEN {i} THEN CASE o_custkey % 4 "
+    f"WHEN 0 THEN {_sql_str('We train with ' + a + ' on the data.')} "
+    f"WHEN 1 THEN {_sql_str('we follow ' + f.lower() + ' here.')} "
+    f"WHEN 2 THEN {_sql_str('The method (' + a + ') is used.')} "
+    f"ELSE {_sql_str('Baselines x-' + a + ' and ' + a + '-LoRA only.')} END"
+    for i, (a, f) in enumerate(ALGORITHMS))
+PAPER_TEXT_SQL = f"""concat('Order ', CAST(o_orderkey AS STRING), ' of customer ',
+    CAST(o_custkey AS STRING), ' has priority ', o_orderpriority, ' and status ',
+    o_orderstatus, '.' || chr(10),
+    CASE o_orderkey % 13
+{_ALGO_CASES}
+      WHEN 10 THEN 'We compare to SLiC and to reward modeling.'
+      WHEN 11 THEN 'Several DPOs were trained with RLHF.'
+      ELSE 'As in ' || chr(92) || 'cite{{DPO}}, preference optimization helps.'
+    END)"""
+
+
+def order_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = read(spark, sf_dir, "orders")
+    return o.select(F.col("o_orderkey").alias("paper_id"), F.expr(PAPER_TEXT_SQL).alias("text"))
+
+
+_ORDER_PAPERS_SQL = f"(SELECT o_orderkey AS paper_id, {PAPER_TEXT_SQL} AS text FROM orders)"
+
+
+@register("keyword_filter", f"""
+SELECT doc_id, array_to_string(kws, '|') AS keywords FROM (
+  SELECT doc_id, {_hits_sql('text', KEYWORD_TERMS, True)} AS kws FROM documents)
+WHERE len(kws) > 0
+""")
+def q_keyword_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 83 fixed keywords over the whole ``documents`` table."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return keyword_filter(docs).select("doc_id", F.array_join("keywords", "|").alias("keywords"))
+
+
+@register("keyword_filter_papers", f"""
+SELECT paper_id, array_to_string(kws, '|') AS keywords FROM (
+  SELECT paper_id, {_hits_sql('text', KEYWORD_TERMS, True)} AS kws FROM {_ORDER_PAPERS_SQL})
+WHERE len(kws) > 0
+""")
+def q_keyword_filter_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return (keyword_filter(order_papers(spark, sf_dir))
+            .select("paper_id", F.array_join("keywords", "|").alias("keywords")))
+
+
+_ALGOS_SQL = f"""(SELECT paper_id, {_hits_sql('text', ALGORITHM_TERMS, False)} AS algos
+                 FROM {_ORDER_PAPERS_SQL})"""
+
+
+@register("algorithm_filter", f"""
+SELECT paper_id, array_to_string(algos, '|') AS algorithms FROM {_ALGOS_SQL} WHERE len(algos) > 0
+""")
+def q_algorithm_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return (algorithm_filter(order_papers(spark, sf_dir))
+            .select("paper_id", F.array_join("algorithms", "|").alias("algorithms")))
+
+
+@register("count_by_algorithm", f"""
+SELECT algorithm, count(*) AS n_papers FROM (
+  SELECT unnest(algos) AS algorithm FROM {_ALGOS_SQL}) GROUP BY algorithm
+UNION ALL
+SELECT 'Total' AS algorithm, count(*) AS n_papers FROM {_ALGOS_SQL} WHERE len(algos) > 0
+""")
+def q_count_by_algorithm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_by_algorithm(algorithm_filter(order_papers(spark, sf_dir)))
+
+
+def _context_sql() -> str:
+    # first hit of each algorithm: full match m (with its guard chars), then
+    # the 0-based start of the term inside the text
+    parts = []
+    for a, f in ALGORITHMS:
+        pat = _sql_str(r"(?i)(^|[^\pL\pN_-])(" + _re2(a) + "|" + _re2(f) + r")($|[^\pL\pN_-])")
+        parts.append(f"""SELECT paper_id, {_sql_str(a)} AS algorithm,
+            strpos(text, regexp_extract(text, {pat}, 0)) - 1
+              + length(regexp_extract(text, {pat}, 1)) AS s,
+            length(regexp_extract(text, {pat}, 2)) AS n, text
+          FROM {_ORDER_PAPERS_SQL} WHERE regexp_matches(text, {pat})""")
+    union = "\nUNION ALL\n".join(parts)
+    return f"""SELECT paper_id, algorithm,
+        replace(substring(text, greatest(s - 30, 0) + 1,
+                          least(length(text), s + n + 30) - greatest(s - 30, 0)), chr(10), ' ')
+          AS context
+      FROM ({union})"""
+
+
+@register("keyword_context", _context_sql())
+def q_keyword_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """30 characters around the first hit of each detected algorithm."""
+    papers = order_papers(spark, sf_dir)
+    terms = F.array(*[F.struct(F.lit(a).alias("algorithm"),
+                               F.lit(algorithm_regex(a, f)).alias("rx")) for a, f in ALGORITHMS])
+    hits = algorithm_filter(papers).select("paper_id", "text", F.explode("algorithms").alias("algorithm"))
+    rx = F.filter(terms, lambda t: t["algorithm"] == F.col("algorithm"))[0]["rx"]
+    return hits.select("paper_id", "algorithm", keyword_context(F.col("text"), rx).alias("context"))
+
+
+@register("corpus_summary", f"""
+SELECT count(*) AS papers_in, count_if(len(algos) > 0) AS papers_kept,
+       CAST(coalesce(sum(len(algos)), 0) AS BIGINT) AS algorithm_hits
+FROM {_ALGOS_SQL}
+""")
+def q_corpus_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.keywords import algorithm_terms, matched_terms
+    papers = order_papers(spark, sf_dir).withColumn("algos", matched_terms("text", algorithm_terms()))
+    return corpus_summary(papers, "algos")
+
+
+# ------------------------------------------- keyword table derived from data
+_BENCH_WORDS_SQL = r"""(SELECT DISTINCT w AS keyword FROM (
+    SELECT unnest(regexp_extract_all(lower(text), '[\pL\pN_-]+')) AS w FROM benchmark)
+  WHERE length(w) >= 9)"""
+
+
+def benchmark_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keyword table derived from the data: distinct words of at least nine
+    characters in the ``benchmark`` items (whose passages recur in
+    ``documents``)."""
+    b = read(spark, sf_dir, "benchmark")
+    return (b.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_-]+"), 0))
+                     .alias("keyword"))
+            .filter(F.length("keyword") >= 9).distinct())
+
+
+@register("keyword_table_filter", rf"""
+WITH runs AS (
+  SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[\pL\pN_-]+')) AS run
+  FROM documents),
+hits AS (
+  SELECT DISTINCT r.doc_id, k.keyword FROM runs r JOIN {_BENCH_WORDS_SQL} k
+    ON r.run = k.keyword OR r.run = k.keyword || 's')
+SELECT doc_id, count(*) AS n_keywords, min(keyword) AS first_keyword, max(keyword) AS last_keyword
+FROM hits GROUP BY doc_id
+""")
+def q_keyword_table_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    hits = keyword_table_filter(docs, benchmark_keywords(spark, sf_dir))
+    return (hits.groupBy("doc_id")
+            .agg(F.count(F.lit(1)).alias("n_keywords"), F.min("keyword").alias("first_keyword"),
+                 F.max("keyword").alias("last_keyword")))
