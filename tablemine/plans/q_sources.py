@@ -1,3 +1,232 @@
-"""Registered queries."""
+"""Queries for sources, paper assembly and source-level helpers."""
 
 from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import answers as A
+from ..functions import text as T
+from ..operators import assembly as S
+from .queries import read, register
+from .render import customer_paper_files
+
+# Expected per customer folder (one chunk at test scale): orders with
+# orderkey % 6 in (0,1,2,3) are inlined, % 6 = 5 stay as \input, bbl vanish.
+_ASSEMBLY_ORACLE = """
+SELECT concat('c', CAST(o_custkey AS VARCHAR), '-0') AS paper_id,
+       count_if(o_orderkey % 6 IN (0, 1, 2, 3)) AS n_inlined,
+       count_if(o_orderkey % 6 = 5) AS n_unresolved,
+       CAST(coalesce(sum(CASE WHEN o_orderkey % 6 IN (0, 1, 2, 3) THEN o_orderkey END), 0) AS BIGINT)
+         AS inlined_key_sum,
+       count_if(o_orderkey % 6 IN (0, 1, 2, 3)) AS n_macro,
+       0 AS n_preamble
+FROM orders GROUP BY o_custkey
+"""
+
+
+def _assembly_counts(df: DataFrame, text_col: str) -> DataFrame:
+    t = F.col(text_col)
+    keys = F.regexp_extract_all(t, F.lit(r"Order (\d+): "), 1)
+    return df.select(
+        "paper_id",
+        F.size(keys).cast("bigint").alias("n_inlined"),
+        F.regexp_count(t, F.lit(r"\\input\{missing")).cast("bigint").alias("n_unresolved"),
+        F.aggregate(keys, F.lit(0).cast("bigint"), lambda a, x: a + x.cast("bigint")).alias("inlined_key_sum"),
+        F.regexp_count(t, F.lit(r"by Customer \d+\.")).cast("bigint").alias("n_macro"),
+        F.regexp_count(t, F.lit(r"\\documentclass|\\newcommand")).cast("int").alias("n_preamble"))
+
+
+@register("assemble_papers", _ASSEMBLY_ORACLE)
+def q_assemble_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trace A front half: main files → includes → squeeze / percent →
+    macros → body → tidy → longest variant."""
+    files = customer_paper_files(read(spark, sf_dir, "orders"))
+    papers = S.assemble_papers(files.drop("o_custkey", "chunk"))
+    return _assembly_counts(papers, "full_paper_latex_code")
+
+
+@register("resolve_includes", """
+SELECT concat('c', CAST(o_custkey AS VARCHAR), '-0') AS paper_id,
+       count_if(o_orderkey % 6 IN (0, 1, 2, 3)) AS n_inlined,
+       count_if(o_orderkey % 6 = 5) AS n_unresolved,
+       CAST(coalesce(sum(CASE WHEN o_orderkey % 6 IN (0, 1, 2, 3) THEN o_orderkey END), 0) AS BIGINT)
+         AS inlined_key_sum,
+       0 AS n_macro,
+       2 AS n_preamble
+FROM orders GROUP BY o_custkey
+""")
+def q_resolve_includes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Includes only (main.tex of each folder), macros untouched."""
+    files = customer_paper_files(read(spark, sf_dir, "orders")).drop("o_custkey", "chunk")
+    mains = S.select_main_files(files).filter(F.col("rel_path") == "main.tex")
+    return _assembly_counts(S.resolve_includes(mains, files), "text")
+
+
+@register("select_main_files", """
+SELECT concat('c', CAST(o_custkey AS VARCHAR), '-0') AS paper_id,
+       CASE WHEN o_custkey % 5 = 0 THEN 2 ELSE 1 END AS n_main_files
+FROM orders GROUP BY o_custkey
+""")
+def q_select_main_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = customer_paper_files(read(spark, sf_dir, "orders")).drop("o_custkey", "chunk")
+    return (S.select_main_files(files).groupBy("paper_id")
+            .agg(F.count(F.lit(1)).alias("n_main_files")))
+
+
+@register("expand_macros", """
+SELECT concat('c', CAST(o_custkey AS VARCHAR), '-0') AS paper_id,
+       count_if(o_orderkey % 6 IN (0, 1, 2, 3)) AS n_macro,
+       concat('Customer ', CAST(o_custkey AS VARCHAR)) AS macro_body
+FROM orders GROUP BY o_custkey
+""")
+def q_expand_macros(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = customer_paper_files(read(spark, sf_dir, "orders")).drop("o_custkey", "chunk")
+    mains = S.select_main_files(files).filter(F.col("rel_path") == "main.tex")
+    merged = S.resolve_includes(mains, files)
+    t = S.expand_macros(F.col("text"))
+    return merged.select("paper_id",
+                         F.regexp_count(t, F.lit(r"by Customer \d+\.")).cast("bigint").alias("n_macro"),
+                         S.usable_macros(F.col("text"))[0]["body"].alias("macro_body"))
+
+
+# ------------------------------------------------------- text projections
+_BS = "chr(92)"
+_TEXT_SAMPLES_SQL = (f"concat('Title', chr(10), chr(10), chr(10), chr(10), chr(10), {_BS}, 'section{{', "
+                     f"o_orderpriority, '}}', chr(10), chr(10), 'Total ', CAST(o_orderkey AS STRING), "
+                     f"'%  ', chr(10), {_BS}, 'begin{{itemize}}', chr(10), chr(10), {_BS}, 'item ', "
+                     f"o_orderstatus, chr(10), chr(10), chr(10), {_BS}, 'end{{itemize}}')")
+
+
+@register("squeeze_blank_lines", f"""
+SELECT o_orderkey, md5(regexp_replace({_TEXT_SAMPLES_SQL.replace('STRING', 'VARCHAR')},
+       '\\n{{2,}}', chr(10) || chr(10), 'g')) AS text_md5 FROM orders
+""")
+def q_squeeze_blank_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = read(spark, sf_dir, "orders").select("o_orderkey", F.expr(_TEXT_SAMPLES_SQL).alias("t"))
+    return o.select("o_orderkey", F.md5(T.squeeze_blank_lines("t")).alias("text_md5"))
+
+
+def _duck(sql: str) -> str:
+    return sql.replace("STRING", "VARCHAR")
+
+
+@register("strip_trailing_percent", f"""
+SELECT o_orderkey, md5(regexp_replace({_duck(_TEXT_SAMPLES_SQL)}, '%[ \\t\\n\\r\\f\\v]*(\\n|$)', '\\1', 'gm'))
+  AS text_md5 FROM orders
+""")
+def q_strip_trailing_percent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = read(spark, sf_dir, "orders").select("o_orderkey", F.expr(_TEXT_SAMPLES_SQL).alias("t"))
+    return o.select("o_orderkey", F.md5(T.strip_trailing_percent("t")).alias("text_md5"))
+
+
+@register("tidy_block_blanks", f"""
+SELECT o_orderkey, md5(regexp_replace(regexp_replace(regexp_replace({_duck(_TEXT_SAMPLES_SQL)},
+  '(\\\\[^\\n]*?section[ \\t\\n\\r\\f\\v]*?\\{{[^\\n]*?\\}})\\n{{2,}}', '\\1' || chr(10), 'g'),
+  '(\\\\begin[ \\t\\n\\r\\f\\v]*?\\{{[^\\n]*?\\}})\\n{{2,}}', '\\1' || chr(10), 'g'),
+  '\\n{{2,}}(\\\\end[ \\t\\n\\r\\f\\v]*?\\{{[^\\n]*?\\}})', chr(10) || '\\1', 'g')) AS text_md5 FROM orders
+""")
+def q_tidy_block_blanks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = read(spark, sf_dir, "orders").select("o_orderkey", F.expr(_TEXT_SAMPLES_SQL).alias("t"))
+    return o.select("o_orderkey", F.md5(T.tidy_block_blanks("t")).alias("text_md5"))
+
+
+@register("document_body", """
+SELECT concat('c', CAST(o_custkey AS VARCHAR), '-0') AS paper_id, 0 AS n_preamble,
+       1 AS n_sections
+FROM orders GROUP BY o_custkey
+""")
+def q_document_body(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = customer_paper_files(read(spark, sf_dir, "orders")).drop("o_custkey", "chunk")
+    mains = S.select_main_files(files).filter(F.col("rel_path") == "main.tex")
+    body = T.document_body(F.col("content"))
+    return mains.select("paper_id",
+                        F.regexp_count(body, F.lit(r"\\documentclass|\\end\{document\}")).cast("int")
+                        .alias("n_preamble"),
+                        F.regexp_count(body, F.lit(r"\\section\{")).cast("int").alias("n_sections"))
+
+
+@register("longest_variant", """
+SELECT concat('c', CAST(o_custkey AS VARCHAR), '-0') AS paper_id,
+       count_if(o_orderkey % 6 IN (0, 1, 2, 3)) AS n_inlined
+FROM orders GROUP BY o_custkey
+""")
+def q_longest_variant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Folders with a second, shorter main file keep the long one."""
+    files = customer_paper_files(read(spark, sf_dir, "orders")).drop("o_custkey", "chunk")
+    merged = S.resolve_includes(S.select_main_files(files), files)
+    best = S.longest_variant(merged)
+    return best.select("paper_id", F.size(F.regexp_extract_all(
+        "full_paper_latex_code", F.lit(r"Order (\d+): "), 1)).cast("bigint").alias("n_inlined"))
+
+
+# ------------------------------------------------------- paths and urls
+@register("paper_id_from_path", """
+SELECT page_id, trim(regexp_extract(url, '[^/]*$', 0)) AS paper_id FROM pages
+""")
+def q_paper_id_from_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = read(spark, sf_dir, "pages")
+    return p.select("page_id", T.paper_id_from_path("url").alias("paper_id"))
+
+
+_URL_SQL = "CASE WHEN page_id % 3 = 0 THEN concat(url, '/paper.pdf') ELSE url END"
+
+
+@register("stable_filename", f"""
+SELECT page_id, CASE WHEN regexp_extract(u, '[^/]*$', 0) LIKE '%.pdf' THEN regexp_extract(u, '[^/]*$', 0)
+                     ELSE concat(substring(md5(u), 1, 10), '.pdf') END AS filename
+FROM (SELECT page_id, {_URL_SQL} AS u FROM pages)
+""")
+def q_stable_filename(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = read(spark, sf_dir, "pages").select("page_id", F.expr(_URL_SQL).alias("u"))
+    return p.select("page_id", A.stable_filename("u").alias("filename"))
+
+
+_API_SQL = {
+    "arxiv": "CASE WHEN page_id % 4 = 0 THEN concat('24', lpad(CAST(page_id % 100 AS STRING), 2, '0'), '.', lpad(CAST(page_id AS STRING), 5, '0')) END",
+    "acl": "CASE WHEN page_id % 4 IN (0, 1) THEN concat('2024.acl-long.', CAST(page_id AS STRING)) END",
+}
+
+
+@register("paper_url_derive", """
+SELECT page_id, CASE WHEN page_id % 4 = 0
+  THEN concat('https://arxiv.org/pdf/24', lpad(CAST(page_id % 100 AS VARCHAR), 2, '0'), '.',
+              lpad(CAST(page_id AS VARCHAR), 5, '0'), '.pdf')
+  ELSE concat('https://aclanthology.org/2024.acl-long.', CAST(page_id AS VARCHAR), '.pdf') END AS pdf_url
+FROM pages WHERE page_id % 4 IN (0, 1)
+""")
+def q_paper_url_derive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """API rows carry an externalIds map (ArXiv / ACL / nothing)."""
+    from ..sources.api import paper_url_derive
+    p = read(spark, sf_dir, "pages").select(
+        "page_id", *[F.expr(e).alias(k) for k, e in _API_SQL.items()])
+    ids = F.map_filter(F.map_from_arrays(F.array(F.lit("ArXiv"), F.lit("ACL")),
+                                         F.array("arxiv", "acl")), lambda k, v: v.isNotNull())
+    api = p.select("page_id", ids.alias("externalIds"))
+    return paper_url_derive(api).select("page_id", "pdf_url")
+
+
+@register("arxiv_id_parse", """
+SELECT page_id, substring(regexp_extract(concat('http://arxiv.org/abs/', CAST(2300 + page_id % 200 AS VARCHAR),
+       '.', lpad(CAST(page_id AS VARCHAR), 5, '0'), 'v', CAST(page_id % 3 + 1 AS VARCHAR)), '[^/]*$', 0), 1, 10)
+  AS arxiv_id FROM pages
+""")
+def q_arxiv_id_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = read(spark, sf_dir, "pages")
+    url = F.concat(F.lit("http://arxiv.org/abs/"), (F.lit(2300) + F.col("page_id") % 200).cast("string"),
+                   F.lit("."), F.lpad(F.col("page_id").cast("string"), 5, "0"), F.lit("v"),
+                   (F.col("page_id") % 3 + 1).cast("string"))
+    return p.select("page_id", A.arxiv_id_from_url(url).alias("arxiv_id"))
+
+
+@register("source_path_route", """
+SELECT o_orderkey, CASE substring(pid, 1, 2) WHEN '23' THEN 'arxiv_src_2023'
+                        WHEN '24' THEN 'arxiv_src_2024' END AS year_folder
+FROM (SELECT o_orderkey, concat(CAST(22 + o_orderkey % 4 AS VARCHAR), '01.', CAST(o_orderkey AS VARCHAR)) AS pid
+      FROM orders)
+""")
+def q_source_path_route(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = read(spark, sf_dir, "orders")
+    pid = F.concat((F.lit(22) + F.col("o_orderkey") % 4).cast("string"), F.lit("01."),
+                   F.col("o_orderkey").cast("string"))
+    return o.select("o_orderkey", A.year_folder(pid).alias("year_folder"))

@@ -26,8 +26,15 @@ def register(name: str, oracle: str | None = None):
     return deco
 
 
+TEXT_TABLES = {"documents", "pages", "conversations", "benchmark"}
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
+    if table in TEXT_TABLES:
+        from ..session import ensure_parallelism
+        df = ensure_parallelism(df)
+    return df
 
 
 # Importing the query modules fills the registry.

@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import text_partitions
+
 MAX_TABLE_ROWS = 256
 NOISE_KINDS = 8
 
@@ -29,7 +31,7 @@ def bounded_chunks(df: DataFrame, key: str, row_key: list[str],
     return (df.join(counts, key)
             .withColumn("chunk", F.pmod(F.xxhash64(*row_key), n_chunks).cast("int"))
             .drop("_group_rows")
-            .repartition(key, "chunk"))
+            .repartition(text_partitions(df.sparkSession), key, "chunk"))
 
 
 def _ordered_join(rows_col: str, field: str, sep: str = "\n") -> Column:
@@ -85,3 +87,50 @@ def lineitem_papers(lineitem: DataFrame, noise: bool = True,
         table, after, F.lit("\n\n\\end{document}\n"))
     return grouped.select("l_orderkey", "chunk", F.concat(F.lit("o"), key_txt).alias("paper_id"),
                           paper.alias("full_paper_latex_code"))
+
+
+def customer_paper_files(orders: DataFrame, max_rows: int = MAX_TABLE_ROWS) -> DataFrame:
+    """RT-FILES / RT-MACRO: a source folder per (customer, chunk).
+
+    Files: ``main.tex`` (preamble with ``\\newcommand{\\cust}{Customer <c>}``,
+    one ``\\input`` per order), one file per order, ``notes.tex`` without a
+    document, and for custkey % 5 = 0 a shorter second main file
+    ``alt.tex``.  By orderkey % 6 the input target is: 0 ``o<k>``, 1
+    ``o<k>.tex``, 2 ``sec/o<k>`` (file in a sub-folder), 3 ``other/o<k>``
+    (only the base name exists), 4 ``o<k>.bbl`` (removed), 5 ``missing<k>``
+    (no file, command stays).  Output: paper_id, o_custkey, chunk,
+    rel_path, content.
+    """
+    o = orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
+    o = bounded_chunks(o, "o_custkey", ["o_orderkey"], max_rows)
+    k = F.col("o_orderkey").cast("string")
+    m = F.col("o_orderkey") % 6
+    target = (F.when(m == 0, F.concat(F.lit("o"), k)).when(m == 1, F.concat(F.lit("o"), k, F.lit(".tex")))
+               .when(m == 2, F.concat(F.lit("sec/o"), k)).when(m == 3, F.concat(F.lit("other/o"), k))
+               .when(m == 4, F.concat(F.lit("o"), k, F.lit(".bbl")))
+               .otherwise(F.concat(F.lit("missing"), k)))
+    file_path = F.when(m == 2, F.concat(F.lit("sec/o"), k, F.lit(".tex"))).when(
+        m.isin(0, 1, 3), F.concat(F.lit("o"), k, F.lit(".tex")))
+    paper_id = F.concat(F.lit("c"), F.col("o_custkey").cast("string"), F.lit("-"),
+                        F.col("chunk").cast("string"))
+    o = o.withColumn("paper_id", paper_id)
+    order_files = o.filter(file_path.isNotNull()).select(
+        "paper_id", "o_custkey", "chunk", file_path.alias("rel_path"),
+        F.concat(F.lit("Order "), k, F.lit(": "), F.col("o_orderstatus"), F.lit(" "),
+                 F.col("o_orderpriority"), F.lit(" by \\cust{}.\n")).alias("content"))
+    mains = (o.groupBy("paper_id", "o_custkey", "chunk")
+             .agg(F.array_sort(F.collect_list(F.struct("o_orderkey", target.alias("t")))).alias("inc")))
+    cust = F.col("o_custkey").cast("string")
+    main_text = F.concat(
+        F.lit("\\documentclass{article}\n\\newcommand{\\cust}{Customer "), cust,
+        F.lit("}\n\\begin{document}\n\\section{Orders}\n\n\n"),
+        F.array_join(F.transform("inc", lambda r: F.concat(F.lit("\\input{"), r["t"], F.lit("}"))), "\n"),
+        F.lit("\n\n\\end{document}\n"))
+    main = mains.select("paper_id", "o_custkey", "chunk", F.lit("main.tex").alias("rel_path"),
+                        main_text.alias("content"))
+    notes = mains.select("paper_id", "o_custkey", "chunk", F.lit("notes.tex").alias("rel_path"),
+                         F.lit("% notes, no document here\n").alias("content"))
+    alt = mains.filter(F.col("o_custkey") % 5 == 0).select(
+        "paper_id", "o_custkey", "chunk", F.lit("alt.tex").alias("rel_path"),
+        F.lit("\\begin{document}\nshort\n\\end{document}\n").alias("content"))
+    return main.unionByName(order_files).unionByName(notes).unionByName(alt)

@@ -67,3 +67,25 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     path = tempfile.mkdtemp(prefix="tablemine-ckpt-")
     sc.setCheckpointDir(path)
     return sc.getCheckpointDir() or os.path.abspath(path)
+
+
+def ensure_parallelism(df, factor: int = 2):
+    """Spread a CPU-heavy text stage over the cluster's cores.
+
+    Text operators (regexes, higher-order functions) cost CPU per row, not
+    bytes; a source with fewer partitions than cores (one big file, one row
+    group, or AQE coalescing a small shuffle) would run them in a handful of
+    tasks.  Only then is a round-robin repartition added; an input that is
+    already wide is left untouched (no extra shuffle at scale).
+    """
+    target = df.sparkSession.sparkContext.defaultParallelism * factor
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target)
+
+
+def text_partitions(spark, factor: int = 2) -> int:
+    """Explicit partition count for shuffles that feed text operators (AQE
+    does not coalesce a repartition with an explicit count)."""
+    return max(spark.sparkContext.defaultParallelism * factor,
+               int(spark.conf.get("spark.sql.shuffle.partitions")))
