@@ -1,3 +1,166 @@
-"""Registered queries."""
+"""Queries for entity work: descriptions (model stub), BibTeX look-up,
+title matching, dataset-name canonicalisation."""
 
 from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators.bib import bib_title_lookup, title_match
+from ..operators.describe import describe_distinct, fill_failed_descriptions
+from ..operators.model import apply_model, describer_stub, source_describer_stub
+from .queries import read, register
+from .render import bounded_chunks
+
+# ------------------------------------------------------------ RT-DESC
+_DESC_ROWS = {
+    "dataset": "o_orderpriority",
+    "subset": "CASE o_orderstatus WHEN 'P' THEN 'xx' ELSE o_orderstatus END",
+    "paper_id": "lpad(CAST(o_orderkey AS STRING), 8, '0')",
+    "dataset_link": "CASE WHEN o_orderkey % 10 = 0 THEN concat('c', CAST(o_custkey AS STRING)) ELSE '' END",
+}
+
+
+def desc_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = read(spark, sf_dir, "orders")
+    return o.select("o_orderkey", *[F.expr(e).alias(k) for k, e in _DESC_ROWS.items()])
+
+
+_STUB_DESC_SQL = """CASE substring(o_orderpriority, 1, 1)
+  WHEN '1' THEN '<FAILED>'
+  WHEN '2' THEN concat('Dataset Summary: ', o_orderpriority, '.', chr(10), 'Task Explanation: rank ',
+                       CASE o_orderstatus WHEN 'P' THEN 'xx' ELSE o_orderstatus END, '.')
+  WHEN '3' THEN concat('Dataset Summary: ', o_orderpriority, '.', chr(10), 'Task Explanation: sort.',
+                       chr(10), 'Subset Description: ',
+                       CASE o_orderstatus WHEN 'P' THEN 'xx' ELSE o_orderstatus END, '.')
+  WHEN '4' THEN '<FAILED>'
+  ELSE concat('Dataset Summary: ', o_orderpriority, ' only.') END"""
+
+
+@register("describe_distinct", f"""
+SELECT o_orderkey, {_STUB_DESC_SQL} AS dataset_description,
+       CASE WHEN contains({_STUB_DESC_SQL}, '<FAILED>') THEN '<FAILED>' ELSE 'GPT4o' END
+         AS description_source
+FROM orders
+""")
+def q_describe_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One model call per distinct (priority, status-or-xx) key, joined
+    back to all orders."""
+    d = describe_distinct(desc_rows(spark, sf_dir), describer_stub)
+    return d.select("o_orderkey", "dataset_description", "description_source")
+
+
+@register("fill_failed_descriptions", f"""
+WITH d AS (
+  SELECT o_orderkey, o_custkey, o_orderpriority, o_orderstatus,
+         {_STUB_DESC_SQL} AS dataset_description,
+         CASE WHEN contains({_STUB_DESC_SQL}, '<FAILED>') THEN '<FAILED>' ELSE 'GPT4o' END AS src,
+         max(o_orderkey) OVER (PARTITION BY o_orderpriority,
+                               CASE o_orderstatus WHEN 'P' THEN 'xx' ELSE o_orderstatus END) AS win
+  FROM orders),
+w AS (SELECT o_orderkey AS win, o_custkey AS win_cust FROM orders)
+SELECT o_orderkey,
+  CASE WHEN dataset_description <> '<FAILED>' THEN dataset_description
+       WHEN win % 10 = 0 THEN '<FAILED>'
+       ELSE concat('Dataset Summary: from ', lpad(CAST(win AS VARCHAR), 8, '0'), '.', chr(10),
+                   'Task Explanation: read.') END AS dataset_description,
+  CASE WHEN dataset_description <> '<FAILED>' THEN src
+       WHEN win % 10 = 0 THEN concat('c', CAST(win_cust AS VARCHAR))
+       ELSE lpad(CAST(win AS VARCHAR), 8, '0') END AS description_source
+FROM d JOIN w USING (win)
+""")
+def q_fill_failed_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Failed keys re-described from source text: the cited paper if
+    linked (none of those texts exist here → <FAILED>), else the row's own
+    paper (rendered from orders)."""
+    from .q_filters import PAPER_TEXT_SQL
+    rows = describe_distinct(desc_rows(spark, sf_dir), describer_stub)
+    texts = read(spark, sf_dir, "orders").select(
+        F.lpad(F.col("o_orderkey").cast("string"), 8, "0").alias("paper_id"),
+        F.expr(PAPER_TEXT_SQL).alias("text"))
+    out = fill_failed_descriptions(rows, texts, source_describer_stub)
+    return out.select("o_orderkey", "dataset_description", "description_source")
+
+
+@register("apply_model", """
+SELECT conv_id, turn, CASE WHEN substring(role, 1, 1) IN ('1', '2', '3', '4')
+  THEN NULL ELSE concat('Dataset Summary: ', role, ' only.') END AS answer
+FROM conversations
+""")
+def q_apply_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The model step itself (Arrow batches through ``mapInPandas``)."""
+    c = read(spark, sf_dir, "conversations").select(
+        "conv_id", "turn", F.concat(F.lit("Dataset: "), F.col("role"), F.lit("\nSubset: "),
+                                    F.col("turn").cast("string"), F.lit("\n")).alias("prompt"))
+    return apply_model(c, "prompt", describer_stub).select("conv_id", "turn", "answer")
+
+
+# ------------------------------------------------------------ RT-BIB
+def _tag(partkey: F.Column) -> F.Column:
+    return F.concat(F.lit("ref"), F.lpad(partkey.cast("string"), 6, "0"))
+
+
+def supplier_bib_files(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """One ``refs.bib`` per (supplier, chunk) with an entry per supplied
+    part: a comment line, ``booktitle`` before ``title``; parts with
+    partkey % 9 = 0 are entered twice, % 10 = 7 not at all.  Returns
+    (bib files, citations)."""
+    li = read(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey").distinct()
+    part = read(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type")
+    pairs = bounded_chunks(li, "l_suppkey", ["l_partkey"])
+    pairs = pairs.withColumn("paper_id", F.concat(F.lit("s"), F.col("l_suppkey").cast("string"),
+                                                  F.lit("-"), F.col("chunk").cast("string")))
+    entry = F.concat(
+        F.lit("% part "), F.col("l_partkey").cast("string"), F.lit("\n@article{"), _tag(F.col("l_partkey")),
+        F.lit(",\n  booktitle = {Proceedings of S"), F.col("l_suppkey").cast("string"),
+        F.lit("},\n  title = {"), F.col("p_name"), F.lit(" "), F.col("p_type"),
+        F.lit("},\n  year = {2024}\n}\n"))
+    entry = F.when(F.col("l_partkey") % 10 == 7, F.lit("")).when(
+        F.col("l_partkey") % 9 == 0, F.concat(entry, entry)).otherwise(entry)
+    with_part = pairs.join(part, pairs.l_partkey == part.p_partkey)
+    files = (with_part.groupBy("paper_id")
+             .agg(F.array_sort(F.collect_list(F.struct("l_partkey", entry.alias("e")))).alias("es"))
+             .select("paper_id", F.lit("refs.bib").alias("rel_path"),
+                     F.array_join(F.transform("es", lambda x: x["e"]), "").alias("content")))
+    cites = pairs.select("paper_id", "l_suppkey", "l_partkey",
+                         _tag(F.col("l_partkey")).alias("dataset_citation_tag"))
+    return files, cites
+
+
+@register("bib_title_lookup", """
+SELECT DISTINCT l_suppkey, l_partkey,
+  CASE WHEN l_partkey % 9 = 0 OR l_partkey % 10 = 7 THEN NULL ELSE concat(p_name, ' ', p_type) END AS title
+FROM lineitem JOIN part ON l_partkey = p_partkey
+""")
+def q_bib_title_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files, cites = supplier_bib_files(spark, sf_dir)
+    found = bib_title_lookup(files, cites)
+    return (cites.join(found.withColumnRenamed("tag", "dataset_citation_tag"),
+                       ["paper_id", "dataset_citation_tag"], "left")
+            .select("l_suppkey", "l_partkey", "title"))
+
+
+# ------------------------------------------------------------ RT-TITLE
+_CAND_TITLE_SQL = ("CASE p_partkey % 3 WHEN 0 THEN concat(p_name, ' ', p_type) WHEN 1 THEN p_name "
+                   "ELSE concat(p_name, ' ', p_type, ' ', p_type) END")
+_CAND_URL_SQL = "concat('http://arxiv.org/abs/2401.', lpad(CAST(p_partkey AS STRING), 5, '0'), 'v1')"
+
+
+@register("title_match", f"""
+WITH c AS (SELECT {_CAND_URL_SQL.replace('STRING', 'VARCHAR')} AS url,
+                  list_sort(regexp_extract_all(lower({_CAND_TITLE_SQL}), '\\b\\w\\w+\\b')) AS toks
+           FROM part),
+w AS (SELECT p_partkey, list_sort(regexp_extract_all(lower(concat(p_name, ' ', p_type)),
+                                                      '\\b\\w\\w+\\b')) AS toks FROM part)
+SELECT w.p_partkey, substring(regexp_extract(min(c.url), '[^/]*$', 0), 1, 10) AS arxiv_id, 1.0 AS f1
+FROM w JOIN c ON w.toks = c.toks GROUP BY w.p_partkey
+""")
+def q_title_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wanted: upper-cased, braced part titles; candidates: every part as a
+    paper, with a word dropped (partkey % 3 = 1) or doubled (% 3 = 2)."""
+    p = read(spark, sf_dir, "part")
+    wanted = p.select("p_partkey", F.concat(F.lit("{"), F.upper("p_name"), F.lit("} "),
+                                            F.col("p_type")).alias("title"))
+    cands = p.select(F.expr(_CAND_URL_SQL).alias("arxiv_url"), F.expr(_CAND_TITLE_SQL).alias("title"))
+    m = title_match(wanted, cands)
+    return m.filter(F.col("arxiv_id").isNotNull()).select("p_partkey", "arxiv_id", "f1")
