@@ -164,3 +164,100 @@ def q_title_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     cands = p.select(F.expr(_CAND_URL_SQL).alias("arxiv_url"), F.expr(_CAND_TITLE_SQL).alias("title"))
     m = title_match(wanted, cands)
     return m.filter(F.col("arxiv_id").isNotNull()).select("p_partkey", "arxiv_id", "f1")
+
+
+# ------------------------------------------------------------ RT-NAMES
+def name_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct part names, each as is, upper-cased, hyphenated and with an
+    explicit abbreviation "(NAMEWITHOUTSPACES)"; the same four with version
+    "-2"; and per part type a "(Easy)" / "(Hard)" pair."""
+    p = read(spark, sf_dir, "part")
+    n = p.select("p_name").distinct()
+    ab = F.concat(F.lit(" ("), F.upper(F.regexp_replace("p_name", " ", "")), F.lit(")"))
+    base = F.array(F.col("p_name"), F.upper("p_name"), F.regexp_replace("p_name", " ", "-"),
+                   F.concat(F.col("p_name"), ab))
+    v2 = F.array(F.concat(F.col("p_name"), F.lit("-2")), F.concat(F.upper("p_name"), F.lit("-2")),
+                 F.concat(F.regexp_replace("p_name", " ", "-"), F.lit("-2")),
+                 F.concat(F.col("p_name"), F.lit("-2"), ab))
+    names = n.select(F.explode(F.concat(base, v2)).alias("name"))
+    t = p.select("p_type").distinct()
+    diff = t.select(F.explode(F.array(F.concat(F.col("p_type"), F.lit(" Bench (Easy)")),
+                                      F.concat(F.col("p_type"), F.lit(" Bench (Hard)")))).alias("name"))
+    return names.unionByName(diff)
+
+
+_NAMES_SQL = """(
+  SELECT p_name, v AS name, i, ver FROM (SELECT DISTINCT p_name FROM part),
+  LATERAL (SELECT unnest([p_name, upper(p_name), replace(p_name, ' ', '-'),
+                          concat(p_name, ' (', upper(replace(p_name, ' ', '')), ')')]) AS v,
+                  unnest([1, 2, 3, 4]) AS i, '' AS ver
+           UNION ALL
+           SELECT unnest([concat(p_name, '-2'), concat(upper(p_name), '-2'),
+                          concat(replace(p_name, ' ', '-'), '-2'),
+                          concat(p_name, '-2 (', upper(replace(p_name, ' ', '')), ')')]),
+                  unnest([1, 2, 3, 4]), '-2'))"""
+
+
+@register("canonicalize_names", f"""
+SELECT name, CASE WHEN ver = '' THEN concat(p_name, ' (', upper(replace(p_name, ' ', '')), ')')
+                  ELSE concat(p_name, '-2 (', upper(replace(p_name, ' ', '')), ')') END AS canonical_name
+FROM {_NAMES_SQL}
+UNION ALL
+SELECT DISTINCT concat(p_type, ' Bench (Easy)'), concat(p_type, ' Bench (Easy)') FROM part
+UNION ALL
+SELECT DISTINCT concat(p_type, ' Bench (Hard)'), concat(p_type, ' Bench (Hard)') FROM part
+""")
+def q_canonicalize_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.names import canonicalize_names
+    return canonicalize_names(name_variants(spark, sf_dir))
+
+
+@register("same_dataset_pairs", f"""
+SELECT least(a.name, b.name) AS name_a, greatest(a.name, b.name) AS name_b
+FROM {_NAMES_SQL} a JOIN {_NAMES_SQL} b ON a.p_name = b.p_name AND a.ver = b.ver AND a.i < b.i
+""")
+def q_same_dataset_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.names import same_dataset_pairs
+    return same_dataset_pairs(name_variants(spark, sf_dir))
+
+
+@register("name_identifiers", r"""
+SELECT name, trim(CASE WHEN regexp_matches(name, '[-+](?:Pro|Redux|\d+\.*\d*[vV]\d+|\d+\.*\d*)')
+                        THEN regexp_replace(regexp_replace(name, '\([^)]*\)', '', 'g'),
+                                            '[-+](?:Pro|Redux|\d+\.*\d*[vV]\d+|\d+\.*\d*)', '', 'g')
+                        ELSE regexp_replace(name, '\([^)]*\)', '', 'g') END) AS core,
+       regexp_extract(name, '\(([^)]*(?:Easy|Medium|Hard|Complex)[^)]*)\)', 1) AS difficulty,
+       regexp_extract(name, '[-+](?:Pro|Redux|\d+\.*\d*[vV]\d+|\d+\.*\d*)', 0) AS version,
+       CASE WHEN regexp_matches(name, '\(([A-Z][A-Z0-9-]*)\)')
+            THEN regexp_extract(name, '\(([A-Z][A-Z0-9-]*)\)', 1) ELSE '' END AS abbrev,
+       regexp_matches(name, '\(([A-Z][A-Z0-9-]*)\)') AS explicit
+FROM (SELECT name FROM """ + _NAMES_SQL + """ UNION ALL
+      SELECT concat(p_type, ' Bench (Easy)') FROM part UNION ALL
+      SELECT concat(p_type, ' Bench (Hard)') FROM part)
+GROUP BY name
+""")
+def q_name_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.names import name_abbreviation, name_identifiers
+    n = name_variants(spark, sf_dir).distinct()
+    i, a = name_identifiers("name"), name_abbreviation("name")
+    return n.select("name", i["core"].alias("core"), i["difficulty"].alias("difficulty"),
+                    i["version"].alias("version"), a["abbrev"].alias("abbrev"),
+                    a["explicit"].alias("explicit"))
+
+
+@register("apply_canonical_names", """
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
+       concat(p_name, ' (', upper(replace(p_name, ' ', '')), ')') AS dataset_name
+FROM lineitem JOIN part ON l_partkey = p_partkey
+""")
+def q_apply_canonical_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items carry their part name (padded with spaces, which the look-up
+    trims) as the dataset; names are canonicalised once and joined back."""
+    from ..operators.names import apply_canonical_names, canonicalize_names
+    li = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    part = read(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit(" "), F.col("p_name"))
+                                              .alias("dataset"))
+    recs = li.join(part, li.l_partkey == part.p_partkey).drop("p_partkey")
+    canon = canonicalize_names(name_variants(spark, sf_dir))
+    return apply_canonical_names(recs, canon).select("l_orderkey", "l_linenumber", "l_partkey",
+                                                     "l_suppkey", "dataset_name")
