@@ -38,4 +38,4 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 # Importing the query modules fills the registry.
-from . import q_tables, q_filters, q_answers, q_entities, q_sources  # noqa: E402,F401
+from . import q_tables, q_filters, q_answers, q_entities, q_sources, q_structure  # noqa: E402,F401

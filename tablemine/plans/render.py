@@ -134,3 +134,29 @@ def customer_paper_files(orders: DataFrame, max_rows: int = MAX_TABLE_ROWS) -> D
         "paper_id", "o_custkey", "chunk", F.lit("alt.tex").alias("rel_path"),
         F.lit("\\begin{document}\nshort\n\\end{document}\n").alias("content"))
     return main.unionByName(order_files).unionByName(notes).unionByName(alt)
+
+
+def sql_template(template: str, duck: bool = False) -> str:
+    """A LaTeX template as one SQL ``concat`` expression that Spark SQL and
+    DuckDB evaluate to the same text: backslashes and newlines become
+    ``chr(92)`` / ``chr(10)`` (Spark SQL literals would eat the backslash),
+    and ``{{col}}`` inserts a column or SQL expression cast to text."""
+    import re as _re
+    cast_to = "VARCHAR" if duck else "STRING"
+    parts: list[str] = []
+    for piece in _re.split(r"(\{\{.*?\}\})", template):
+        if piece.startswith("{{") and piece.endswith("}}"):
+            parts.append(f"CAST(({piece[2:-2]}) AS {cast_to})")
+            continue
+        buf = ""
+        for ch in piece:
+            if ch in "\\\n'":
+                if buf:
+                    parts.append("'" + buf + "'")
+                    buf = ""
+                parts.append({"\\": "chr(92)", "\n": "chr(10)", "'": "chr(39)"}[ch])
+            else:
+                buf += ch
+        if buf:
+            parts.append("'" + buf + "'")
+    return "concat(" + ", ".join(parts) + ")" if parts else "''"
