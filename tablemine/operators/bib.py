@@ -99,7 +99,9 @@ def macro_f1(a: Column, b: Column) -> Column:
         n = F.size(F.filter(pairs, lambda p: p["x"] == c)) + F.size(F.filter(pairs, lambda p: p["y"] == c))
         return F.when(n > 0, 2.0 * tp / n).otherwise(F.lit(0.0))
     scores = F.transform(classes, f1)
-    return F.aggregate(scores, F.lit(0.0), lambda s, x: s + x) / F.size(classes)
+    # no tokens at all (empty vocabulary): no score, so never a match
+    return F.when(F.size(classes) > 0,
+                  F.aggregate(scores, F.lit(0.0), lambda s, x: s + x) / F.size(classes))
 
 
 def _prepare(df: DataFrame, title: Column, prefix: str) -> DataFrame:

@@ -230,3 +230,52 @@ def q_source_path_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     pid = F.concat((F.lit(22) + F.col("o_orderkey") % 4).cast("string"), F.lit("01."),
                    F.col("o_orderkey").cast("string"))
     return o.select("o_orderkey", A.year_folder(pid).alias("year_folder"))
+
+
+# ------------------------------------------------------- sources and sinks
+@register("shard_split", "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey % 5 = 2")
+def q_shard_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..sources.datasets import shard_split
+    o = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    return shard_split(o, 5, 2, "o_orderkey", by="pmod")
+
+
+@register("incremental_manifest", "SELECT page_id FROM pages WHERE page_id % 3 <> 0")
+def q_incremental_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages whose download target is not in the manifest (every third page
+    is already done)."""
+    from ..sources.datasets import incremental_manifest
+    p = read(spark, sf_dir, "pages").select("page_id", A.stable_filename("url").alias("target"))
+    done = p.filter(F.col("page_id") % 3 == 0).select("target")
+    return incremental_manifest(p, done, ["target"]).select("page_id")
+
+
+@register("json_column_codec", """
+SELECT l_orderkey, count(*) AS n_items, true AS round_trip
+FROM lineitem GROUP BY l_orderkey
+""")
+def q_json_column_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """tables list ↔ JSON string at the table edge: encode, decode, compare."""
+    from ..operators.blocks import extract_table_blocks
+    from ..sources.datasets import from_json_column, to_json_column
+    from .render import lineitem_papers
+    p = extract_table_blocks(lineitem_papers(read(spark, sf_dir, "lineitem")))
+    tables = F.transform("tables", lambda t: F.struct(t.alias("latex"), F.lit(None).cast("string").alias("label")))
+    enc = p.select("l_orderkey", tables.alias("t"), to_json_column(tables).alias("tables_list"))
+    dec = from_json_column("tables_list", "array<struct<latex:string,label:string>>")
+    items = F.regexp_count(F.col("t")[0]["latex"], F.lit(r"\n\d+ & \d+ & "))
+    return (enc.select("l_orderkey", items.alias("n"), (dec == F.col("t")).alias("ok"))
+            .groupBy("l_orderkey").agg(F.sum("n").cast("bigint").alias("n_items"),
+                                       F.bool_and("ok").alias("round_trip")))
+
+
+@register("read_shards", "SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY o_orderstatus")
+def q_read_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write orders as shard_* folders into the session's checkpoint folder
+    (shared storage on a cluster) and read them back as one table."""
+    import uuid
+    from ..session import ensure_checkpoint_dir
+    from ..sources.datasets import read_shards, write_shards
+    base = ensure_checkpoint_dir(spark).rstrip("/") + f"/shards-{uuid.uuid4().hex}"
+    write_shards(read(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), base, 3, "o_orderkey")
+    return read_shards(spark, base).groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
