@@ -261,3 +261,25 @@ def q_apply_canonical_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     canon = canonicalize_names(name_variants(spark, sf_dir))
     return apply_canonical_names(recs, canon).select("l_orderkey", "l_linenumber", "l_partkey",
                                                      "l_suppkey", "dataset_name")
+
+
+# ------------------------------------------------------------ traces B + C
+@register("leaderboard_table")
+def q_leaderboard_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """End to end over the rendered order papers: relevant tables (rule:
+    has numeric cells) → record extraction (stub model) → records →
+    metric rules → name canonicalisation → descriptions (stub models) →
+    dedupe and quality filters → the 13-column table.  Rows-only check:
+    each stage has its own oracle above."""
+    from ..operators.blocks import extract_table_blocks
+    from ..operators.model import table_extractor_stub
+    from . import traces
+    from .render import lineitem_papers
+    papers = extract_table_blocks(lineitem_papers(read(spark, sf_dir, "lineitem"), noise=False))
+    papers = papers.select("paper_id", F.transform("tables", lambda t: F.struct(
+        t.alias("latex"), F.lit(None).cast("string").alias("label"))).alias("tables"),
+        "full_paper_latex_code")
+    tables = traces.relevant_tables(papers)
+    extracted = traces.extract_table_records(tables, table_extractor_stub)
+    recs = traces.valid_records(traces.augment_records(extracted, papers))
+    return traces.final_table(recs, describer_stub, source_describer_stub, papers)
