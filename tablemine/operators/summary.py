@@ -33,3 +33,20 @@ def failure_counts(df: DataFrame, answer_col: str, failed: str = "<FAILED>") ->
     """failed m of n at row grain."""
     return df.agg(F.count(F.lit(1)).alias("n_total"),
                   F.count_if(F.contains(F.col(answer_col), F.lit(failed))).alias("n_failed"))
+
+
+def distinct_papers(df: DataFrame, paper_col: str = "paper_id") -> DataFrame:
+    """Unique paper count (e.g. after the table filter)."""
+    return df.agg(F.count_distinct(paper_col).alias("n_papers"))
+
+
+def name_counts(before: DataFrame, after: DataFrame, before_col: str = "dataset",
+                after_col: str = "dataset_name") -> DataFrame:
+    """Unique names before and after canonicalisation."""
+    b = before.agg(F.count_distinct(before_col).alias("n_names_before"))
+    a = after.agg(F.count_distinct(after_col).alias("n_names_after"))
+    return b.crossJoin(a)  # two one-row aggregates
+
+
+def distinct_keys(df: DataFrame, cols: list[str]) -> DataFrame:
+    return df.select(*cols).dropDuplicates()

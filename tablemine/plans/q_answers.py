@@ -364,3 +364,43 @@ def q_yes_no_unclear(spark: SparkSession, sf_dir: str) -> DataFrame:
     lab = read(spark, sf_dir, "labels").select("doc_id", F.expr(_YNU_SQL).alias("answer"))
     r = A.yes_no_unclear("answer")
     return lab.select("doc_id", r["label"].alias("label"), r["justification"].alias("justification"))
+
+
+@register("complete_rows", f"""
+SELECT {_FINAL_KEYS} FROM (SELECT {_FINAL_KEYS}, {_FINAL_SELECT} FROM lineitem)
+WHERE dataset_name IS NOT NULL AND model_name IS NOT NULL AND metric IS NOT NULL
+""")
+def q_complete_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.complete_rows(final_records(spark, sf_dir)).select(*_FINAL_KEYS.split(", "))
+
+
+@register("distinct_keys", f"""
+SELECT DISTINCT dataset_name, subset FROM (SELECT {_FINAL_SELECT} FROM lineitem)
+""")
+def q_distinct_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.summary import distinct_keys
+    return distinct_keys(final_records(spark, sf_dir), ["dataset_name", "subset"])
+
+
+@register("distinct_papers", f"""
+SELECT count(DISTINCT paper_id) AS n_papers
+FROM (SELECT {_FINAL_SELECT} FROM lineitem) WHERE NOT contains(coalesce(dataset_description, ''), '<FAILED>')
+""")
+def q_distinct_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.summary import distinct_papers
+    r = final_records(spark, sf_dir)
+    return distinct_papers(r.filter(~F.contains(F.coalesce("dataset_description", F.lit("")),
+                                                F.lit("<FAILED>"))))
+
+
+@register("sorted_inputs", """
+SELECT o_orderkey, array_to_string(list_sort(list_distinct([o_orderpriority, o_orderstatus,
+       CAST(o_custkey % 7 AS VARCHAR)])), '|') AS sorted_terms
+FROM orders
+""")
+def q_sorted_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detected terms are reported sorted (``sort_array``)."""
+    o = read(spark, sf_dir, "orders")
+    terms = F.array_sort(F.array_distinct(F.array("o_orderpriority", "o_orderstatus",
+                                                  (F.col("o_custkey") % 7).cast("string"))))
+    return o.select("o_orderkey", F.array_join(terms, "|").alias("sorted_terms"))

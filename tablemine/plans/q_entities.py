@@ -283,3 +283,50 @@ def q_leaderboard_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     extracted = traces.extract_table_records(tables, table_extractor_stub)
     recs = traces.valid_records(traces.augment_records(extracted, papers))
     return traces.final_table(recs, describer_stub, source_describer_stub, papers)
+
+
+@register("name_counts", """
+SELECT (SELECT count(DISTINCT p_name) FROM part) * 8 + (SELECT count(DISTINCT p_type) FROM part) * 2
+         AS n_names_before,
+       (SELECT count(DISTINCT p_name) FROM part) * 2 + (SELECT count(DISTINCT p_type) FROM part) * 2
+         AS n_names_after
+""")
+def q_name_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.names import canonicalize_names
+    from ..operators.summary import name_counts
+    names = name_variants(spark, sf_dir)
+    canon = canonicalize_names(names)
+    return name_counts(names.withColumnRenamed("name", "dataset"),
+                       canon.withColumnRenamed("canonical_name", "dataset_name"))
+
+
+@register("link_columns", """
+SELECT DISTINCT l_suppkey, l_partkey,
+  CASE WHEN l_partkey % 9 = 0 OR l_partkey % 10 = 7 OR p_partkey % 3 <> 0 THEN ''
+       ELSE '2401.' || lpad(CAST(p_partkey AS VARCHAR), 5, '0') END AS dataset_link
+FROM lineitem JOIN part ON l_partkey = p_partkey
+""")
+def q_link_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Citation tag → BibTeX title → title match → arXiv id, '' whenever a
+    step fails.  Candidates: every part as a paper, exact title only for
+    partkey % 3 = 0; the citing "papers" are 23xx ids so the year route
+    resolves."""
+    from ..operators.bib import link_columns
+    files, cites = supplier_bib_files(spark, sf_dir)
+    found = bib_title_lookup(files, cites).withColumnRenamed("tag", "dataset_citation_tag")
+    p = read(spark, sf_dir, "part")
+    cands = p.select(F.expr(_CAND_URL_SQL).alias("arxiv_url"),
+                     F.when(F.col("p_partkey") % 3 == 0,
+                            F.concat(F.col("p_name"), F.lit(" "), F.col("p_type"), F.lit(" ref"),
+                                     F.col("p_partkey").cast("string")))
+                      .otherwise(F.concat(F.lit("other "), F.col("p_partkey").cast("string"))).alias("title"))
+    # make titles unique per part so the match is the part itself
+    recs = cites.join(found, ["paper_id", "dataset_citation_tag"], "left")
+    recs = recs.withColumn("title", F.when(F.col("title").isNotNull(), F.concat(
+        F.col("title"), F.lit(" ref"), F.col("l_partkey").cast("string"))))
+    matched = title_match(recs, cands)
+    keyed = matched.withColumn("paper_id", F.concat(F.lit("2301."), F.col("paper_id")))
+    out = link_columns(keyed.drop("arxiv_id", "f1"),
+                       keyed.select("paper_id", "l_partkey", "arxiv_id"),
+                       ["paper_id", "l_partkey"], "/sources")
+    return out.select("l_suppkey", "l_partkey", "dataset_link").distinct()

@@ -279,3 +279,72 @@ def q_read_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = ensure_checkpoint_dir(spark).rstrip("/") + f"/shards-{uuid.uuid4().hex}"
     write_shards(read(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), base, 3, "o_orderkey")
     return read_shards(spark, base).groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
+
+
+# ------------------------------------------------------- cleaners
+from .render import sql_template  # noqa: E402
+
+_CLEAN_SAMPLE = (
+    "\\documentclass{article}\n\\usepackage{amsmath}\n\\begin{document}\n\\section{Order {{o_orderkey}}}\n"
+    "Total   {{o_custkey}} units, 5\\% off. % note {{o_orderkey}}\n\\begin{figure}\nF\n\\end{figure}\n"
+    "\\begin{equation}\nx=1\n\\end{equation}\nSee \\cite{ref{{o_custkey}}} and \\citep{b}.\n"
+    "\\begin{table}\nT\n\\end{table}\n\\begin{thebibliography}{9}\nB\n\\end{thebibliography}\n"
+    "\\appendix\nA\n\\end{document}\n")
+
+
+def _clean_chain_sql(duck_text: str, description: bool) -> str:
+    t = duck_text
+    steps = [(r"(?s)\\appendix.*?\\end\{document\}", ""),
+             (r"(?s)\\begin\{figure\}.*?\\end\{figure\}", ""),
+             (r"([^\\])%[^\n]*\n", r"\1"),
+             (r"\\(usepackage|documentclass|title|author|date|maketitle)[^\n]*?\n", ""),
+             (r"\s+", " "),
+             (r"(?s)\\begin\{thebibliography\}.*?\\end\{thebibliography\}", ""),
+             (r"(?s)\\documentclass.*?\\begin\{document\}", r"\\begin{document}"),
+             (r"(?s)\\begin\{equation\}.*?\\end\{equation\}", ""),
+             (r"(?s)\\begin\{align\}.*?\\end\{align\}", "")]
+    if description:
+        steps += [(r"\\cite[t|p]?\{[^\n]*?\}", ""), (r"(?s)\\begin\{table\}.*?\\end\{table\}", "")]
+    for pat, rep in steps:
+        t = f"regexp_replace({t}, '{pat}', '{rep}', 'g')"
+    return t
+
+
+@register("clean_context_text", f"""
+SELECT o_orderkey, md5({_clean_chain_sql(sql_template(_CLEAN_SAMPLE, True), False)}) AS text_md5 FROM orders
+""")
+def q_clean_context_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = read(spark, sf_dir, "orders").select("o_orderkey", F.expr(sql_template(_CLEAN_SAMPLE)).alias("t"))
+    return o.select("o_orderkey", F.md5(T.clean_context_text("t")).alias("text_md5"))
+
+
+@register("clean_description_text", f"""
+SELECT o_orderkey, md5({_clean_chain_sql(sql_template(_CLEAN_SAMPLE, True), True)}) AS text_md5 FROM orders
+""")
+def q_clean_description_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = read(spark, sf_dir, "orders").select("o_orderkey", F.expr(sql_template(_CLEAN_SAMPLE)).alias("t"))
+    return o.select("o_orderkey", F.md5(T.clean_description_text("t")).alias("text_md5"))
+
+
+@register("strip_appendix", f"""
+SELECT o_orderkey, md5(regexp_replace({sql_template(_CLEAN_SAMPLE, True)}, '(?s)\\\\appendix.*$', '')) AS text_md5
+FROM orders
+""")
+def q_strip_appendix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = read(spark, sf_dir, "orders").select("o_orderkey", F.expr(sql_template(_CLEAN_SAMPLE)).alias("t"))
+    return o.select("o_orderkey", F.md5(T.strip_appendix("t")).alias("text_md5"))
+
+
+_LC_SAMPLE = "Row {{o_orderkey}} % note {{o_custkey}}\nKeep 5\\% off % tail\nCut \\\\% here\nplain"
+_LC_EXPECTED = "Row {{o_orderkey}} \nKeep 5\\% off % tail\nCut \\\\\nplain"
+
+
+@register("strip_line_comments", f"""
+SELECT o_orderkey, md5({sql_template(_LC_EXPECTED, True)}) AS text_md5 FROM orders
+""")
+def q_strip_line_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A comment is cut at its first '%'; a line whose escaped ``\\%``
+    comes first is kept whole; ``\\\\%`` (an escaped backslash) does cut."""
+    from ..operators.blocks import strip_line_comments
+    o = read(spark, sf_dir, "orders").select("o_orderkey", F.expr(sql_template(_LC_SAMPLE)).alias("t"))
+    return o.select("o_orderkey", F.md5(strip_line_comments(F.col("t"))).alias("text_md5"))

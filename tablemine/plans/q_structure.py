@@ -161,3 +161,41 @@ def q_balanced_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = balanced_spans(F.col("table_source"))
     return t.select("l_orderkey", F.size(spans).alias("n_tabulars"),
                     F.regexp_count(spans[0], F.lit(r"\\begin\{tabular")).cast("int").alias("n_begin"))
+
+
+@register("command_snippets", r"""
+SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 2 THEN 2 ELSE 0 END AS n_snippets,
+       CASE WHEN o_orderkey % 4 = 2 THEN 1 ELSE 0 END AS first_has_label
+FROM orders
+""")
+def q_command_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``\\subfloat{…}`` snippets of the multi-tabular blocks."""
+    from ..operators.blocks import command_snippets
+    o = read(spark, sf_dir, "orders").select("o_orderkey", F.expr(_multi_sql(False)).alias("b"))
+    s = command_snippets(F.col("b"), "subfloat")
+    first_ok = F.when(F.size(s) > 0, F.when(
+        F.startswith(s[0], F.lit("\\subfloat[a]{\\label{tab:a")) & F.endswith(s[0], F.lit("\\end{tabular}}")),
+        1).otherwise(0)).otherwise(0)
+    return o.select("o_orderkey", F.size(s).alias("n_snippets"), first_ok.alias("first_has_label"))
+
+
+@register("tables_by_numeric_content", r"""
+SELECT l_orderkey, 0 AS n_without_numeric, 1 AS n_with_numeric
+FROM (SELECT DISTINCT l_orderkey FROM lineitem)
+""")
+def q_tables_by_numeric_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The original keeps tables *without* numeric cells; every rendered
+    order table has some, so it keeps none and the opposite selection keeps
+    all."""
+    from ..operators.cells import tables_by_numeric_content
+    t = order_tables(spark, sf_dir)
+    keys = ["l_orderkey", "chunk", "table_index"]
+    cells = table_cells(t, keep_cols=keys)
+    without = tables_by_numeric_content(t, cells, keys, keep_numeric=False)
+    with_ = tables_by_numeric_content(t, cells, keys, keep_numeric=True)
+    a = t.select("l_orderkey").distinct()
+    w0 = without.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n_without_numeric"))
+    w1 = with_.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n_with_numeric"))
+    return (a.join(w0, "l_orderkey", "left").join(w1, "l_orderkey", "left")
+            .select("l_orderkey", F.coalesce("n_without_numeric", F.lit(0)).cast("int").alias("n_without_numeric"),
+                    F.coalesce("n_with_numeric", F.lit(0)).cast("int").alias("n_with_numeric")))

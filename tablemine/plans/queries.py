@@ -26,12 +26,16 @@ def register(name: str, oracle: str | None = None):
     return deco
 
 
-TEXT_TABLES = {"documents", "pages", "conversations", "benchmark"}
+SMALL_TABLES = {"region", "nation"}
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """A driver table.  Every query here does CPU-heavy text work per row,
+    so a scan with fewer partitions than cores (a single-row-group file) is
+    spread round-robin first; a wide scan (any real cluster input) is left
+    as it is."""
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
-    if table in TEXT_TABLES:
+    if table not in SMALL_TABLES:
         from ..session import ensure_parallelism
         df = ensure_parallelism(df)
     return df
