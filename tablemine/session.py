@@ -36,6 +36,10 @@ def get_spark(master: str | None = None, app: str = "tablemine",
     }
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    if (master or "").startswith("local") and not os.environ.get("SPARK_DRIVER_MEMORY"):
+        # local mode runs every task inside the driver JVM: size its heap
+        # (a submitted job keeps the cluster's own setting)
+        conf["spark.driver.memory"] = os.environ.get("TABLEMINE_LOCAL_MEMORY", "16g")
     for k, v in conf.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
