@@ -125,29 +125,31 @@ def title_match(wanted: DataFrame, candidates: DataFrame, wanted_title: str = "t
     Matching runs once per distinct wanted title; rows without a match keep
     NULLs."""
     clean = F.translate(F.col(wanted_title), "{}", "")
-    w = _prepare(wanted.select(clean.alias("_wt")).filter(F.col("_wt").isNotNull()).distinct(),
+    # both sides are reduced to distinct count vectors: F1 depends on
+    # nothing else, so no set of near-identical titles multiplies the pairs
+    w = _prepare(wanted.select(clean.alias("_wt")).filter(F.col("_wt").isNotNull()),
                  F.col("_wt"), "w")
+    w = w.groupBy("w_canon").agg(F.first("w_counts").alias("w_counts"), F.first("_set").alias("_set"),
+                                 F.first("w_heavy").alias("w_heavy"))
     c = _prepare(candidates.select(F.col(cand_url).alias("_url"), F.col(cand_title).alias("_ct")),
                  F.col("_ct"), "c")
-    # F1 depends only on the count vectors: keep one candidate (smallest
-    # URL) per distinct vector, so a common token set never pairs every
-    # wanted title with every candidate that shares it
     c = (c.groupBy("c_canon").agg(F.min("_url").alias("_url"), F.first("c_counts").alias("c_counts"),
                                   F.first("_set").alias("_set"), F.first("c_heavy").alias("c_heavy")))
-    by_set = w.join(c.drop("c_heavy"), "_set").select("_wt", "w_counts", "_url", "c_counts")
-    hw = w.filter("w_heavy").select("_wt", "w_counts", F.explode("w_counts").alias("_tok", "_n")) \
+    by_set = w.join(c.drop("c_heavy"), "_set").select("w_canon", "w_counts", "_url", "c_counts")
+    hw = w.filter("w_heavy").select("w_canon", "w_counts", F.explode("w_counts").alias("_tok", "_n")) \
           .filter(F.col("_n") >= 2)
     hc = c.filter("c_heavy").select("_url", "c_counts", F.explode("c_counts").alias("_tok", "_n")) \
           .filter(F.col("_n") >= 2)
-    heavy = hw.join(hc, ["_tok", "_n"]).select("_wt", "w_counts", "_url", "c_counts")
-    pairs = by_set.unionByName(heavy).dropDuplicates(["_wt", "_url"])
+    heavy = hw.join(hc, ["_tok", "_n"]).select("w_canon", "w_counts", "_url", "c_counts")
+    pairs = by_set.unionByName(heavy).dropDuplicates(["w_canon", "_url"])
     scored = pairs.withColumn("f1", macro_f1(F.col("c_counts"), F.col("w_counts"))) \
                   .filter(F.col("f1") > threshold)
     # best score first, then the smallest URL: one partial aggregate
-    best = (scored.groupBy("_wt")
+    best = (scored.groupBy("w_canon")
             .agg(F.min(F.struct((-F.col("f1")).alias("nf"), F.col("_url").alias("u"))).alias("b"))
-            .select("_wt", F.col("b.u").alias("_url"), (-F.col("b.nf")).alias("f1")))
-    out = wanted.withColumn("_wt", clean).join(best, "_wt", "left")
+            .select("w_canon", F.col("b.u").alias("_url"), (-F.col("b.nf")).alias("f1")))
+    keyed = _prepare(wanted.withColumn("_wt", clean), F.col("_wt"), "w")
+    out = keyed.join(best, "w_canon", "left")
     return out.select(*wanted.columns, arxiv_id_from_url(F.col("_url")).alias("arxiv_id"), "f1")
 
 
