@@ -88,3 +88,37 @@ def _nth_locate(text: Column, sub: str, n: Column) -> Column:
 
 def _quote(s: str) -> str:
     return "\\Q" + s + "\\E"
+
+
+_LABEL_OR_TAB = (r"(\\begin\s*?\{\s*?tabular[^\n]*?\}|\\end\s*?\{\s*?tabular[^\n]*?\}"
+                 r"|\\label\s*\{[^}]*\})")
+
+
+def nearest_label_after(block) -> Column:
+    """array<string>: for each outermost tabular of the block, in order, the
+    first ``\\label{…}`` after it with no other tabular starting in between
+    (NULL when there is none).  One fold over the block's tabular and label
+    tokens."""
+    marked = F.regexp_replace(col(block), _LABEL_OR_TAB, "\u0001$1\u0001")
+    pieces = F.split(marked, "\u0001")
+    init = F.struct(F.lit(0).alias("i"), F.lit(0).alias("d"), F.lit(False).alias("pending"),
+                    F.array().cast("array<string>").alias("out"))
+
+    def step(a, p):
+        tok = (a["i"] % 2) == 1
+        is_begin = tok & F.startswith(p, F.lit("\\begin"))
+        is_end = tok & F.startswith(p, F.lit("\\end"))
+        is_label = tok & F.startswith(p, F.lit("\\label"))
+        d = a["d"] + F.when(is_begin, 1).when(is_end, -1).otherwise(0)
+        closes = is_end & (d == 0)
+        take = a["pending"] & is_label & (a["d"] == 0)
+        # a pending tabular with no label before the next tabular gets NULL
+        give_up = a["pending"] & is_begin & (a["d"] == 0)
+        out = (F.when(take, F.array_append(a["out"], p))
+                .when(give_up, F.array_append(a["out"], F.lit(None).cast("string")))
+                .otherwise(a["out"]))
+        pending = F.when(closes, F.lit(True)).when(take | give_up, F.lit(False)).otherwise(a["pending"])
+        return F.struct((a["i"] + 1).alias("i"), d.alias("d"), pending.alias("pending"), out.alias("out"))
+
+    return let(F.aggregate(pieces, init, step), lambda r: F.when(
+        r["pending"], F.array_append(r["out"], F.lit(None).cast("string"))).otherwise(r["out"]))

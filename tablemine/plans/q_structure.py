@@ -199,3 +199,19 @@ def q_tables_by_numeric_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (a.join(w0, "l_orderkey", "left").join(w1, "l_orderkey", "left")
             .select("l_orderkey", F.coalesce("n_without_numeric", F.lit(0)).cast("int").alias("n_without_numeric"),
                     F.coalesce("n_with_numeric", F.lit(0)).cast("int").alias("n_with_numeric")))
+
+
+@register("nearest_label_after", r"""
+SELECT o_orderkey, i AS tabular_index,
+  CASE o_orderkey % 4
+    WHEN 0 THEN concat(chr(92), 'label{tab:o', CAST(o_orderkey AS VARCHAR), '}')
+    WHEN 1 THEN CASE i WHEN 0 THEN NULL ELSE concat(chr(92), 'label{tab:m', CAST(o_orderkey AS VARCHAR), '}') END
+    WHEN 2 THEN CASE i WHEN 0 THEN concat(chr(92), 'label{tab:b', CAST(o_orderkey AS VARCHAR), '}') ELSE NULL END
+    ELSE concat(chr(92), 'label{tab:x', CAST(o_orderkey AS VARCHAR), '}') END AS label
+FROM orders, (SELECT unnest([0, 1]) AS i)
+WHERE i = 0 OR o_orderkey % 4 IN (1, 2)
+""")
+def q_nearest_label_after(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.labels import nearest_label_after
+    o = read(spark, sf_dir, "orders").select("o_orderkey", F.expr(_multi_sql(False)).alias("b"))
+    return o.select("o_orderkey", F.posexplode(nearest_label_after(F.col("b"))).alias("tabular_index", "label"))
