@@ -330,3 +330,58 @@ def q_link_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
                        keyed.select("paper_id", "l_partkey", "arxiv_id"),
                        ["paper_id", "l_partkey"], "/sources")
     return out.select("l_suppkey", "l_partkey", "dataset_link").distinct()
+
+
+def _clean_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.blocks import extract_table_blocks
+    from .render import lineitem_papers
+    papers = extract_table_blocks(lineitem_papers(read(spark, sf_dir, "lineitem"), noise=False))
+    return papers.select("paper_id", F.transform("tables", lambda t: F.struct(
+        t.alias("latex"), F.lit(None).cast("string").alias("label"))).alias("tables"),
+        "full_paper_latex_code")
+
+
+@register("classify_table", "SELECT DISTINCT concat('o', CAST(l_orderkey AS VARCHAR), 'c0') AS paper_id, "
+                            "0 AS table_index FROM lineitem")
+def q_classify_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule form of the relevance filter: tables with a numeric cell."""
+    from . import traces
+    return traces.relevant_tables(_clean_papers(spark, sf_dir)).select("paper_id", "table_index")
+
+
+_EXTRACTED_SQL = """SELECT concat('o', CAST(l_orderkey AS VARCHAR), 'c0') AS paper_id,
+  concat(CAST(l_partkey % 5 + 1 AS VARCHAR), '-o', CAST(l_orderkey AS VARCHAR), '-l',
+         CAST(l_linenumber AS VARCHAR)) AS dataset,
+  CAST(CAST(l_quantity AS DECIMAL(12,2)) AS VARCHAR) AS value,
+  concat('model-', CAST(l_linenumber AS VARCHAR)) AS base_model, {subset} AS subset
+FROM lineitem"""
+
+
+@register("extract_records", _EXTRACTED_SQL.format(subset="'xx'"))
+def q_extract_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Relevant tables → extraction prompt → model (stub reading the table
+    rows back) → reasoning stripped, failures dropped → records."""
+    from ..operators.model import table_extractor_stub
+    from . import traces
+    tables = traces.relevant_tables(_clean_papers(spark, sf_dir))
+    ex = traces.extract_table_records(tables, table_extractor_stub)
+    recs = traces.augment_records(ex, None)
+    r = F.col("record")
+    return recs.select("paper_id", r["dataset"].alias("dataset"), r["value"].alias("value"),
+                       r["base_model"].alias("base_model"), r["subset"].alias("subset"))
+
+
+@register("augment_records", _EXTRACTED_SQL.format(subset="'Results'"))
+def q_augment_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records + table + cleaned paper text (joined by paper_id only here) →
+    context prompt → model (stub filling the subset from the paper's
+    section title) → one row per record."""
+    from ..operators.model import augmenter_stub, table_extractor_stub
+    from . import traces
+    papers = _clean_papers(spark, sf_dir)
+    tables = traces.relevant_tables(papers)
+    ex = traces.extract_table_records(tables, table_extractor_stub)
+    recs = traces.augment_records(ex, papers.select("paper_id", "full_paper_latex_code"), augmenter_stub)
+    r = F.col("record")
+    return recs.select("paper_id", r["dataset"].alias("dataset"), r["value"].alias("value"),
+                       r["base_model"].alias("base_model"), r["subset"].alias("subset"))

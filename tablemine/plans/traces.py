@@ -23,7 +23,7 @@ from ..functions.text import clean_context_text
 from ..operators import dedupe as D
 from ..operators.assembly import assemble_papers
 from ..operators.blocks import extract_table_blocks, papers_with_tables
-from ..operators.cells import numeric_cells, table_cells
+from ..operators.cells import has_numeric_cell
 from ..operators.describe import describe_distinct, fill_failed_descriptions
 from ..operators.keywords import keyword_filter
 from ..operators.metrics import invalid_record_stub, standardize_metric
@@ -58,9 +58,7 @@ def relevant_tables(papers: DataFrame, model_factory: ModelFactory | None = None
     t = papers_with_tables(papers.withColumn("tables", F.transform("tables", lambda x: x["latex"]))
                            .drop("full_paper_latex_code", "keywords"))
     if model_factory is None:
-        cells = table_cells(t, keep_cols=["paper_id", "table_index"])
-        num = numeric_cells(cells).select("paper_id", "table_index").distinct()
-        return t.join(num, ["paper_id", "table_index"], "left_semi")
+        return t.filter(has_numeric_cell("table_source"))
     prompt = truncate_chars(render_prompt(TABLE_TEMPLATE, {"table": F.col("table_source")}),
                             TABLE_PROMPT_MAX_CHARS)
     answered = apply_model(t.withColumn("_prompt", prompt), "_prompt", model_factory, "_label")
