@@ -178,11 +178,13 @@ _SNIPPET_TOKENS = r"(?s)end\{|\{|\}|(?:(?!end\{)[^{}])+"
 def command_snippets(text, command: str) -> Column:
     """From each ``\\<command>`` to the first point where brace depth is
     back to 0 with an ``end{`` inside the span (e.g. ``\\subfloat{…}``
-    around a tabular).  Occurrences that never close give nothing."""
+    around a tabular).  Occurrences that never close give nothing.  The scan
+    is token-wise (``end{``, braces, runs of other text): plain runs change
+    neither depth nor the ``end{`` flag, so the first stop is always right
+    after a brace-bearing token, where a per-character scan stops too."""
     t = col(text)
-    starts_at = F.regexp_extract_all(t, F.lit(r"(?s)(\\\s*" + command + r".*)"), 1)
-    # positions: every suffix starting at an occurrence, via split pieces
-    pieces = F.split(t, r"(?=\\\s*" + command + ")")
+    occurrence = r"\\\s*" + command
+    pieces = F.split(t, "(?=" + occurrence + ")")
 
     def snippet(suffix):
         toks = F.regexp_extract_all(F.substr(suffix, F.lit(2), F.length(suffix)),
@@ -194,15 +196,15 @@ def command_snippets(text, command: str) -> Column:
             d = a["d"] + F.when(F.endswith(tok, F.lit("{")), 1).when(tok == F.lit("}"), -1).otherwise(0)
             seen = a["seen_end"] | (tok == F.lit("end{"))
             pos = a["pos"] + F.length(tok)
-            hit = (a["found"] < 0) & (d == 0) & seen & ~((tok != "}") & ~(tok == "end{") & (a["d"] == 0))
+            hit = (a["found"] < 0) & (d == 0) & seen
             return F.struct(pos.alias("pos"), d.alias("d"), seen.alias("seen_end"),
                             F.when(hit, pos).otherwise(a["found"]).alias("found"))
         f = F.aggregate(toks, init, step)["found"]
         return F.when(f > 0, F.substr(suffix, F.lit(1), f))
 
-    del starts_at
-    # the suffix of each occurrence is the rest of the text from it
-    suffixes = F.transform(F.filter(F.transform(pieces, lambda p, i: F.struct(p.alias("p"), i.alias("i"))),
-                                    lambda s: s["p"].rlike(r"^\\\s*" + command)),
+    # the text from each occurrence to the end
+    starts_here = F.filter(F.transform(pieces, lambda p, i: F.struct(p.alias("p"), i.alias("i"))),
+                           lambda s: s["p"].rlike("^" + occurrence))
+    suffixes = F.transform(starts_here,
                            lambda s: F.array_join(F.slice(pieces, s["i"] + 1, F.size(pieces)), ""))
     return F.filter(F.transform(suffixes, snippet), lambda s: s.isNotNull())

@@ -82,10 +82,12 @@ def ensure_parallelism(df, factor: int = 2):
     tasks.  Only then is a round-robin repartition added; an input that is
     already wide is left untouched (no extra shuffle at scale).
     """
-    target = df.sparkSession.sparkContext.defaultParallelism * factor
-    if df.rdd.getNumPartitions() >= target:
+    try:
+        target = df.sparkSession.sparkContext.defaultParallelism * factor
+        n = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - no RDD view (e.g. Spark Connect): leave as is
         return df
-    return df.repartition(target)
+    return df if n >= target else df.repartition(target)
 
 
 def text_partitions(spark, factor: int = 2) -> int:

@@ -59,3 +59,20 @@ def test_cells_and_numeric(spark):
     assert lenient == {(1, 1): "1.5", (1, 2): "7b", (2, 1): "2", (2, 2): "3"}
     strict = {(r.row_index, r.col_index) for r in numeric_cells(cells, grammar="strict").collect()}
     assert strict == {(1, 1), (2, 1), (2, 2)}
+
+
+def test_command_snippets(spark):
+    from tablemine.operators.blocks import command_snippets
+    text = ("\\subfloat[a]{\\label{x}" + T + "} mid \\subfloat{no end here} "
+            "\\subfloat{" + T + "")
+    df = one_col(spark, [text])
+    got = df.select(command_snippets(F.col("c"), "subfloat")).collect()[0][0]
+    assert got == ["\\subfloat[a]{\\label{x}" + T + "}"]
+
+
+def test_nearest_label_after(spark):
+    from tablemine.operators.labels import nearest_label_after
+    block = T + "\n" + T + "\n\\label{b}\n" + T + "\\label{c}\\label{d}"
+    df = one_col(spark, [block])
+    got = df.select(nearest_label_after(F.col("c"))).collect()[0][0]
+    assert got == [None, "\\label{b}", "\\label{c}"]
