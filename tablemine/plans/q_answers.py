@@ -404,3 +404,24 @@ def q_sorted_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     terms = F.array_sort(F.array_distinct(F.array("o_orderpriority", "o_orderstatus",
                                                   (F.col("o_custkey") % 7).cast("string"))))
     return o.select("o_orderkey", F.array_join(terms, "|").alias("sorted_terms"))
+
+
+@register("final_projection", "SELECT concat('o', CAST(l_orderkey AS VARCHAR)) AS table_source_arxiv_id, "
+          "'T' AS table_source, " + RECORD_SQL["dataset"] + " AS dataset_name, '' AS dataset_reference_arxiv_id, "
+          "'GPT4o' AS dataset_description_source, 'D' AS dataset_description, "
+          + RECORD_SQL["subset"] + " AS subset, " + RECORD_SQL["base_model"] + " AS model_name, "
+          + RECORD_SQL["hyperparameters"] + " AS hyperparameters, " + RECORD_SQL["pref_tuning_method"]
+          + " AS pref_tuning_method, " + RECORD_SQL["metric"] + " AS metric, "
+          "CAST(CAST(l_quantity AS DECIMAL(12,2)) AS DOUBLE) AS metric_value "
+          f"FROM lineitem WHERE NOT {_FAILED_ORDER}")
+def q_final_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records → the final columns (the nested record itself is left out
+    of the comparison)."""
+    a = extract_records(order_answers(spark, sf_dir), "table_results_raw", "ans")
+    flat = flatten_records(parse_jsonl_records(a, "ans")).select(
+        F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("paper_id"),
+        F.lit("T").alias("table_source"), "record", F.lit("").alias("dataset_link"),
+        F.lit("GPT4o").alias("description_source"), F.lit("D").alias("dataset_description"),
+        F.col("record.metric").alias("standardized_metric"),
+        F.col("record.value").try_cast("double").alias("adjusted_metric_value"))
+    return D.final_projection(flat).drop("original_extracted_dictionary")

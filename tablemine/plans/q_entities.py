@@ -385,3 +385,25 @@ def q_augment_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = F.col("record")
     return recs.select("paper_id", r["dataset"].alias("dataset"), r["value"].alias("value"),
                        r["base_model"].alias("base_model"), r["subset"].alias("subset"))
+
+
+@register("name_abbreviation", r"""
+SELECT name,
+  CASE WHEN regexp_matches(name, '\(([A-Z][A-Z0-9-]*)\)') THEN regexp_extract(name, '\(([A-Z][A-Z0-9-]*)\)', 1)
+       WHEN regexp_matches(name, '^[A-Z][A-Z0-9-]{1,11}$') THEN name ELSE '' END AS abbrev,
+  CASE WHEN regexp_matches(name, '\(([A-Z][A-Z0-9-]*)\)') THEN trim(regexp_replace(name, '\s*\([^)]*\)', '', 'g'))
+       WHEN regexp_matches(name, '^[A-Z][A-Z0-9-]{1,11}$') THEN '' ELSE name END AS full_name,
+  regexp_matches(name, '\(([A-Z][A-Z0-9-]*)\)') AS explicit
+FROM (SELECT DISTINCT name FROM (SELECT name FROM """ + _NAMES_SQL + """ UNION ALL
+      SELECT upper(replace(p_name, ' ', '')) FROM part UNION ALL
+      SELECT concat(p_type, ' Bench (Easy)') FROM part UNION ALL
+      SELECT concat(p_type, ' Bench (Hard)') FROM part))
+""")
+def q_name_abbreviation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.names import name_abbreviation
+    p = read(spark, sf_dir, "part")
+    n = name_variants(spark, sf_dir).unionByName(
+        p.select(F.upper(F.regexp_replace("p_name", " ", "")).alias("name"))).distinct()
+    a = name_abbreviation("name")
+    return n.select("name", a["abbrev"].alias("abbrev"), a["full"].alias("full_name"),
+                    a["explicit"].alias("explicit"))

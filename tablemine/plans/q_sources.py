@@ -348,3 +348,91 @@ def q_strip_line_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.blocks import strip_line_comments
     o = read(spark, sf_dir, "orders").select("o_orderkey", F.expr(sql_template(_LC_SAMPLE)).alias("t"))
     return o.select("o_orderkey", F.md5(strip_line_comments(F.col("t"))).alias("text_md5"))
+
+
+# ------------------------------------------------------- file tree round trip
+def _tree_root(spark: SparkSession) -> str:
+    import uuid
+    from ..session import ensure_checkpoint_dir
+    return ensure_checkpoint_dir(spark).rstrip("/") + f"/tree-{uuid.uuid4().hex}"
+
+
+def _written_tree(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
+    """Render the customer source folders, write them as a real file tree
+    (year folder by custkey parity) and return (root, scanned files)."""
+    from ..sources.files import scan_paper_tree, write_paper_tree
+    files = customer_paper_files(read(spark, sf_dir, "orders")).withColumn(
+        "year", F.when(F.col("o_custkey") % 2 == 0, F.lit("arxiv_src_2023")).otherwise(F.lit("arxiv_src_2024")))
+    root = _tree_root(spark)
+    write_paper_tree(files, root).write.format("noop").mode("overwrite").save()
+    return root, scan_paper_tree(spark, root)
+
+
+@register("scan_paper_tree", """
+SELECT concat('c', CAST(o_custkey AS VARCHAR), '-0') AS paper_id,
+       CASE WHEN o_custkey % 2 = 0 THEN 'arxiv_src_2023' ELSE 'arxiv_src_2024' END AS year,
+       count_if(o_orderkey % 6 IN (0, 1, 2, 3)) + 2 + CASE WHEN o_custkey % 5 = 0 THEN 1 ELSE 0 END AS n_files,
+       count_if(o_orderkey % 6 = 2) AS n_nested
+FROM orders GROUP BY o_custkey
+""")
+def q_scan_paper_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Source folders written as files, read back with the binaryFile source."""
+    _, files = _written_tree(spark, sf_dir)
+    return files.groupBy("paper_id", "year").agg(
+        F.count(F.lit(1)).alias("n_files"),
+        F.count_if(F.contains("rel_path", F.lit("/"))).alias("n_nested"))
+
+
+@register("list_top_level_tex", """
+SELECT concat('c', CAST(o_custkey AS VARCHAR), '-0') AS paper_id,
+       count_if(o_orderkey % 6 IN (0, 1, 3)) + 2 + CASE WHEN o_custkey % 5 = 0 THEN 1 ELSE 0 END AS n_top_tex
+FROM orders GROUP BY o_custkey
+""")
+def q_list_top_level_tex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..sources.files import list_top_level_tex
+    _, files = _written_tree(spark, sf_dir)
+    return list_top_level_tex(files).groupBy("paper_id").agg(F.count(F.lit(1)).alias("n_top_tex"))
+
+
+@register("write_dataset", "SELECT o_orderpriority, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS key_sum "
+                           "FROM orders GROUP BY o_orderpriority")
+def q_write_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stage table saved (partitioned by priority) into shared storage and
+    read back."""
+    from ..sources.datasets import read_dataset, write_dataset
+    path = _tree_root(spark) + "-table"
+    write_dataset(read(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority"), path,
+                  partition_by=["o_orderpriority"])
+    return read_dataset(spark, path).groupBy("o_orderpriority").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("o_orderkey").cast("bigint").alias("key_sum"))
+
+
+@register("read_dataset", "SELECT count(*) AS n, count(DISTINCT o_custkey) AS n_customers FROM orders")
+def q_read_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..sources.datasets import read_dataset, write_dataset
+    path = _tree_root(spark) + "-table"
+    write_dataset(read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), path)
+    d = read_dataset(spark, path)
+    return d.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("o_custkey").alias("n_customers"))
+
+
+@register("concat_shards", "SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY o_orderstatus")
+def q_concat_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..sources.datasets import concat_shards, shard_split
+    o = read(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    parts = [shard_split(o, 3, i, "o_orderkey") for i in range(3)]
+    return concat_shards(*parts).groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("extract_macros", """
+SELECT concat('c', CAST(o_custkey AS VARCHAR), '-0') AS paper_id, 1 AS n_macros,
+       concat(chr(92), 'cust') AS macro_name, concat('Customer ', CAST(o_custkey AS VARCHAR)) AS macro_body,
+       0 AS n_args
+FROM orders GROUP BY o_custkey
+""")
+def q_extract_macros(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = customer_paper_files(read(spark, sf_dir, "orders")).drop("o_custkey", "chunk")
+    mains = S.select_main_files(files).filter(F.col("rel_path") == "main.tex")
+    m = S.extract_macros(F.col("content"))
+    return mains.select("paper_id", F.size(m).alias("n_macros"), m[0]["name"].alias("macro_name"),
+                        m[0]["content"].alias("macro_body"), m[0]["nargs"].alias("n_args"))

@@ -215,3 +215,23 @@ def q_nearest_label_after(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.labels import nearest_label_after
     o = read(spark, sf_dir, "orders").select("o_orderkey", F.expr(_multi_sql(False)).alias("b"))
     return o.select("o_orderkey", F.posexplode(nearest_label_after(F.col("b"))).alias("tabular_index", "label"))
+
+
+@register("most_referenced", r"""
+SELECT o_orderkey,
+  concat(chr(92), 'label{tab:', CASE WHEN o_orderkey % 8 = 7 THEN 'y' ELSE 'x' END,
+         CAST(o_orderkey AS VARCHAR), '}') AS label
+FROM orders WHERE o_orderkey % 4 = 3
+""")
+def q_most_referenced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two labels on one table: the one referenced more often in the paper
+    outside the tables wins (ties: the first)."""
+    from ..operators.labels import most_referenced
+    o = read(spark, sf_dir, "orders").filter(F.col("o_orderkey") % 4 == 3)
+    b = F.expr(_multi_sql(False))
+    k = F.col("o_orderkey").cast("string")
+    refs = F.when(F.col("o_orderkey") % 8 == 7, F.concat(F.lit(" see \\ref{tab:y"), k, F.lit("} and \\ref{tab:y"),
+                                                          k, F.lit("}"))).otherwise(F.lit(" see the table"))
+    o = o.select("o_orderkey", b.alias("b"), refs.alias("refs"))
+    paper = F.concat(F.col("refs"), F.lit("\n"), F.col("b"))
+    return o.select("o_orderkey", most_referenced(table_labels(F.col("b")), paper, F.col("b")).alias("label"))

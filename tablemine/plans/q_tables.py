@@ -81,3 +81,11 @@ def q_table_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
                   .alias("n_rows"),
                  F.count(F.lit(1)).alias("n_cells"),
                  F.sum(first_col_int).cast("bigint").alias("sum_partkey")))
+
+
+@register("papers_with_tables", """
+SELECT DISTINCT l_orderkey, 0 AS table_index FROM lineitem
+""")
+def q_papers_with_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(paper, table ordinal) rows; papers without tables vanish."""
+    return order_tables(spark, sf_dir).select("l_orderkey", "table_index")
