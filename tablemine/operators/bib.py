@@ -53,18 +53,23 @@ def bib_title_lookup(bib_files: DataFrame, citations: DataFrame,
     window = hits.select("*", F.explode(F.sequence(F.col("start"),
                                                    F.col("start") + BIB_TITLE_WINDOW - 1))
                          .alias("line_no"))
-    cand = window.join(lines, ["paper_id", "rel_path", "line_no"])
+    # only entry lines (where the window stops) and title lines (what it
+    # looks for) can change the answer; the title is cut out before the
+    # join so no line text crosses the shuffles
+    relevant = (lines.withColumn("title_text", F.when(F.col("line").rlike(_TITLE),
+                                                      strip_ws(F.regexp_extract("line", _TITLE, 1))))
+                .filter(F.col("is_entry") | F.col("title_text").isNotNull())
+                .select("paper_id", "rel_path", "line_no", "is_entry", "title_text"))
+    cand = window.join(relevant, ["paper_id", "rel_path", "line_no"])
     next_entry = F.min(F.when(F.col("is_entry") & (F.col("line_no") > F.col("start")),
                               F.col("line_no")))
-    titled = F.when(F.col("line").rlike(_TITLE), F.col("line_no"))
+    first_title = F.min(F.when(F.col("title_text").isNotNull(),
+                               F.struct("line_no", "title_text")))
     found = (cand.groupBy("paper_id", "tag")
-             .agg(next_entry.alias("stop"),
-                  F.min_by(F.struct("line_no", "line"),
-                           F.coalesce(titled, F.lit(1 << 30))).alias("t"),
-                  F.min(titled).alias("first_title")))
-    title = F.when(F.col("first_title").isNotNull()
-                   & (F.col("stop").isNull() | (F.col("first_title") < F.col("stop"))),
-                   strip_ws(F.regexp_extract(F.col("t.line"), _TITLE, 1)))
+             .agg(next_entry.alias("stop"), first_title.alias("t")))
+    title = F.when(F.col("t").isNotNull()
+                   & (F.col("stop").isNull() | (F.col("t.line_no") < F.col("stop"))),
+                   F.col("t.title_text"))
     resolved = found.select("paper_id", "tag", title.alias("title"))
     return tags.join(resolved, ["paper_id", "tag"], "left")
 
