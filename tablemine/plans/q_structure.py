@@ -187,18 +187,12 @@ def q_tables_by_numeric_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The original keeps tables *without* numeric cells; every rendered
     order table has some, so it keeps none and the opposite selection keeps
     all."""
-    from ..operators.cells import tables_by_numeric_content
-    t = order_tables(spark, sf_dir)
-    keys = ["l_orderkey", "chunk", "table_index"]
-    cells = table_cells(t, keep_cols=keys)
-    without = tables_by_numeric_content(t, cells, keys, keep_numeric=False)
-    with_ = tables_by_numeric_content(t, cells, keys, keep_numeric=True)
-    a = t.select("l_orderkey").distinct()
-    w0 = without.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n_without_numeric"))
-    w1 = with_.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n_with_numeric"))
-    return (a.join(w0, "l_orderkey", "left").join(w1, "l_orderkey", "left")
-            .select("l_orderkey", F.coalesce("n_without_numeric", F.lit(0)).cast("int").alias("n_without_numeric"),
-                    F.coalesce("n_with_numeric", F.lit(0)).cast("int").alias("n_with_numeric")))
+    from ..operators.cells import has_numeric_cell
+    t = order_tables(spark, sf_dir).withColumn("_has", has_numeric_cell("table_source"))
+    # one pass: the operator is a filter on this flag (kept: no numeric cell)
+    return t.groupBy("l_orderkey").agg(
+        F.count_if(~F.col("_has")).cast("int").alias("n_without_numeric"),
+        F.count_if(F.col("_has")).cast("int").alias("n_with_numeric"))
 
 
 @register("nearest_label_after", r"""
