@@ -74,7 +74,7 @@ def q_strip_reasoning(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("failure_counts", f"""
-SELECT count(*) AS n_total, count_if({_FAILED_ORDER}) AS n_failed
+SELECT count(*) AS n_total, CAST(count_if({_FAILED_ORDER}) AS BIGINT) AS n_failed
 FROM (SELECT DISTINCT l_orderkey FROM lineitem)
 """)
 def q_failure_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -242,8 +242,8 @@ def q_description_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("expect_subset_section", f"""
 SELECT count(*) AS n_rows,
-       count_if(subset <> 'xx' AND NOT contains(dataset_description, 'Subset Description'))
-         AS n_violations
+       CAST(count_if(subset <> 'xx' AND NOT contains(dataset_description, 'Subset Description'))
+            AS BIGINT) AS n_violations
 FROM (SELECT {_FINAL_SELECT} FROM lineitem)
 """)
 def q_expect_subset_section(spark: SparkSession, sf_dir: str) -> DataFrame:

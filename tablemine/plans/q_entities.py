@@ -152,7 +152,7 @@ WITH c AS (SELECT {_CAND_URL_SQL.replace('STRING', 'VARCHAR')} AS url,
            FROM part),
 w AS (SELECT p_partkey, list_sort(regexp_extract_all(lower(concat(p_name, ' ', p_type)),
                                                       '\\b\\w\\w+\\b')) AS toks FROM part)
-SELECT w.p_partkey, substring(regexp_extract(min(c.url), '[^/]*$', 0), 1, 10) AS arxiv_id, 1.0 AS f1
+SELECT w.p_partkey, substring(regexp_extract(min(c.url), '[^/]*$', 0), 1, 10) AS arxiv_id, CAST(1.0 AS DOUBLE) AS f1
 FROM w JOIN c ON w.toks = c.toks GROUP BY w.p_partkey
 """)
 def q_title_match(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -146,7 +146,7 @@ def q_keyword_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("corpus_summary", f"""
-SELECT count(*) AS papers_in, count_if(len(algos) > 0) AS papers_kept,
+SELECT count(*) AS papers_in, CAST(count_if(len(algos) > 0) AS BIGINT) AS papers_kept,
        CAST(coalesce(sum(len(algos)), 0) AS BIGINT) AS algorithm_hits
 FROM {_ALGOS_SQL}
 """)

@@ -15,11 +15,11 @@ from .render import customer_paper_files
 # orderkey % 6 in (0,1,2,3) are inlined, % 6 = 5 stay as \input, bbl vanish.
 _ASSEMBLY_ORACLE = """
 SELECT concat('c', CAST(o_custkey AS VARCHAR), '-0') AS paper_id,
-       count_if(o_orderkey % 6 IN (0, 1, 2, 3)) AS n_inlined,
-       count_if(o_orderkey % 6 = 5) AS n_unresolved,
+       CAST(count_if(o_orderkey % 6 IN (0, 1, 2, 3)) AS BIGINT) AS n_inlined,
+       CAST(count_if(o_orderkey % 6 = 5) AS BIGINT) AS n_unresolved,
        CAST(coalesce(sum(CASE WHEN o_orderkey % 6 IN (0, 1, 2, 3) THEN o_orderkey END), 0) AS BIGINT)
          AS inlined_key_sum,
-       count_if(o_orderkey % 6 IN (0, 1, 2, 3)) AS n_macro,
+       CAST(count_if(o_orderkey % 6 IN (0, 1, 2, 3)) AS BIGINT) AS n_macro,
        0 AS n_preamble
 FROM orders GROUP BY o_custkey
 """
@@ -48,11 +48,11 @@ def q_assemble_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("resolve_includes", """
 SELECT concat('c', CAST(o_custkey AS VARCHAR), '-0') AS paper_id,
-       count_if(o_orderkey % 6 IN (0, 1, 2, 3)) AS n_inlined,
-       count_if(o_orderkey % 6 = 5) AS n_unresolved,
+       CAST(count_if(o_orderkey % 6 IN (0, 1, 2, 3)) AS BIGINT) AS n_inlined,
+       CAST(count_if(o_orderkey % 6 = 5) AS BIGINT) AS n_unresolved,
        CAST(coalesce(sum(CASE WHEN o_orderkey % 6 IN (0, 1, 2, 3) THEN o_orderkey END), 0) AS BIGINT)
          AS inlined_key_sum,
-       0 AS n_macro,
+       CAST(0 AS BIGINT) AS n_macro,
        2 AS n_preamble
 FROM orders GROUP BY o_custkey
 """)
@@ -65,7 +65,7 @@ def q_resolve_includes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("select_main_files", """
 SELECT concat('c', CAST(o_custkey AS VARCHAR), '-0') AS paper_id,
-       CASE WHEN o_custkey % 5 = 0 THEN 2 ELSE 1 END AS n_main_files
+       CAST(CASE WHEN o_custkey % 5 = 0 THEN 2 ELSE 1 END AS BIGINT) AS n_main_files
 FROM orders GROUP BY o_custkey
 """)
 def q_select_main_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,7 +76,7 @@ def q_select_main_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("expand_macros", """
 SELECT concat('c', CAST(o_custkey AS VARCHAR), '-0') AS paper_id,
-       count_if(o_orderkey % 6 IN (0, 1, 2, 3)) AS n_macro,
+       CAST(count_if(o_orderkey % 6 IN (0, 1, 2, 3)) AS BIGINT) AS n_macro,
        concat('Customer ', CAST(o_custkey AS VARCHAR)) AS macro_body
 FROM orders GROUP BY o_custkey
 """)
@@ -148,7 +148,7 @@ def q_document_body(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("longest_variant", """
 SELECT concat('c', CAST(o_custkey AS VARCHAR), '-0') AS paper_id,
-       count_if(o_orderkey % 6 IN (0, 1, 2, 3)) AS n_inlined
+       CAST(count_if(o_orderkey % 6 IN (0, 1, 2, 3)) AS BIGINT) AS n_inlined
 FROM orders GROUP BY o_custkey
 """)
 def q_longest_variant(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -371,8 +371,9 @@ def _written_tree(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
 @register("scan_paper_tree", """
 SELECT concat('c', CAST(o_custkey AS VARCHAR), '-0') AS paper_id,
        CASE WHEN o_custkey % 2 = 0 THEN 'arxiv_src_2023' ELSE 'arxiv_src_2024' END AS year,
-       count_if(o_orderkey % 6 IN (0, 1, 2, 3)) + 2 + CASE WHEN o_custkey % 5 = 0 THEN 1 ELSE 0 END AS n_files,
-       count_if(o_orderkey % 6 = 2) AS n_nested
+       CAST(count_if(o_orderkey % 6 IN (0, 1, 2, 3)) + 2 + CASE WHEN o_custkey % 5 = 0 THEN 1 ELSE 0 END
+            AS BIGINT) AS n_files,
+       CAST(count_if(o_orderkey % 6 = 2) AS BIGINT) AS n_nested
 FROM orders GROUP BY o_custkey
 """)
 def q_scan_paper_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -385,7 +386,8 @@ def q_scan_paper_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("list_top_level_tex", """
 SELECT concat('c', CAST(o_custkey AS VARCHAR), '-0') AS paper_id,
-       count_if(o_orderkey % 6 IN (0, 1, 3)) + 2 + CASE WHEN o_custkey % 5 = 0 THEN 1 ELSE 0 END AS n_top_tex
+       CAST(count_if(o_orderkey % 6 IN (0, 1, 3)) + 2 + CASE WHEN o_custkey % 5 = 0 THEN 1 ELSE 0 END
+            AS BIGINT) AS n_top_tex
 FROM orders GROUP BY o_custkey
 """)
 def q_list_top_level_tex(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -87,7 +87,7 @@ def q_resolve_table_label(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("numeric_cell_spans", """
 SELECT l_orderkey, count(*) * 3 + CASE WHEN l_orderkey % 8 = 7 THEN 2 ELSE 0 END AS n_spans,
-       0 AS n_bad, CAST(sum(CAST(l_quantity AS DECIMAL(12,2))) AS DECIMAL(18,2)) AS sum_qty
+       CAST(0 AS BIGINT) AS n_bad, CAST(sum(CAST(l_quantity AS DECIMAL(12,2))) AS DECIMAL(18,2)) AS sum_qty
 FROM lineitem GROUP BY l_orderkey
 """)
 def q_numeric_cell_spans(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,6 +17,18 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test data not present")
 
 
+def _duck_type(dt):
+    from pyspark.sql import types as T
+    names = {T.LongType: "BIGINT", T.IntegerType: "INTEGER", T.StringType: "VARCHAR",
+             T.DoubleType: "DOUBLE", T.BooleanType: "BOOLEAN"}
+    for k, v in names.items():
+        if isinstance(dt, k):
+            return v
+    if isinstance(dt, T.DecimalType):
+        return f"DECIMAL({dt.precision},{dt.scale})"
+    return dt.simpleString().upper()
+
+
 def _norm(v):
     if isinstance(v, float):
         return None if math.isnan(v) else round(v, 6)
@@ -47,6 +59,8 @@ def test_query_matches_oracle(spark, con, name):
         return
     rel = con.sql(sql)
     assert sorted(df.columns) == sorted(rel.columns)
+    spark_types = {f.name: _duck_type(f.dataType) for f in df.schema.fields}
+    assert spark_types == {c: str(t) for c, t in zip(rel.columns, rel.types)}
     assert _bag(df.columns, rows) == _bag(rel.columns, rel.fetchall())
 
 
