@@ -82,3 +82,11 @@ def test_small_helpers(spark):
     df = one_col(spark, ["2305.1", "2401.2", "1907.3"])
     assert [r[0] for r in df.select(year_folder("c")).collect()] == [
         "arxiv_src_2023", "arxiv_src_2024", None]
+
+
+def test_metric_out_of_range_flag(spark):
+    df = spark.createDataFrame([("Accuracy", "150"), ("MRR", "2"), ("Correlation", "-0.5"),
+                                ("MSE", "-1"), ("Recall", "0.5")], "metric string, value string")
+    got = {r.metric: (r.adjusted_metric_value, r.out_of_range) for r in standardize_metric(df).collect()}
+    assert got == {"Accuracy": (150.0, True), "MRR": (2.0, True), "Correlation": (-0.5, False),
+                   "MSE": (-1.0, True), "Recall": (50.0, False)}
