@@ -11,7 +11,8 @@ sys.path.insert(0, ROOT)
 @pytest.fixture(scope="session")
 def spark():
     from pyspark.sql import SparkSession
-    s = (SparkSession.builder.master("local[4]").appName("tablemine-tests")
+    s = (SparkSession.builder.master("local[*]").appName("tablemine-tests")
+         .config("spark.driver.memory", "8g")
          .config("spark.sql.shuffle.partitions", "8")
          .config("spark.ui.enabled", "false")
          .config("spark.ui.showConsoleProgress", "false")
