@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -170,3 +171,14 @@ def ranked(df: DataFrame, key: list[str], order: list[Column], spot: Column,
         cond = cond & F.col(f"rows.{k}").eqNullSafe(F.col(f"_k_{k}"))
     return (rows.join(offs, cond).withColumn(out, (F.col("_o") + F.col("_r")).cast("long"))
             .drop("_b", "_b2", "_r", "_o", *[f"_k_{k}" for k in key]))
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a Parquet table in the shared checkpoint folder, read back."""
+    sc = df.sparkSession.sparkContext
+    folder = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
+    if not folder:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    path = f"{folder.rstrip('/')}/{name.replace(' ', '-')}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
