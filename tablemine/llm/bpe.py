@@ -295,13 +295,13 @@ class Lexicon:
     NAMES = ("key", "target", "skip", "final", "starts", "ids")
 
     def __init__(self, path: str) -> None:
-        head = np.memmap(path, np.int64, "r", shape=(len(self.NAMES) + 1,))
+        head = np.memmap(path, np.int32, "r", shape=(len(self.NAMES) + 1,))
         at = head.nbytes
         self.longest = int(head[-1])
         for name, n in zip(self.NAMES, head[:-1].tolist()):
-            value = np.memmap(path, np.int64, "r", at, (n,)) if n else np.zeros(0, np.int64)
+            value = np.memmap(path, np.int32, "r", at, (n,)) if n else np.zeros(0, np.int32)
             setattr(self, name, value)
-            at += 8 * n
+            at += 4 * n
 
     @classmethod
     def write(cls, words: list[bytes], ids: list[bytes], path: str) -> None:
@@ -312,9 +312,9 @@ class Lexicon:
         arrays["ids"] = flat
         with open(path, "wb") as f:
             f.write(np.array([*(len(arrays[n]) for n in cls.NAMES), max(map(len, words), default=0)],
-                             np.int64).tobytes())
+                             np.int32).tobytes())
             for n in cls.NAMES:
-                f.write(arrays[n].tobytes())
+                f.write(arrays[n].astype(np.int32).tobytes())
 
     def find(self, words: list[bytes]) -> list[bytes | None]:
         """Ids of each word, None for words that are not in the lexicon; all
@@ -332,7 +332,7 @@ class Lexicon:
             go = np.flatnonzero((size > j) & (state >= 0))
             if not len(go):
                 break
-            key = state[go] * 256 + raw[go, j]
+            key = (state[go] * 256 + raw[go, j]).astype(np.int32)
             at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
             ok = self.key[at] == key
             number[go] += np.where(ok, self.skip[at], 0)
@@ -481,7 +481,9 @@ def build_lexicon(docs: DataFrame, column: str = "text", size: int = LEXICON_WOR
     words = sorted(bytes(r.word) for r in top)
     ids = Vocabulary(vocabulary_path(vocabulary)).merge(words)
     name = f"lexicon-{hashlib.sha256(b' '.join(words)).hexdigest()[:16]}.bin"
-    folder = tempfile.mkdtemp(prefix="lexicon-")
+    # equal lexicons have one name and place, so a later build ships nothing anew
+    folder = os.path.join(tempfile.gettempdir(), f"tablemine-lexicons-{os.getpid()}")
+    os.makedirs(folder, exist_ok=True)
     path = os.path.join(folder, name)
     Lexicon.write(words, ids, path)
     docs.sparkSession.sparkContext.addFile(path)

@@ -7,8 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op2_bpe
+from .ngram_join import OP3_SQL, op3_ngram_join
+from .recompress import OP4_SQL, op4_recompression
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
+    "op3_ngram_join": op3_ngram_join,
+    "op4_recompression": op4_recompression,
+}
+ORACLES: dict[str, str] = {
+    "op3_ngram_join": OP3_SQL,
+    "op4_recompression": OP4_SQL,
 }
-ORACLES: dict[str, str] = {}
