@@ -329,14 +329,14 @@ def op4_recompression(spark, sf_dir: str) -> DataFrame:
 
 #: The same by listing all windows.
 OP4_SQL = r"""
-with w as (select doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') as words from documents),
-     s as (select doc_id, words, unnest(generate_series(1, len(words) - 34)) as at from w where len(words) >= 35),
-     h as (select doc_id, at, array_to_string(words[at:at + 34], ' ') as seq from s),
+with w as (select doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as words from documents),
+     s as (select doc_id, words, unnest(generate_series(1, len(words) - 34)) as p from w where len(words) >= 35),
+     h as (select doc_id, p, array_to_string(list_slice(words, p, p + 34), ' ') as seq from s),
      r as (select seq from h group by seq having count(*) > 1),
-     g as (select distinct h.doc_id, unnest(generate_series(h.at, h.at + 34)) as pos from h join r using (seq)),
+     g as (select distinct h.doc_id, unnest(generate_series(h.p, h.p + 34)) as pos from h join r using (seq)),
      gone as (select doc_id, list(pos) as poss, count(*) as n from g group by doc_id)
 select w.doc_id, len(w.words)::bigint as n_words, coalesce(gone.n, 0)::bigint as n_removed,
        sha256(array_to_string(case when gone.n is null then w.words
-              else list_filter(w.words, (x, i) -> not list_contains(gone.poss, i)) end, ' ')) as kept_sha256
+              else list_filter(w.words, lambda x, i: not list_contains(gone.poss, i)) end, ' ')) as kept_sha256
 from w left join gone using (doc_id)
 """
