@@ -300,13 +300,13 @@ def op3_ngram_join(spark, sf_dir: str) -> DataFrame:
 OP3_SQL = r"""
 with recursive w as (
     select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
-               'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') as words from documents),
+               'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as words from documents),
 s as (select distinct doc_id, unnest(case when len(words) = 0 then []
           when len(words) < 5 then [array_to_string(words, ' ')]
-          else list_transform(generate_series(1, len(words) - 4), i -> array_to_string(words[i:i + 4], ' ')) end) as g from w),
+          else list_transform(generate_series(1, len(words) - 4), lambda i: array_to_string(list_slice(words, i, i + 4), ' ')) end) as g from w),
 n as (select doc_id, count(*) as n from s group by doc_id),
-p as (select a.doc_id as a, b.doc_id as b, count(*) as both from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by all),
-l as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * both >= 75 * (x.n + y.n - both)),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as m from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by all),
+l as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * m >= 75 * (x.n + y.n - m)),
 e as (select a, b from l union all select b, a from l),
 r(doc_id, label) as (select doc_id, doc_id from n union select r.doc_id, e.b from r join e on e.a = r.label),
 c as (select doc_id, min(label) as label from r group by doc_id)
