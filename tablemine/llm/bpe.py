@@ -33,7 +33,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, Words, as_bytes, read, slices
+from .common import SLICE_BYTES, Words, as_bytes, extended, read, slices
 
 VOCABULARY = "word_bpe_49k.json"
 #: Words of the automaton: it is built on the driver and mapped by every
@@ -493,7 +493,7 @@ def build_lexicon(docs: DataFrame, column: str = "text", size: int = LEXICON_WOR
 def encode(docs: DataFrame, column: str = "text", lexicon: str | None = None,
            vocabulary: str = VOCABULARY, out: str = "ids") -> DataFrame:
     """Add the token ids of ``column`` as an array of int (null text: empty)."""
-    schema = docs.drop(out).schema.add(out, "array<int>")
+    schema = extended(docs.drop(out), **{out: "array<int>"})
     keep = [f.name for f in docs.drop(out).schema.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -509,7 +509,7 @@ def encode(docs: DataFrame, column: str = "text", lexicon: str | None = None,
 def decode(df: DataFrame, column: str = "ids", vocabulary: str = VOCABULARY, out: str = "decoded") -> DataFrame:
     """Add the decoded text of an array of ids (null: null).  The vocabulary
     file names no decoder, so its tokens stand one space apart."""
-    schema = df.drop(out).schema.add(out, "string")
+    schema = extended(df.drop(out), **{out: "string"})
     keep = [f.name for f in df.drop(out).schema.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

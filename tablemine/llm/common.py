@@ -11,6 +11,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Bytes of text that a Python task holds as word lists at a time.
 SLICE_BYTES = 2 << 20
@@ -146,6 +147,14 @@ def spread(df: DataFrame, factor: int = 2) -> DataFrame:
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism * factor)
 
 
+def extended(df: DataFrame, **columns: str) -> StructType:
+    """The schema of ``df`` with further columns (name=type) at its end."""
+    schema = StructType(list(df.schema.fields))
+    for name, kind in columns.items():
+        schema = schema.add(name, kind)
+    return schema
+
+
 def parts_for(rows: int, each: int) -> int:
     return max(1, -(-rows // each))
 

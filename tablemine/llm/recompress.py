@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, mix, parts_for, read
+from .common import Words, extended, mix, parts_for, read
 
 WIDTH = 35
 #: Rounds of pairing; a round joins about a quarter of the symbols.
@@ -310,7 +310,7 @@ def remove_repeats(docs: DataFrame, column: str = "text", width: int = WIDTH, ro
     def cut_or_none(table: pa.Table, bits: pa.Table) -> pa.Table:
         return cut(table, bits) if table.num_rows else empty
 
-    schema = docs.schema.add("kept", "string").add("n_words", "long").add("n_removed", "long")
+    schema = extended(docs, kept="string", n_words="long", n_removed="long")
     from pyspark.sql.pandas.types import to_arrow_schema
     empty = to_arrow_schema(schema).empty_table()
     slim = dealt.select("chunk", column) if len(docs.columns) == 1 else dealt
