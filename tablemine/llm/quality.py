@@ -75,50 +75,56 @@ def repeat_words(ids: np.ndarray, starts: np.ndarray, width: int = 8) -> np.ndar
     return np.diff(np.concatenate([[0], np.cumsum(under)])[starts])
 
 
+class Measures:
+    """Base counts and the two histograms of some texts."""
+
+    def __init__(self, column: pa.Array) -> None:
+        words = Words(column)
+        n, k = len(column), len(CLASSES) + 1
+        code = np.repeat(np.arange(n) * k, np.diff(words.bounds)) + _CODE[words.data]
+        self.classes = np.bincount(code, minlength=n * k).reshape(n, k)[:, :-1]
+        self.n_words = np.diff(words.starts)
+        doc = np.repeat(np.arange(n), self.n_words)
+        spot = np.minimum(np.searchsorted(_NAMES, words.ids), len(WORDS) - 1)
+        hit = _NAMES[spot] == words.ids
+        self.common = np.bincount(doc[hit] * len(WORDS) + _RANK[spot[hit]],
+                                  minlength=n * len(WORDS)).reshape(n, len(WORDS))
+        self.chars = self.classes.sum(1)
+        self.symbols = self.classes[:, CLASSES.index("symbol")]
+        self.repeat_words = repeat_words(words.ids, words.starts)
+        self.dup_lines = np.zeros(n, np.int64)
+        raw = words.data.tobytes()
+        for k, (a, b) in enumerate(zip(words.bounds[:-1].tolist(), words.bounds[1:].tolist())):
+            lines = [x for x in raw[a:b].split(b"\n") if x.strip()]
+            self.dup_lines[k] = len(lines) - len(set(lines))
+        self.base_failed = (self.n_words < MIN_WORDS) | (100 * self.repeat_words > MAX_REPEAT_PERCENT * self.n_words)
+
+
+_NAMES = Words(pa.array([w.encode() for w in WORDS], pa.binary())).ids
+_RANK = np.argsort(_NAMES)
+_NAMES = _NAMES[_RANK]
+
+
 def features(docs: DataFrame, id_column: str = "doc_id", column: str = "text") -> DataFrame:
     """Base counts and the two histograms of each text, in one pass."""
-    plain = pa.array([w.encode() for w in WORDS], pa.binary())
-    named = Words(plain).ids
-    rank = np.argsort(named)
-    sorted_names = named[rank]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        k = len(CLASSES) + 1
-        for part in slices(batches, column):
-            words = Words(part.column(column))
-            n = part.num_rows
-            size = np.diff(words.bounds)
-            code = np.repeat(np.arange(n) * k, size) + _CODE[words.data]
-            classes = np.bincount(code, minlength=n * k).reshape(n, k)[:, :-1]
-            n_words = np.diff(words.starts)
-            doc = np.repeat(np.arange(n), n_words)
-            spot = np.minimum(np.searchsorted(sorted_names, words.ids), len(WORDS) - 1)
-            hit = sorted_names[spot] == words.ids
-            common = np.bincount(doc[hit] * len(WORDS) + rank[spot[hit]], minlength=n * len(WORDS))
-            dup = []
-            raw = words.data.tobytes()
-            for a, b in zip(words.bounds[:-1].tolist(), words.bounds[1:].tolist()):
-                lines = [x for x in raw[a:b].split(b"\n") if x.strip()]
-                dup.append(len(lines) - len(set(lines)))
-            lists = lambda x, w: pa.ListArray.from_arrays(
-                pa.array(np.arange(0, n * w + 1, w, dtype=np.int32)), pa.array(x.reshape(-1).astype(np.int64)))
+        lists = lambda x: pa.ListArray.from_arrays(
+            pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.reshape(-1).astype(np.int64)))
+        for part in slices(batches, "text"):
+            m = Measures(part.column("text"))
+            counts = (m.n_words, m.chars, m.symbols, m.dup_lines, m.repeat_words)
             yield pa.RecordBatch.from_arrays(
-                [part.column(id_column), part.column("lang"), pa.array(n_words.astype(np.int64)),
-                 pa.array(classes.sum(1).astype(np.int64)), pa.array(classes[:, 3].astype(np.int64)),
-                 pa.array(dup, pa.int64()), pa.array(repeat_words(words.ids, words.starts).astype(np.int64)),
-                 lists(classes, k - 1), lists(common, len(WORDS))],
+                [part.column("doc_id"), part.column("lang"), *(pa.array(x.astype(np.int64)) for x in counts),
+                 pa.array(m.base_failed), lists(m.classes), lists(m.common)],
                 ["doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-                 "classes", "common"])
+                 "base_failed", "classes", "common"])
 
     lang = F.col("lang") if "lang" in docs.columns else F.lit(None)
-    out = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(column).alias("text"),
-                      lang.cast("string").alias("lang"))
-    column, id_column = "text", "doc_id"
-    counted = out.mapInArrow(
+    return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(column).alias("text"),
+                       lang.cast("string").alias("lang")).mapInArrow(
         run, "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
-             "n_repeat_words long, classes array<long>, common array<long>")
-    return counted.withColumn("base_failed", (F.col("n_words") < MIN_WORDS)
-                              | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
+             "n_repeat_words long, base_failed boolean, classes array<long>, common array<long>")
 
 
 def distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -156,37 +162,54 @@ def references(counted: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
     return out
 
 
+def divergences(classes: np.ndarray, common: np.ndarray, chars: np.ndarray, n_words: np.ndarray,
+                refs: dict[str, tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distances of both histograms to the best reference, and whether one of
+    them is beyond what its length allows."""
+    n = len(n_words)
+    p = classes / np.maximum(chars, 1)[:, None]
+    q = np.column_stack([common, n_words - common.sum(1)]) / np.maximum(n_words, 1)[:, None]
+    a, b, fit = np.zeros(n), np.zeros(n), np.full(n, np.inf)
+    for lang in sorted(refs):
+        x, y = distance(p, refs[lang][0]), distance(q, refs[lang][1])
+        better = x + y < fit
+        fit = np.where(better, x + y, fit)
+        a, b = np.where(better, x, a), np.where(better, y, b)
+    bad = (chars >= CLASS_LEAST) & (a > CLASS_LIMIT + CLASS_SLACK / np.sqrt(np.maximum(chars, 1)))
+    bad |= (n_words >= WORD_LEAST) & (b > WORD_LIMIT + WORD_SLACK / np.sqrt(np.maximum(n_words, 1)))
+    return a, b, bad
+
+
 def judge(counted: DataFrame, refs: dict[str, tuple[np.ndarray, np.ndarray]]) -> DataFrame:
     """Add the distances to the best reference and ``kept``."""
     keep = [f.name for f in counted.schema.fields if f.name not in ("classes", "common", "lang")]
-    names = sorted(refs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
-            n = part.num_rows
-            n_words = part.column("n_words").to_numpy()
-            chars = part.column("word_chars").to_numpy()
-            classes = part.column("classes").flatten().to_numpy().reshape(n, -1) / np.maximum(chars, 1)[:, None]
-            common = part.column("common").flatten().to_numpy().reshape(n, -1)
-            rest = n_words - common.sum(1)
-            common = np.column_stack([common, rest]) / np.maximum(n_words, 1)[:, None]
-            a, b, fit = np.zeros(n), np.zeros(n), np.full(n, np.inf)
-            for lang in names:
-                x, y = distance(classes, refs[lang][0]), distance(common, refs[lang][1])
-                better = x + y < fit
-                fit = np.where(better, x + y, fit)
-                a, b = np.where(better, x, a), np.where(better, y, b)
-            bad = (chars >= CLASS_LEAST) & (a > CLASS_LIMIT + CLASS_SLACK / np.sqrt(np.maximum(chars, 1)))
-            bad |= (n_words >= WORD_LEAST) & (b > WORD_LIMIT + WORD_SLACK / np.sqrt(np.maximum(n_words, 1)))
+            table = [part.column(c).flatten().to_numpy().reshape(part.num_rows, -1) for c in ("classes", "common")]
+            a, b, bad = divergences(*table, part.column("word_chars").to_numpy(), part.column("n_words").to_numpy(), refs)
             kept = ~bad & ~part.column("base_failed").to_numpy(zero_copy_only=False).astype(bool)
-            yield pa.RecordBatch.from_arrays(
-                [*(part.column(k) for k in keep), pa.array(a), pa.array(b), pa.array(kept)],
-                [*keep, "class_distance", "word_distance", "kept"])
+            yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keep), pa.array(a), pa.array(b), pa.array(kept)],
+                                             [*keep, "class_distance", "word_distance", "kept"])
 
     schema = extended(counted.select(*keep), class_distance="double", word_distance="double", kept="boolean")
     return counted.mapInArrow(run, schema)
 
 
+def keep_good(docs: DataFrame, id_column: str = "doc_id", column: str = "text") -> DataFrame:
+    """The rows that ``quality_rules`` keeps, with all their columns: one pass
+    for the references, one that judges and filters where the rows are."""
+    refs = references(checkpointed(features(docs, id_column, column)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, column):
+            m = Measures(part.column(column))
+            _, _, bad = divergences(m.classes, m.common, m.chars, m.n_words, refs)
+            yield part.filter(pa.array(~bad & ~m.base_failed))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def quality_rules(docs: DataFrame, id_column: str = "doc_id", column: str = "text") -> DataFrame:
     """One row per input row: base counts, distances, and whether it is kept.
 
