@@ -232,9 +232,11 @@ def similar_groups(docs: DataFrame, id_column: str = "doc_id", column: str = "te
     without an id takes part in no link.  Other columns are ignored.
     """
     base = checkpointed(profiles(docs, id_column, column))
-    points = (base.where("digest is not null and id is not null").groupBy("digest")
-              .agg(F.min("id").alias("point"), F.first("keys").alias("keys")))
-    keyed = points.select("point", F.explode("keys").alias("key")).distinct()
+    full = base.where("digest is not null and id is not null")
+    classes = checkpointed(full.groupBy("digest").agg(F.min("id").alias("point")))
+    # (digest, id) deals a large class of equal sets over many tasks
+    keyed = (full.join(classes, (full.digest == classes.digest) & (full.id == classes.point), "left_semi")
+             .select(F.col("id").alias("point"), F.explode("keys").alias("key")).distinct())
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = checkpointed(keyed.join(shared, "key"))
     weight = members.groupBy("point").agg(F.sum("n").alias("w"))
@@ -247,8 +249,8 @@ def similar_groups(docs: DataFrame, id_column: str = "doc_id", column: str = "te
     sets = checkpointed(sets_of(texts, id_column, column).where("octet_length(items) > 0")
                         .dropDuplicates(["point", "items"]))
     links = cell_links(cells, sets)
-    twins = base.where("digest is not null and id is not null").join(
-        points.select("digest", "point"), "digest").select(F.col("id").alias("a"), F.col("point").alias("b"))
+    # both sides are dealt anew by digest, so a large class is split when the join runs
+    twins = full.select("id", "digest").join(classes, "digest").select(F.col("id").alias("a"), F.col("point").alias("b"))
     # an id whose rows have several sets joins them; for all others the class is enough
     labels = components(links.union(twins.where("a <> b")))
     found = base.join(labels, base.id == labels.point, "left")
