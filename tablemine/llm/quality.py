@@ -40,8 +40,8 @@ SYMBOLS, SENTENCE = b"#*$%&|<>", b".,;:!?'\"()-"
 MIN_WORDS, MAX_REPEAT_PERCENT, REFERENCE_WORDS = 20, 30, 100
 #: A distance of ``LIMIT + SLACK / sqrt(n)`` is allowed; nothing is judged
 #: below ``LEAST`` characters or words.
-CLASS_LIMIT, CLASS_SLACK, CLASS_LEAST = 0.20, 1.0, 80
-WORD_LIMIT, WORD_SLACK, WORD_LEAST = 0.35, 1.5, 60
+CLASS_LIMIT, CLASS_SLACK, CLASS_LEAST = 0.15, 1.2, 200
+WORD_LIMIT, WORD_SLACK, WORD_LEAST = 0.28, 1.5, 60
 
 _CODE = np.full(256, len(CLASSES), np.int64)  # the last code: not counted
 _CODE[0:32] = CLASSES.index("control")
