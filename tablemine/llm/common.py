@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..session import ensure_checkpoint_dir
+
 #: Bytes of text that a Python task holds as word lists at a time.
 SLICE_BYTES = 2 << 20
 
@@ -24,12 +26,7 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder and read back, so that
     later plans neither recompute it nor depend on the executors that made it."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        folder = sc.getConf().get("spark.checkpoint.dir", None)
-        if not folder:
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(folder)
+    ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -184,10 +181,7 @@ def ranked(df: DataFrame, key: list[str], order: list[Column], spot: Column,
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared checkpoint folder, read back."""
-    sc = df.sparkSession.sparkContext
-    folder = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
-    if not folder:
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    folder = ensure_checkpoint_dir(df.sparkSession)
     path = f"{folder.rstrip('/')}/{name.replace(' ', '-')}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
