@@ -82,21 +82,26 @@ def with_next(docs: DataFrame, id_column: str, column: str) -> DataFrame:
     high = F.coalesce(F.get(edges, part).cast("double"), low + 1)
     inside = F.least(F.floor((place.cast("double") - low) / (high - low) * fine), F.lit(fine - 1))
     range_ = part.cast("long") * (1 << 32) + F.greatest(inside, F.lit(0)).cast("long")
-    order = Window.partitionBy("range").orderBy(F.asc_nulls_first(id_column), F.xxhash64(column))
-    rows = docs.withColumn("range", range_).withColumns(
-        {"row": F.row_number().over(order), "next": F.lead(column).over(order)})
-    known = docs.select(range_.alias("range")).groupBy("range").agg(F.count(F.lit(1)).alias("m"))
-    known = known.withColumn("part", F.shiftright("range", 32))
+    tie = F.xxhash64(column)
+    dealt = docs.withColumn("range", range_)
+    known = dealt.groupBy("range").agg(F.count(F.lit(1)).alias("m")).withColumn("part", F.shiftright("range", 32))
     firsts = known.groupBy("part").agg(F.min("range").alias("first"))
     # at most COARSE + 1 rows
     later = firsts.select("part", F.coalesce(F.lead("first").over(Window.orderBy("part")),
                                              F.first("first").over(Window.orderBy("part"))).alias("later"))
-    follow = known.join(later, "part").select("range", F.coalesce(F.lead("range").over(
+    before = known.join(later, "part").select("range", F.coalesce(F.lead("range").over(
         Window.partitionBy("part").orderBy("range")), "later").alias("_after"))
-    heads = rows.where("row = 1").select(F.col("range").alias("_after"), F.col(column).alias("_head"))
-    tails = rows.where("next is null").join(follow, "range").join(heads, "_after")
-    return rows.where("next is not null").unionByName(
-        tails.withColumn("next", F.col("_head")).select(*rows.columns))
+    # the first text of each range also stands at the end of the range before it
+    heads = dealt.groupBy("range").agg(F.min(F.struct(
+        F.col(id_column).isNotNull().alias("a"), F.col(id_column).alias("b"), tie.alias("c"),
+        F.col(column).alias("t"))).alias("h")).select(F.col("range").alias("_after"), "h.t")
+    ends = before.join(heads, "_after").select("range", *[
+        (F.col("t") if c == column else F.lit(None).cast(docs.schema[c].dataType)).alias(c) for c in docs.columns],
+        F.lit(True).alias("_end"))
+    rows = dealt.select("range", *docs.columns, F.lit(False).alias("_end")).union(ends)
+    order = Window.partitionBy("range").orderBy("_end", F.asc_nulls_first(id_column), tie)
+    return rows.withColumns({"row": F.row_number().over(order), "next": F.lead(column).over(order)}).where(
+        "not _end").drop("_end")
 
 
 def op10_weighted_sampling(spark, sf_dir: str) -> DataFrame:
