@@ -85,12 +85,6 @@ def truncate_chars(text, n: int) -> Column:
     return F.substr(col(text), F.lit(1), F.lit(n))
 
 
-def truncate_words(text, n: int) -> Column:
-    """Token budget by whitespace words (the model function may apply its
-    own tokenizer on top)."""
-    return F.array_join(F.slice(F.split(strip_ws(col(text)), r"\s+"), 1, n), " ")
-
-
 def arxiv_id_from_url(url) -> Column:
     """Last path segment, first 10 characters (drops the version)."""
     return F.substr(F.substring_index(col(url), "/", -1), F.lit(1), F.lit(10))
