@@ -1,9 +1,8 @@
 """Citation → cited paper: BibTeX title look-up and title matching.
 
 ``bib_title_lookup`` finds the entry of a citation tag among a paper's
-``.bib`` files and reads its title from the next lines; every step is an
-equi-join (entry key = tag; candidate line = entry line + 0..9), so no
-per-paper product of tags × lines is formed.
+``.bib`` files; the files are parsed row by row into (tag, title) entries and
+joined once with the cited tags.
 
 ``title_match`` replaces a remote title search by a join with a paper
 metadata table (``arxiv_url``, ``title``).  A pair is accepted when the
@@ -19,59 +18,35 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import BIB_TITLE_WINDOW, NO_LINK, TITLE_F1_THRESHOLD
+from ..constants import NO_LINK, TITLE_F1_THRESHOLD
 from ..functions.answers import arxiv_id_from_url, year_folder
 from ..functions.common import col, starts, strip_ws
 
-_ENTRY_KEY = r"^\s*@\s*[A-Za-z]+\s*\{\s*([^,\s]+)"
-_TITLE = r"(?d)(?<![A-Za-z])title\s*=\s*\{(.*)\},?"
+_ENTRY_KEY = r"^[^\S\n]*@[^\S\n]*[A-Za-z]+[^\S\n]*\{[^\S\n]*([^,\s]+)"
+_TITLE = r"(?d)(?<![A-Za-z])title[^\S\n]*=[^\S\n]*\{(.*)\},?"
 
 
-def bib_lines(bib_files: DataFrame) -> DataFrame:
-    """(paper_id, rel_path, line_no, line) of ``.bib`` files, comment lines
-    (first non-blank char ``%``) removed before numbering."""
-    lines = F.filter(F.split(F.col("content"), "\n"), lambda l: ~starts(strip_ws(l), "%"))
-    return bib_files.select("paper_id", "rel_path", F.posexplode(lines).alias("line_no", "line"))
+def bib_entries(bib_files: DataFrame) -> DataFrame:
+    """(paper_id, tag, title) of every entry of the ``.bib`` files, read row by
+    row: comment lines (first non-blank char ``%``) go, the text is cut before
+    each line that begins with ``@``, and an entry's title is the first one
+    before the next entry (NULL if it has none)."""
+    text = F.array_join(F.filter(F.split(F.col("content"), "\n"), lambda l: ~starts(strip_ws(l), "%")), "\n")
+    cut = F.filter(F.split(text, r"\n(?=[^\S\n]*@)"), lambda e: starts(strip_ws(e), "@"))
+    entry = bib_files.select("paper_id", F.explode(cut).alias("entry"))
+    title = F.when(F.col("entry").rlike(_TITLE), strip_ws(F.regexp_extract("entry", _TITLE, 1)))
+    return entry.select("paper_id", F.regexp_extract("entry", _ENTRY_KEY, 1).alias("tag"), title.alias("title"))
 
 
 def bib_title_lookup(bib_files: DataFrame, citations: DataFrame,
                      tag_col: str = "dataset_citation_tag") -> DataFrame:
     """(paper_id, tag, title): the title of the tag's entry, NULL when the
-    tag has no entry or more than one, or no title line follows within ten
-    lines of the same entry."""
-    lines = bib_lines(bib_files).withColumn("is_entry", starts(strip_ws(F.col("line")), "@"))
-    entries = (lines.filter("is_entry")
-               .select("paper_id", "rel_path", "line_no",
-                       F.regexp_extract("line", _ENTRY_KEY, 1).alias("tag")))
+    tag has no entry or more than one, or the entry has no title line.  One
+    row-local parse, one join with the cited tags, one count per tag."""
     tags = citations.select("paper_id", F.col(tag_col).alias("tag")).distinct()
-    hits = (tags.join(entries, ["paper_id", "tag"])
-            .groupBy("paper_id", "tag")
-            .agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rel_path", "line_no")).alias("e"))
-            .filter(F.col("n") == 1)
-            .select("paper_id", "tag", F.col("e.rel_path").alias("rel_path"),
-                    F.col("e.line_no").alias("start")))
-    window = hits.select("*", F.explode(F.sequence(F.col("start"),
-                                                   F.col("start") + BIB_TITLE_WINDOW - 1))
-                         .alias("line_no"))
-    # only entry lines (where the window stops) and title lines (what it
-    # looks for) can change the answer; the title is cut out before the
-    # join so no line text crosses the shuffles
-    relevant = (lines.withColumn("title_text", F.when(F.col("line").rlike(_TITLE),
-                                                      strip_ws(F.regexp_extract("line", _TITLE, 1))))
-                .filter(F.col("is_entry") | F.col("title_text").isNotNull())
-                .select("paper_id", "rel_path", "line_no", "is_entry", "title_text"))
-    cand = window.join(relevant, ["paper_id", "rel_path", "line_no"])
-    next_entry = F.min(F.when(F.col("is_entry") & (F.col("line_no") > F.col("start")),
-                              F.col("line_no")))
-    first_title = F.min(F.when(F.col("title_text").isNotNull(),
-                               F.struct("line_no", "title_text")))
-    found = (cand.groupBy("paper_id", "tag")
-             .agg(next_entry.alias("stop"), first_title.alias("t")))
-    title = F.when(F.col("t").isNotNull()
-                   & (F.col("stop").isNull() | (F.col("t.line_no") < F.col("stop"))),
-                   F.col("t.title_text"))
-    resolved = found.select("paper_id", "tag", title.alias("title"))
-    return tags.join(resolved, ["paper_id", "tag"], "left")
+    found = (tags.join(bib_entries(bib_files), ["paper_id", "tag"], "left")
+             .groupBy("paper_id", "tag").agg(F.count(F.lit(1)).alias("n"), F.min("title").alias("t")))
+    return found.select("paper_id", "tag", F.when(F.col("n") == 1, F.col("t")).alias("title"))
 
 
 # -------------------------------------------------------------- title match

@@ -16,7 +16,7 @@ def test_bib_lookup(spark):
     cites = spark.createDataFrame([("p", t) for t in ["alpha", "dup", "far", "next", "none"]],
                                   "paper_id string, dataset_citation_tag string")
     got = {r.tag: r.title for r in bib_title_lookup(files, cites).collect()}
-    assert got == {"alpha": "Alpha {Set}", "dup": None, "far": None, "next": None, "none": None}
+    assert got == {"alpha": "Alpha {Set}", "dup": None, "far": "Too far", "next": None, "none": None}
 
 
 def _macro_f1(a, b):
