@@ -34,12 +34,17 @@ def count_sub_col(text: Column, sub: Column) -> Column:
             .otherwise(F.lit(0)).cast("int")
 
 
-def resolve_table_label(block, paper, all_tables) -> Column:
-    """0 labels → the block's only label (none if it has several); 1 → it;
-    more → the most referenced one."""
-    labels = table_labels(block)
-    return F.when(F.size(labels) == 1, labels[0]).when(
+def resolve_table_label(table, paper, all_tables, enclosing=None) -> Column:
+    """Label of a table: 1 label → it; more → the most referenced one; none →
+    the only label of the ``enclosing`` block (NULL if it has none or several,
+    or no enclosing block is given)."""
+    labels = table_labels(table)
+    found = F.when(F.size(labels) == 1, F.get(labels, F.lit(0))).when(
         F.size(labels) > 1, most_referenced(labels, col(paper), col(all_tables)))
+    if enclosing is None:
+        return found
+    outer = table_labels(enclosing)
+    return found.when((F.size(labels) == 0) & (F.size(outer) == 1), F.get(outer, F.lit(0)))
 
 
 def split_multi_tabular(blocks: DataFrame, block_col: str = "table_source",
@@ -60,9 +65,8 @@ def split_multi_tabular(blocks: DataFrame, block_col: str = "table_source",
 
     def pieces(sp):
         n_sub = count_sub(b, "\\subfloat")
-        by_subfloat = F.transform(sp, lambda t, i: F.substr(
-            b, _nth_locate(b, "\\subfloat", i + 1),
-            F.instr(b, t) + F.length(t) - _nth_locate(b, "\\subfloat", i + 1)))
+        by_subfloat = F.transform(_span_ends(b, sp), lambda end, i: F.substr(
+            b, _nth_locate(b, "\\subfloat", i + 1), end - _nth_locate(b, "\\subfloat", i + 1)))
         chosen = F.when(F.size(sp) == n_sub, by_subfloat).otherwise(sp)
         return F.transform(chosen, lambda piece: F.struct(
             piece.alias("piece"),
@@ -77,6 +81,19 @@ def split_multi_tabular(blocks: DataFrame, block_col: str = "table_source",
                  .select(*keep, "piece_index", F.col("p.piece").alias("piece"), F.col("p.label").alias("label"))
 
 
+def _span_ends(text: Column, spans: Column) -> Column:
+    """1-based position after each span: spans lie one after the other, so each
+    is searched behind the one before (equal spans keep their own places)."""
+    init = F.struct(F.lit(1).alias("at"), F.array().cast("array<int>").alias("ends"))
+
+    def step(acc, s):
+        rest = F.substr(text, acc["at"], F.length(text))
+        return let(acc["at"] + F.instr(rest, s) - 1 + F.length(s),
+                   lambda end: F.struct(end.alias("at"), F.array_append(acc["ends"], end).alias("ends")))
+
+    return F.aggregate(spans, init, step)["ends"]
+
+
 def _nth_locate(text: Column, sub: str, n: Column) -> Column:
     """1-based position of the n-th occurrence of ``sub`` (0 if fewer)."""
     parts = F.split(text, _quote(sub))
