@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from ..operators.bib import bib_title_lookup, title_match
 from ..operators.describe import describe_distinct, fill_failed_descriptions
-from ..operators.model import apply_model, describer_stub, source_describer_stub
+from ..operators.model import apply_model
+from .stubs import describer_stub, source_describer_stub
 from .queries import read, register
 from .render import bounded_chunks
 
@@ -272,7 +273,7 @@ def q_leaderboard_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     dedupe and quality filters → the 13-column table.  Rows-only check:
     each stage has its own oracle above."""
     from ..operators.blocks import extract_table_blocks
-    from ..operators.model import table_extractor_stub
+    from .stubs import table_extractor_stub
     from . import traces
     from .render import lineitem_papers
     papers = extract_table_blocks(lineitem_papers(read(spark, sf_dir, "lineitem"), noise=False))
@@ -361,7 +362,7 @@ FROM lineitem"""
 def q_extract_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Relevant tables → extraction prompt → model (stub reading the table
     rows back) → reasoning stripped, failures dropped → records."""
-    from ..operators.model import table_extractor_stub
+    from .stubs import table_extractor_stub
     from . import traces
     tables = traces.relevant_tables(_clean_papers(spark, sf_dir))
     ex = traces.extract_table_records(tables, table_extractor_stub)
@@ -376,7 +377,7 @@ def q_augment_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records + table + cleaned paper text (joined by paper_id only here) →
     context prompt → model (stub filling the subset from the paper's
     section title) → one row per record."""
-    from ..operators.model import augmenter_stub, table_extractor_stub
+    from .stubs import augmenter_stub, table_extractor_stub
     from . import traces
     papers = _clean_papers(spark, sf_dir)
     tables = traces.relevant_tables(papers)

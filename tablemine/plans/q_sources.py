@@ -360,7 +360,8 @@ def _tree_root(spark: SparkSession) -> str:
 def _written_tree(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
     """Render the customer source folders, write them as a real file tree
     (year folder by custkey parity) and return (root, scanned files)."""
-    from ..sources.files import scan_paper_tree, write_paper_tree
+    from ..sources.files import scan_paper_tree
+    from .render import write_paper_tree
     files = customer_paper_files(read(spark, sf_dir, "orders")).withColumn(
         "year", F.when(F.col("o_custkey") % 2 == 0, F.lit("arxiv_src_2023")).otherwise(F.lit("arxiv_src_2024")))
     root = _tree_root(spark)

@@ -160,3 +160,29 @@ def sql_template(template: str, duck: bool = False) -> str:
         if buf:
             parts.append("'" + buf + "'")
     return "concat(" + ", ".join(parts) + ")" if parts else "''"
+
+
+def write_paper_tree(files: DataFrame, root: str, year_col: str = "year") -> DataFrame:
+    """Write a files table (year, paper_id, rel_path, content) out as a
+    source tree ``<root>/<year>/<paper_id>/<rel_path>``, as a fixture for the scan (a
+    retried task writes a file again, with the same content).  Each task writes
+    its own files through ``pyarrow.fs`` (local, HDFS, S3, … by URI), so the
+    tree is produced in parallel; returns (path, bytes) per file."""
+    schema = "path string, bytes long"
+
+    def write(batches):
+        import pandas as pd
+        from pyarrow import fs as pafs
+        filesystem, base = pafs.FileSystem.from_uri(root)
+        for pdf in batches:
+            out = []
+            for y, p, r, c in zip(pdf[year_col], pdf["paper_id"], pdf["rel_path"], pdf["content"]):
+                path = f"{base.rstrip('/')}/{y}/{p}/{r}"
+                filesystem.create_dir(path.rsplit("/", 1)[0], recursive=True)
+                data = (c or "").encode("utf-8")
+                with filesystem.open_output_stream(path) as fh:
+                    fh.write(data)
+                out.append((path, len(data)))
+            yield pd.DataFrame(out, columns=["path", "bytes"])
+
+    return files.select(year_col, "paper_id", "rel_path", "content").mapInPandas(write, schema)

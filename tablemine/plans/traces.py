@@ -17,9 +17,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import RECORD_FIELDS, TABLE_PROMPT_MAX_CHARS, UNSPECIFIED
+from ..constants import RECORD_FIELDS, UNSPECIFIED
 from ..functions.answers import label_is_true, render_prompt, strip_reasoning, truncate_chars
-from ..functions.text import clean_context_text
+from ..functions.text import clean_context_text, clean_description_text
 from ..operators import dedupe as D
 from ..operators.assembly import assemble_papers
 from ..operators.blocks import extract_table_blocks, papers_with_tables
@@ -45,22 +45,28 @@ def papers_from_files(files: DataFrame, keywords: list[str] | None = None) -> Da
     array<struct<latex,label>>, full_paper_latex_code, keywords)."""
     papers = assemble_papers(files)
     blocks = extract_table_blocks(papers)
-    kept = keyword_filter(blocks.filter(F.size("tables") > 0), "full_paper_latex_code", keywords)
+    # a generator, so that the blocks are not computed again for a filter
+    some = F.explode(F.filter(F.array("tables"), lambda t: F.size(t) > 0)).alias("tables")
+    blocks = blocks.select(*[c for c in blocks.columns if c != "tables"], some)
+    kept = keyword_filter(blocks, "full_paper_latex_code", keywords)
     return kept.withColumn("tables", F.transform("tables", lambda t: F.struct(
         t.alias("latex"), F.lit(None).cast("string").alias("label"))))
 
 
 # ------------------------------------------------------------------ trace B
-def relevant_tables(papers: DataFrame, model_factory: ModelFactory | None = None) -> DataFrame:
+def relevant_tables(papers: DataFrame, model_factory: ModelFactory | None = None,
+                    max_prompt_chars: int | None = None) -> DataFrame:
     """papers → (paper_id, table_index, table_source).  Rule form: tables
     with at least one numeric cell; with a model: its answer contains
-    "true" (prompt cut to 10,000 characters)."""
+    "true" (the model sees the whole table unless ``max_prompt_chars`` is
+    given; the original cuts to 10,000 characters)."""
     t = papers_with_tables(papers.withColumn("tables", F.transform("tables", lambda x: x["latex"]))
                            .drop("full_paper_latex_code", "keywords"))
     if model_factory is None:
         return t.filter(has_numeric_cell("table_source"))
-    prompt = truncate_chars(render_prompt(TABLE_TEMPLATE, {"table": F.col("table_source")}),
-                            TABLE_PROMPT_MAX_CHARS)
+    prompt = render_prompt(TABLE_TEMPLATE, {"table": F.col("table_source")})
+    if max_prompt_chars:
+        prompt = truncate_chars(prompt, max_prompt_chars)
     answered = apply_model(t.withColumn("_prompt", prompt), "_prompt", model_factory, "_label")
     return answered.filter(label_is_true("_label")).drop("_prompt", "_label")
 
@@ -118,7 +124,7 @@ def final_table(records: DataFrame, describe_model: ModelFactory, source_model:
         canon = canonicalize_names(r.select(F.col("dataset").alias("name")).filter(F.col("name").isNotNull()))
         r = apply_canonical_names(r, canon, "dataset", "dataset_canonical")
     d = describe_distinct(r, describe_model)
-    texts = paper_text.select("paper_id", F.col("full_paper_latex_code").alias("text"))
+    texts = paper_text.select("paper_id", clean_description_text("full_paper_latex_code").alias("text"))
     d = fill_failed_descriptions(d, texts, source_model)
     d = d.withColumn("_o1", F.col("paper_id")).withColumn("_o2", F.col("table_index")) \
          .withColumn("_o3", F.col("record_index"))

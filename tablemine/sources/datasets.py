@@ -22,16 +22,15 @@ def write_dataset(df: DataFrame, path: str, mode: str = "overwrite",
 
 
 def write_shards(df: DataFrame, path: str, n: int, key: str) -> None:
-    """Write ``shard_0 … shard_{n-1}`` sub-folders by hash of ``key``."""
-    tagged = df.withColumn("_shard", F.pmod(F.xxhash64(F.col(key)), F.lit(n)))
-    for i in range(n):
-        tagged.filter(F.col("_shard") == i).drop("_shard").write.mode("overwrite").parquet(
-            f"{path.rstrip('/')}/shard_{i}")
+    """Write ``n`` shards by hash of ``key``, as folders ``shard=<i>``, in one
+    job.  Rows of a shard come from many tasks, so a hot key makes no task larger."""
+    tagged = df.withColumn("shard", F.pmod(F.xxhash64(F.col(key)), F.lit(n)))
+    tagged.write.mode("overwrite").partitionBy("shard").parquet(path)
 
 
 def read_shards(spark: SparkSession, path: str) -> DataFrame:
-    """All ``shard_*`` sub-folders as one table (schemas merged by name)."""
-    return spark.read.option("mergeSchema", "true").parquet(f"{path.rstrip('/')}/shard_*")
+    """All shards as one table (schemas merged by name)."""
+    return spark.read.option("mergeSchema", "true").parquet(path).drop("shard")
 
 
 def concat_shards(*dfs: DataFrame) -> DataFrame:
@@ -59,12 +58,6 @@ def from_json_column(c, schema: DataType | str) -> Column:
     return F.from_json(c if isinstance(c, Column) else F.col(c), schema)
 
 
-def columns_from_rows(spark: SparkSession, rows: list[dict], schema) -> DataFrame:
-    """Small driver-side row lists only (tests, manifests); stage data is
-    always produced by DataFrame operators."""
-    return spark.createDataFrame(rows, schema)
-
-
 def incremental_manifest(work: DataFrame, manifest: DataFrame, keys: list[str]) -> DataFrame:
     """Work items whose target is not in the manifest yet (``left_anti``)."""
     return work.join(manifest.select(*keys).distinct(), keys, "left_anti")
