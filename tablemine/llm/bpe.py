@@ -239,11 +239,13 @@ def build_automaton(words: list[bytes]) -> dict[str, np.ndarray]:
     arcs: list[list[list[int]]] = [[]]
     accept = [False]
     register: dict[tuple, int] = {}
+    below: dict[int, int] = {}  # words that end at or under a settled state
     path: list[int] = [0]
 
     def settle(depth: int) -> None:
         while len(path) > depth + 1:
             s = path.pop()
+            below[s] = accept[s] + sum(below[t] for _, t in arcs[s])
             same = register.setdefault((accept[s], tuple((c, t) for c, t in arcs[s])), s)
             arcs[path[-1]][-1][1] = same
 
@@ -268,19 +270,12 @@ def build_automaton(words: list[bytes]) -> dict[str, np.ndarray]:
         if s not in number:
             number[s] = len(number)
             stack += [t for _, t in arcs[s]]
-    below: dict[int, int] = {}
-
-    def count(s: int) -> int:
-        if s not in below:
-            below[s] = accept[s] + sum(count(t) for _, t in arcs[s])
-        return below[s]
-
     rows = []
     for s, i in number.items():
         skip = int(accept[s])
         for c, t in arcs[s]:
             rows.append((i * 256 + c, number[t], skip))
-            skip += count(t)
+            skip += below[t]
     rows.sort()
     final = np.zeros(len(number), np.uint8)
     for s, i in number.items():
@@ -475,9 +470,11 @@ def word_counts(docs: DataFrame, column: str = "text", vocabulary: str = VOCABUL
 
 def build_lexicon(docs: DataFrame, column: str = "text", size: int = LEXICON_WORDS,
                   vocabulary: str = VOCABULARY) -> str:
-    """Compile the ``size`` most frequent words of all texts; ship the file to
+    """Compile the ``size`` most frequent words (of up to ``ARRAY_BYTES``
+    bytes) of all texts; ship the file to
     the executors and return its name there.  The driver receives ``size`` rows."""
-    top = word_counts(docs, column, vocabulary).orderBy(F.desc("n"), "word").limit(size).collect()
+    counts = word_counts(docs, column, vocabulary).where(F.octet_length("word") <= ARRAY_BYTES)
+    top = counts.orderBy(F.desc("n"), "word").limit(size).collect()
     words = sorted(bytes(r.word) for r in top)
     ids = Vocabulary(vocabulary_path(vocabulary)).merge(words)
     name = f"lexicon-{hashlib.sha256(b' '.join(words)).hexdigest()[:16]}.bin"

@@ -146,10 +146,8 @@ def spread(df: DataFrame, factor: int = 2) -> DataFrame:
 
 def extended(df: DataFrame, **columns: str) -> StructType:
     """The schema of ``df`` with further columns (name=type) at its end."""
-    schema = StructType(list(df.schema.fields))
-    for name, kind in columns.items():
-        schema = schema.add(name, kind)
-    return schema
+    more = [StructType.fromDDL(f"`{name}` {kind}").fields[0] for name, kind in columns.items()]
+    return StructType([*df.schema.fields, *more])
 
 
 def parts_for(rows: int, each: int) -> int:
