@@ -260,19 +260,22 @@ def similar_groups(docs: DataFrame, id_column: str = "doc_id", column: str = "te
 
 def cell_links(cells: DataFrame, sets: DataFrame) -> DataFrame:
     """Links (a, b) that connect all linked points of each cell."""
-    rows = cells.join(sets, "point").withColumn(
-        "band", F.floor(F.log(F.octet_length("items") / 8) / F.log(F.lit(DENOMINATOR / NUMERATOR))).cast("int"))
-    sizes = rows.groupBy("lead").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    rows = rows.join(sizes, "lead").withColumn(
+    # cells are cut into blocks on slim rows; the sets join once the blocks are known
+    sets = sets.withColumn("tag", F.xxhash64("items"))
+    slim = cells.join(sets.select("point", "tag", F.octet_length("items").alias("bytes")), "point").withColumn(
+        "band", F.floor(F.log(F.col("bytes") / 8) / F.log(F.lit(DENOMINATOR / NUMERATOR))).cast("int")).drop("bytes")
+    sizes = slim.groupBy("lead").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    rows = slim.join(sizes, "lead").withColumn(
         "block", F.when(F.col("n") <= CELL_DOCS, F.lit(-1).cast("long")).otherwise(
             F.col("band") * 1_000_000 + F.pmod(F.xxhash64("point"), F.ceil(F.col("n") / CELL_DOCS)) % 1_000_000))
+    rows = checkpointed(rows.select("lead", "block", "band", "point", "tag"))
+    with_sets = lambda x: x.join(sets, ["point", "tag"])
     large = rows.where("block >= 0")
-    lead_sets = large.where("lead = point").select("lead", F.col("items").alias("lead_items")).dropDuplicates(["lead"])
-    hubs = (large.select("lead", "block").distinct().join(lead_sets, "lead")
-            .select("lead", "block", F.col("lead").alias("point"), F.col("lead_items").alias("items")))
-    one = rows.select("lead", "block", "point", "items").union(hubs).dropDuplicates(["lead", "block", "point", "items"])
+    blocks = large.select("lead", "block").distinct()
+    hubs = blocks.join(large.where("lead = point").select("lead", "point", "tag"), "lead")
+    one = rows.select("lead", "block", "point", "tag").union(hubs.select("lead", "block", "point", "tag")).distinct()
     first = checkpointed(
-        one.select("lead", "block", "point", "items", F.col("point").alias("label"), F.lit(False).alias("asks"))
+        with_sets(one).select("lead", "block", "point", "items", F.col("point").alias("label"), F.lit(False).alias("asks"))
         .groupBy("lead", "block").applyInArrow(links_of, "a long, b long"))
     if not large.limit(1).count():
         return first
@@ -284,11 +287,12 @@ def cell_links(cells: DataFrame, sets: DataFrame) -> DataFrame:
     known = known.join(heart, "lead")
     rest = known.where("label <> core")
     targets = known.select("lead", "block", "band").distinct()
-    asked = (rest.select("lead", "point", "items", "label", F.explode(F.array(
+    asked = (rest.select("lead", "point", "tag", "label", F.explode(F.array(
         F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band")).join(targets, ["lead", "band"]))
-    both = (known.join(asked.select("lead", "block").distinct(), ["lead", "block"], "left_semi")
-            .select("lead", "block", "point", "items", "label", F.lit(False).alias("asks"))
-            .union(asked.select("lead", "block", "point", "items", "label", F.lit(True).alias("asks"))))
+    columns = ["lead", "block", "point", "tag", "label"]
+    both = with_sets(
+        known.join(asked.select("lead", "block").distinct(), ["lead", "block"], "left_semi")
+        .select(*columns, F.lit(False).alias("asks")).union(asked.select(*columns, F.lit(True).alias("asks"))))
     second = both.groupBy("lead", "block").applyInArrow(links_of, "a long, b long")
     return first.union(checkpointed(second))
 
