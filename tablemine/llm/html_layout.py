@@ -47,7 +47,7 @@ SCOPES = frozenset(("table", "td", "th", "caption", "button", "template", "html"
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|</([a-zA-Z][^\s/>]*+)[^>]*+>?"
     # quotes hide a ">"; without their end the next ">" ends the tag
-    r"|<([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]{0,20000}+\"|'[^']{0,20000}+')*+)>|<([a-zA-Z][^\s/>]*+)([^>]*+)>", re.DOTALL)
+    r"|<([a-zA-Z][^\s/><]*+)((?:[^<>\"']++|\"[^\"]{0,20000}+\"|'[^']{0,20000}+')*+)>|<([a-zA-Z][^\s/><]*+)([^<>]*+)>", re.DOTALL)
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 _GONE = re.compile(r"(?i)display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)")
@@ -179,15 +179,18 @@ class Page:
         if not self.now:
             if self.gap and self.lines:
                 self.lines += [""] * self.gap
-            self.now.append(self.prefix + self.first)
-            if self.first:
-                self.prefix, self.first = self.prefix + " " * len(self.first), ""
+            self.now.append(self.head())
         elif self.space:
             self.now.append(" ")
         self.space = body[-1] == " "
         self.now.append(body.strip(" "))
         self.gap = None
 
+    def head(self) -> str:
+        """What begins a line: the indent, its end replaced by a list mark that waits."""
+        first, self.first = self.first, ""
+        return self.prefix[:len(self.prefix) - len(first)] + first
+
     def line(self) -> None:
         """End the open line."""
         if self.now:
@@ -198,7 +201,8 @@ class Page:
 
     def block(self, blank: int) -> None:
         self.line()
-        self.gap = max(self.gap or 0, blank)
+        if not self.first:  # the first block of a list item stands beside its mark
+            self.gap = max(self.gap or 0, blank)
 
     def whole(self, lines: list[str]) -> None:
         """Lines that stand as they are."""
@@ -206,10 +210,7 @@ class Page:
         if lines:
             if self.gap and self.lines:
                 self.lines += [""] * self.gap
-            head = self.prefix + self.first
-            if self.first:
-                self.prefix, self.first = self.prefix + " " * len(self.first), ""
-            self.lines.append((head + lines[0]).rstrip(" "))
+            self.lines.append((self.head() + lines[0]).rstrip(" "))
             self.lines += [(self.prefix + x).rstrip(" ") for x in lines[1:]]
             self.gap = 0
 
@@ -299,7 +300,9 @@ def layout(page: Page, top: Element, depth: int = 0) -> None:
             page.block(blank)
             if kind == "list":
                 lists.pop()
-            page.prefix, page.first = prefix, ""
+            if kind == "li":
+                page.first = ""
+            page.prefix = prefix
             continue
         if not visible(x):
             continue
@@ -335,13 +338,14 @@ def layout(page: Page, top: Element, depth: int = 0) -> None:
                 lists.append([tag, int(start) if start.isdecimal() and start.isascii() and len(start) < 10 else 1])
                 work.append(("list", blank, old))
             else:
-                work.append(("block", blank, old))
+                work.append((tag, blank, old))
             if tag == "li":
                 if lists and lists[-1][0] == "ol":
                     page.first = f"{lists[-1][1]}. "
                     lists[-1][1] += 1
                 else:
                     page.first = "- "
+                page.prefix = old + " " * len(page.first)
             elif tag in ("dd", "blockquote"):
                 page.prefix = old + "  "
             work += reversed(x.children)
