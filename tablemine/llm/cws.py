@@ -79,8 +79,8 @@ def with_next(docs: DataFrame, id_column: str, column: str) -> DataFrame:
     edges = F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<long>")
     part = F.size(F.filter(edges, lambda e: e <= place))
     low = F.get(edges, F.greatest(part - 1, F.lit(0))).cast("double")
-    high = F.coalesce(F.get(edges, part).cast("double"), low + 1)
-    inside = F.least(F.floor((place.cast("double") - low) / (high - low) * fine), F.lit(fine - 1))
+    span = F.greatest(F.coalesce(F.get(edges, part).cast("double") - low, F.lit(1.0)), F.lit(1.0))
+    inside = F.least(F.floor((place.cast("double") - low) / span * fine), F.lit(fine - 1))
     range_ = part.cast("long") * (1 << 32) + F.greatest(inside, F.lit(0)).cast("long")
     tie = F.xxhash64(column)
     dealt = docs.withColumn("range", range_)

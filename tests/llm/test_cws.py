@@ -20,9 +20,9 @@ def _similarity(a, b):
 
 def test_collisions_estimate_similarity(spark):
     r = random.Random(3)
-    pool = [f"w{k}" for k in range(60)]
     pairs = []
-    for _ in range(150):
+    for i in range(150):
+        pool = [f"w{k}-{i}" for k in range(60)]  # own words, so that the pairs' errors are independent
         a = [r.choice(pool[:r.choice((5, 20, 60))]) for _ in range(r.randint(5, 80))]
         b = [x if r.random() < 0.7 else r.choice(pool) for x in a] + [r.choice(pool) for _ in range(r.randint(0, 40))]
         pairs.append((" ".join(a), " ".join(b)))
