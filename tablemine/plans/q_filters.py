@@ -72,14 +72,26 @@ def order_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ORDER_PAPERS_SQL = f"(SELECT o_orderkey AS paper_id, {PAPER_TEXT_SQL} AS text FROM orders)"
 
 
+_KEYWORD_NAMES = [alts[0] for _, alts in KEYWORD_TERMS]
+# every third document gets a sentence with one of the keywords, every sixth its plural
+_MARKED_SQL = """concat(text, CASE WHEN doc_id % 3 = 0 THEN concat('. On ', {pick},
+  CASE WHEN doc_id % 6 = 0 THEN 's' ELSE '' END, ' here.') ELSE '' END)"""
+_MARKED_DUCK = _MARKED_SQL.format(pick="[" + ", ".join(map(_sql_str, _KEYWORD_NAMES))
+                                  + f"][CAST(doc_id // 3 % {len(_KEYWORD_NAMES)} + 1 AS BIGINT)]")
+_MARKED_SPARK = _MARKED_SQL.format(pick="element_at(split('" + "|".join(_KEYWORD_NAMES)
+                                   + f"', '[|]'), cast(doc_id div 3 % {len(_KEYWORD_NAMES)} + 1 as int))")
+
+
 @register("keyword_filter", f"""
 SELECT doc_id, array_to_string(kws, '|') AS keywords FROM (
-  SELECT doc_id, {_hits_sql('text', KEYWORD_TERMS, True)} AS kws FROM documents)
+  SELECT doc_id, {_hits_sql('text', KEYWORD_TERMS, True)} AS kws
+  FROM (SELECT doc_id, {_MARKED_DUCK} AS text FROM documents))
 WHERE len(kws) > 0
 """)
 def q_keyword_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 83 fixed keywords over the whole ``documents`` table."""
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    """The 83 fixed keywords over the whole ``documents`` table, with each
+    keyword in some documents."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.expr(_MARKED_SPARK).alias("text"))
     return keyword_filter(docs).select("doc_id", F.array_join("keywords", "|").alias("keywords"))
 
 

@@ -25,11 +25,11 @@ FROM orders GROUP BY o_custkey
 """
 
 
-def _assembly_counts(df: DataFrame, text_col: str) -> DataFrame:
+def _assembly_counts(df: DataFrame, text_col: str, *more: str) -> DataFrame:
     t = F.col(text_col)
     keys = F.regexp_extract_all(t, F.lit(r"Order (\d+): "), 1)
     return df.select(
-        "paper_id",
+        "paper_id", *more,
         F.size(keys).cast("bigint").alias("n_inlined"),
         F.regexp_count(t, F.lit(r"\\input\{missing")).cast("bigint").alias("n_unresolved"),
         F.aggregate(keys, F.lit(0).cast("bigint"), lambda a, x: a + x.cast("bigint")).alias("inlined_key_sum"),
@@ -53,14 +53,18 @@ SELECT concat('c', CAST(o_custkey AS VARCHAR), '-0') AS paper_id,
        CAST(coalesce(sum(CASE WHEN o_orderkey % 6 IN (0, 1, 2, 3) THEN o_orderkey END), 0) AS BIGINT)
          AS inlined_key_sum,
        CAST(0 AS BIGINT) AS n_macro,
-       2 AS n_preamble
+       2 AS n_preamble, 'main.tex' AS rel_path
 FROM orders GROUP BY o_custkey
+UNION ALL
+SELECT DISTINCT concat('c', CAST(o_custkey AS VARCHAR), '-0') AS paper_id, CAST(0 AS BIGINT) AS n_inlined,
+       CAST(0 AS BIGINT) AS n_unresolved, CAST(0 AS BIGINT) AS inlined_key_sum, CAST(0 AS BIGINT) AS n_macro,
+       0 AS n_preamble, 'alt.tex' AS rel_path
+FROM orders WHERE o_custkey % 5 = 0
 """)
 def q_resolve_includes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Includes only (main.tex of each folder), macros untouched."""
+    """Includes only, in every main file; macros untouched."""
     files = customer_paper_files(read(spark, sf_dir, "orders")).drop("o_custkey", "chunk")
-    mains = S.select_main_files(files).filter(F.col("rel_path") == "main.tex")
-    return _assembly_counts(S.resolve_includes(mains, files), "text")
+    return _assembly_counts(S.resolve_includes(S.select_main_files(files), files), "text", "rel_path")
 
 
 @register("select_main_files", """
@@ -77,17 +81,20 @@ def q_select_main_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("expand_macros", """
 SELECT concat('c', CAST(o_custkey AS VARCHAR), '-0') AS paper_id,
        CAST(count_if(o_orderkey % 6 IN (0, 1, 2, 3)) AS BIGINT) AS n_macro,
-       concat('Customer ', CAST(o_custkey AS VARCHAR)) AS macro_body
+       concat('Customer ', CAST(o_custkey AS VARCHAR)) AS macro_body, 'main.tex' AS rel_path
 FROM orders GROUP BY o_custkey
+UNION ALL
+SELECT DISTINCT concat('c', CAST(o_custkey AS VARCHAR), '-0') AS paper_id, CAST(0 AS BIGINT) AS n_macro,
+       CAST(NULL AS VARCHAR) AS macro_body, 'alt.tex' AS rel_path
+FROM orders WHERE o_custkey % 5 = 0
 """)
 def q_expand_macros(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = customer_paper_files(read(spark, sf_dir, "orders")).drop("o_custkey", "chunk")
-    mains = S.select_main_files(files).filter(F.col("rel_path") == "main.tex")
-    merged = S.resolve_includes(mains, files)
+    merged = S.resolve_includes(S.select_main_files(files), files)
     t = S.expand_macros(F.col("text"))
-    return merged.select("paper_id",
+    return merged.select("paper_id", "rel_path",
                          F.regexp_count(t, F.lit(r"by Customer \d+\.")).cast("bigint").alias("n_macro"),
-                         S.usable_macros(F.col("text"))[0]["body"].alias("macro_body"))
+                         F.get(S.usable_macros(F.col("text")), F.lit(0))["body"].alias("macro_body"))
 
 
 # ------------------------------------------------------- text projections
@@ -132,15 +139,19 @@ def q_tidy_block_blanks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("document_body", """
-SELECT concat('c', CAST(o_custkey AS VARCHAR), '-0') AS paper_id, 0 AS n_preamble,
+SELECT concat('c', CAST(o_custkey AS VARCHAR), '-0') AS paper_id, 'main.tex' AS rel_path, 0 AS n_preamble,
        1 AS n_sections
 FROM orders GROUP BY o_custkey
+UNION ALL
+SELECT DISTINCT concat('c', CAST(o_custkey AS VARCHAR), '-0') AS paper_id, 'alt.tex' AS rel_path, 0 AS n_preamble,
+       0 AS n_sections
+FROM orders WHERE o_custkey % 5 = 0
 """)
 def q_document_body(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = customer_paper_files(read(spark, sf_dir, "orders")).drop("o_custkey", "chunk")
-    mains = S.select_main_files(files).filter(F.col("rel_path") == "main.tex")
+    mains = S.select_main_files(files)
     body = T.document_body(F.col("content"))
-    return mains.select("paper_id",
+    return mains.select("paper_id", "rel_path",
                         F.regexp_count(body, F.lit(r"\\documentclass|\\end\{document\}")).cast("int")
                         .alias("n_preamble"),
                         F.regexp_count(body, F.lit(r"\\section\{")).cast("int").alias("n_sections"))
@@ -271,7 +282,7 @@ def q_json_column_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("read_shards", "SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY o_orderstatus")
 def q_read_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Write orders as shard_* folders into the session's checkpoint folder
+    """Write orders as shard folders into the session's checkpoint folder
     (shared storage on a cluster) and read them back as one table."""
     import uuid
     from ..session import ensure_checkpoint_dir
@@ -423,6 +434,7 @@ def q_read_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_concat_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..sources.datasets import concat_shards, shard_split
     o = read(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    # three tables on purpose: the operator puts separately made shards together
     parts = [shard_split(o, 3, i, "o_orderkey") for i in range(3)]
     return concat_shards(*parts).groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
 
@@ -430,12 +442,18 @@ def q_concat_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("extract_macros", """
 SELECT concat('c', CAST(o_custkey AS VARCHAR), '-0') AS paper_id, 1 AS n_macros,
        concat(chr(92), 'cust') AS macro_name, concat('Customer ', CAST(o_custkey AS VARCHAR)) AS macro_body,
-       0 AS n_args
+       0 AS n_args, 'main.tex' AS rel_path
 FROM orders GROUP BY o_custkey
+UNION ALL
+SELECT DISTINCT concat('c', CAST(o_custkey AS VARCHAR), '-0') AS paper_id, 0 AS n_macros,
+       CAST(NULL AS VARCHAR) AS macro_name, CAST(NULL AS VARCHAR) AS macro_body, CAST(NULL AS INTEGER) AS n_args,
+       'alt.tex' AS rel_path
+FROM orders WHERE o_custkey % 5 = 0
 """)
 def q_extract_macros(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = customer_paper_files(read(spark, sf_dir, "orders")).drop("o_custkey", "chunk")
-    mains = S.select_main_files(files).filter(F.col("rel_path") == "main.tex")
+    mains = S.select_main_files(files)
     m = S.extract_macros(F.col("content"))
-    return mains.select("paper_id", F.size(m).alias("n_macros"), m[0]["name"].alias("macro_name"),
-                        m[0]["content"].alias("macro_body"), m[0]["nargs"].alias("n_args"))
+    first = F.get(m, F.lit(0))
+    return mains.select("paper_id", "rel_path", F.size(m).alias("n_macros"), first["name"].alias("macro_name"),
+                        first["content"].alias("macro_body"), first["nargs"].alias("n_args"))

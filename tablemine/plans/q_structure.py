@@ -54,35 +54,54 @@ def q_split_multi_tabular(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.regexp_count("piece", F.lit(r"\\begin\{tabular")).cast("int").alias("n_tabular"))
 
 
-@register("table_labels", r"""
+# References in the text around a block: every second pair of labels is cited
+# by its second label, twice.
+_REFS = {
+    6: " see \\ref{tab:b" + _K + "} and \\ref{tab:b" + _K + "}\n",
+    7: " see \\ref{tab:y" + _K + "} and \\ref{tab:y" + _K + "}\n",
+}
+_RESOLVED_SQL = """concat(chr(92), 'label{tab:', CASE o_orderkey % 8
+    WHEN 6 THEN 'b' WHEN 7 THEN 'y' WHEN 2 THEN 'a' WHEN 3 THEN 'x'
+    WHEN 0 THEN 'o' WHEN 4 THEN 'o' ELSE 'm' END, CAST(o_orderkey AS VARCHAR), '}')"""
+
+
+def labelled_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """o_orderkey, b (block), paper (block after its references)."""
+    refs = " ".join(f"WHEN {k} THEN {sql_template(t)}" for k, t in _REFS.items())
+    o = read(spark, sf_dir, "orders").select(
+        "o_orderkey", F.expr(_multi_sql(False)).alias("b"),
+        F.expr(f"CASE o_orderkey % 8 {refs} ELSE ' see the table ' END").alias("refs"))
+    return o.select("o_orderkey", "b", F.concat("refs", "b").alias("paper"))
+
+
+@register("table_labels", f"""
 SELECT o_orderkey, CASE o_orderkey % 4 WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 2 ELSE 1 END AS n_labels,
-  CASE o_orderkey % 4
-    WHEN 0 THEN concat(chr(92), 'label{tab:o', CAST(o_orderkey AS VARCHAR), '}')
-    WHEN 1 THEN concat(chr(92), 'label{tab:m', CAST(o_orderkey AS VARCHAR), '}')
-    WHEN 2 THEN NULL
-    ELSE concat(chr(92), 'label{tab:x', CAST(o_orderkey AS VARCHAR), '}') END AS label
+  {_RESOLVED_SQL} AS label
 FROM orders
 """)
 def q_table_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All labels per block, and the resolved one (several → most
-    referenced in the paper outside tables; here no references, so the
-    first; for the subfloat blocks the block's labels are many and the
-    resolution is per piece, so none)."""
-    o = read(spark, sf_dir, "orders").select("o_orderkey", F.expr(_multi_sql(False)).alias("b"))
-    labels = table_labels(F.col("b"))
-    resolved = F.when(F.col("b").contains("\\subfloat"), F.lit(None).cast("string")).otherwise(
-        resolve_table_label(F.col("b"), F.col("b"), F.col("b")))
-    return o.select("o_orderkey", F.size(labels).alias("n_labels"), resolved.alias("label"))
+    """All labels per block, and the one that the text refers to most (ties:
+    the first)."""
+    o = labelled_blocks(spark, sf_dir)
+    return o.select("o_orderkey", F.size(table_labels(F.col("b"))).alias("n_labels"),
+                    resolve_table_label(F.col("b"), F.col("paper"), F.col("b")).alias("label"))
 
 
 @register("resolve_table_label", r"""
-SELECT l_orderkey, concat(chr(92), 'label{tab:', CAST(l_orderkey AS VARCHAR), 'c0}') AS label
-FROM (SELECT DISTINCT l_orderkey FROM lineitem)
+SELECT o_orderkey, CASE o_orderkey % 4
+    WHEN 0 THEN concat(chr(92), 'label{tab:o', CAST(o_orderkey AS VARCHAR), '}')
+    WHEN 1 THEN concat(chr(92), 'label{tab:m', CAST(o_orderkey AS VARCHAR), '}') END AS tabular_label,
+  """ + _RESOLVED_SQL + """ AS block_label
+FROM orders
 """)
 def q_resolve_table_label(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = order_tables(spark, sf_dir)
-    return t.select("l_orderkey", resolve_table_label(F.col("table_source"), F.col("table_source"),
-                                                      F.col("table_source")).alias("label"))
+    """A tabular without a label takes the only label of its block; a block
+    with several takes the most referenced."""
+    from ..operators.blocks import tabular_spans
+    o = labelled_blocks(spark, sf_dir).withColumn("t", F.get(tabular_spans("b"), F.lit(0)))
+    return o.select("o_orderkey",
+                    resolve_table_label(F.col("t"), F.col("paper"), F.col("b"), F.col("b")).alias("tabular_label"),
+                    resolve_table_label(F.col("b"), F.col("paper"), F.col("b"), F.col("b")).alias("block_label"))
 
 
 @register("numeric_cell_spans", """
@@ -109,21 +128,23 @@ def q_numeric_cell_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("brace_balance_check", """
-SELECT l_orderkey, CASE WHEN l_orderkey % 8 = 6 THEN false ELSE true END AS balanced
-FROM (SELECT DISTINCT l_orderkey FROM lineitem)
+SELECT l_orderkey, l_orderkey % 8 <> 6 AS balanced FROM (SELECT DISTINCT l_orderkey FROM lineitem)
+UNION ALL SELECT l_orderkey, true AS balanced FROM (SELECT DISTINCT l_orderkey FROM lineitem) WHERE l_orderkey % 8 = 5
 """)
 def q_brace_balance_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw table blocks: the kind-6 caption is unbalanced until repaired."""
+    """All raw blocks (a ``figure`` and the ``table`` in it are two): the kind-6
+    caption is unbalanced until repaired."""
     from .render import lineitem_papers
     p = lineitem_papers(read(spark, sf_dir, "lineitem"))
     b = p.select("l_orderkey", F.explode(raw_table_blocks(F.col("full_paper_latex_code"))).alias("b"))
-    b = b.filter(F.col("b").startswith("\\begin{table}"))
     return b.select("l_orderkey", braces_balanced(strip_line_comments(F.col("b"))).alias("balanced"))
 
 
 @register("brace_balance_repair", """
 SELECT l_orderkey, true AS balanced, CASE WHEN l_orderkey % 8 = 6 THEN 1 ELSE 0 END AS extended
 FROM (SELECT DISTINCT l_orderkey FROM lineitem)
+UNION ALL SELECT l_orderkey, true AS balanced, 0 AS extended FROM (SELECT DISTINCT l_orderkey FROM lineitem)
+WHERE l_orderkey % 8 = 5
 """)
 def q_brace_balance_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .render import lineitem_papers
@@ -131,7 +152,6 @@ def q_brace_balance_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.col("full_paper_latex_code")
     b = p.select("l_orderkey", "full_paper_latex_code",
                  F.explode(raw_table_blocks(text)).alias("b"))
-    b = b.filter(F.col("b").startswith("\\begin{table}"))
     fixed = repair_block(strip_line_comments(F.col("b")), text)
     return b.select("l_orderkey", braces_balanced(fixed).alias("balanced"),
                     F.when(F.length(fixed) > F.length(strip_line_comments(F.col("b"))), 1)
@@ -211,21 +231,10 @@ def q_nearest_label_after(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select("o_orderkey", F.posexplode(nearest_label_after(F.col("b"))).alias("tabular_index", "label"))
 
 
-@register("most_referenced", r"""
-SELECT o_orderkey,
-  concat(chr(92), 'label{tab:', CASE WHEN o_orderkey % 8 = 7 THEN 'y' ELSE 'x' END,
-         CAST(o_orderkey AS VARCHAR), '}') AS label
-FROM orders WHERE o_orderkey % 4 = 3
-""")
+@register("most_referenced", f"SELECT o_orderkey, {_RESOLVED_SQL} AS label FROM orders")
 def q_most_referenced(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two labels on one table: the one referenced more often in the paper
-    outside the tables wins (ties: the first)."""
+    """Of a table's labels, the one referenced most often in the paper outside
+    the tables (ties: the first)."""
     from ..operators.labels import most_referenced
-    o = read(spark, sf_dir, "orders").filter(F.col("o_orderkey") % 4 == 3)
-    b = F.expr(_multi_sql(False))
-    k = F.col("o_orderkey").cast("string")
-    refs = F.when(F.col("o_orderkey") % 8 == 7, F.concat(F.lit(" see \\ref{tab:y"), k, F.lit("} and \\ref{tab:y"),
-                                                          k, F.lit("}"))).otherwise(F.lit(" see the table"))
-    o = o.select("o_orderkey", b.alias("b"), refs.alias("refs"))
-    paper = F.concat(F.col("refs"), F.lit("\n"), F.col("b"))
-    return o.select("o_orderkey", most_referenced(table_labels(F.col("b")), paper, F.col("b")).alias("label"))
+    o = labelled_blocks(spark, sf_dir)
+    return o.select("o_orderkey", most_referenced(table_labels(F.col("b")), F.col("paper"), F.col("b")).alias("label"))
