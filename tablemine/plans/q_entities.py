@@ -265,25 +265,49 @@ def q_apply_canonical_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ------------------------------------------------------------ traces B + C
-@register("leaderboard_table")
+@register("leaderboard_table", """
+WITH r AS (
+  SELECT l_orderkey, l_linenumber, l_partkey % 5 + 1 AS kind, CAST(l_quantity AS DECIMAL(12,2)) AS qty FROM lineitem),
+k AS (
+  SELECT l_orderkey, l_linenumber, kind, min(qty) AS qty FROM r
+  WHERE l_orderkey % 3 <> 0 AND kind <> 5
+  GROUP BY l_orderkey, l_linenumber, kind HAVING min(qty) = max(qty)),
+n AS (SELECT *, concat('o', l_orderkey, 'c0') AS paper, concat(kind, '-o', l_orderkey, '-l', l_linenumber) AS ds FROM k)
+SELECT paper AS table_source_arxiv_id, ds AS dataset_name, 'Results' AS subset, concat('model-', l_linenumber) AS model_name,
+  'DPO' AS pref_tuning_method, 'Accuracy' AS metric, CAST(qty AS DOUBLE) AS metric_value,
+  '' AS dataset_reference_arxiv_id, CASE WHEN kind IN (1, 4) THEN paper ELSE 'GPT4o' END AS dataset_description_source,
+  CASE kind
+    WHEN 2 THEN concat('Dataset Summary: ', ds, '.', chr(10), 'Task Explanation: rank Results.')
+    WHEN 3 THEN concat('Dataset Summary: ', ds, '.', chr(10), 'Task Explanation: sort.', chr(10), 'Subset Description: Results.')
+    ELSE concat('Dataset Summary: from ', paper, '.', chr(10), 'Task Explanation: read.') END AS dataset_description
+FROM n
+""")
 def q_leaderboard_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """End to end over the rendered order papers: relevant tables (rule:
-    has numeric cells) → record extraction (stub model) → records →
-    metric rules → name canonicalisation → descriptions (stub models) →
-    dedupe and quality filters → the 13-column table.  Rows-only check:
-    each stage has its own oracle above."""
-    from ..operators.blocks import extract_table_blocks
-    from .stubs import table_extractor_stub
+    """End to end over source folders: files → assembled papers → keyword
+    filter → table blocks → relevant tables → record extraction and
+    augmentation (stub models) → metric rules → name canonicalisation →
+    descriptions (stub models) → dedupe and quality filters.  Two of three
+    papers mention a keyword; the model steps show the wiring only."""
+    from ..session import ensure_checkpoint_dir
+    from .stubs import augmenter_stub, table_extractor_stub
     from . import traces
     from .render import lineitem_papers
-    papers = extract_table_blocks(lineitem_papers(read(spark, sf_dir, "lineitem"), noise=False))
-    papers = papers.select("paper_id", F.transform("tables", lambda t: F.struct(
-        t.alias("latex"), F.lit(None).cast("string").alias("label"))).alias("tables"),
-        "full_paper_latex_code")
-    tables = traces.relevant_tables(papers)
-    extracted = traces.extract_table_records(tables, table_extractor_stub)
-    recs = traces.valid_records(traces.augment_records(extracted, papers))
-    return traces.final_table(recs, describer_stub, source_describer_stub, papers)
+    code = F.col("full_paper_latex_code")
+    rendered = lineitem_papers(read(spark, sf_dir, "lineitem"), noise=False)
+    body = F.regexp_extract(code, r"(?s)\\begin\{document\}\n(.*)\n\\end\{document\}", 1)
+    mention = F.when(F.col("l_orderkey") % 3 != 0, F.lit("We train with RLHF.\n")).otherwise(F.lit(""))
+    files = rendered.select("paper_id", F.inline(F.array(
+        F.struct(F.lit("main.tex").alias("rel_path"), F.lit(
+            "\\documentclass{article}\n\\begin{document}\n\\input{sec/body}\n\\end{document}\n").alias("content")),
+        F.struct(F.lit("sec/body.tex").alias("rel_path"), F.concat(body, F.lit("\n"), mention).alias("content")))))
+    ensure_checkpoint_dir(spark)
+    # the named tables between the traces are written once
+    papers = traces.papers_from_files(files).checkpoint()
+    extracted = traces.extract_table_records(traces.relevant_tables(papers), table_extractor_stub)
+    recs = traces.valid_records(traces.augment_records(extracted, papers, augmenter_stub)).checkpoint()
+    return traces.final_table(recs, describer_stub, source_describer_stub, papers).select(
+        "table_source_arxiv_id", "dataset_name", "subset", "model_name", "pref_tuning_method", "metric", "metric_value",
+        "dataset_reference_arxiv_id", "dataset_description_source", "dataset_description")
 
 
 @register("name_counts", """
