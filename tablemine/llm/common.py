@@ -131,19 +131,6 @@ def window_hashes(ids: np.ndarray, width: int, seed: int = 0) -> np.ndarray:
     return mix(h)
 
 
-def window_starts(starts: np.ndarray, width: int, n: int) -> np.ndarray:
-    """Which of ``n`` windows lie in one document: a boolean mask."""
-    ok = np.ones(n, bool)
-    for e in starts[1:-1]:
-        ok[max(0, e - width + 1):e] = False
-    return ok
-
-
-def spread(df: DataFrame, factor: int = 2) -> DataFrame:
-    """Rows dealt over all cores, for the step after a narrow shuffle."""
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism * factor)
-
-
 def extended(df: DataFrame, **columns: str) -> StructType:
     """The schema of ``df`` with further columns (name=type) at its end."""
     more = [StructType.fromDDL(f"`{name}` {kind}").fields[0] for name, kind in columns.items()]

@@ -14,7 +14,6 @@ each kind, beside dates, versions, amounts and other numbers that are none.
 
 from __future__ import annotations
 
-import hashlib
 import random
 import re
 from collections.abc import Iterator

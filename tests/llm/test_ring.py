@@ -4,8 +4,6 @@ import random
 import zlib
 from collections import Counter
 
-from pyspark.sql import functions as F
-
 from tablemine.llm import ring as R
 
 
