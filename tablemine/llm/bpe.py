@@ -541,7 +541,7 @@ def round_trip_digests(docs: DataFrame, lexicon: str | None, vocabulary: str = V
                 [part.column("doc_id"), pa.array(count, pa.int64()), pa.array(a), pa.array(b)],
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select("doc_id", "text").mapInArrow(
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
         run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 

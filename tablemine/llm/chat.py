@@ -103,7 +103,7 @@ def format_conversations(turns: DataFrame, vocabulary: str = VOCABULARY) -> Data
     of role and text, repeated rows each make a turn; null conv_ids are one
     conversation; an empty table gives no rows.
     """
-    whole = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct(
+    whole = turns.groupBy(F.col("conv_id").cast("long").alias("conv_id")).agg(F.sort_array(F.collect_list(F.struct(
         "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")))).alias("turns"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

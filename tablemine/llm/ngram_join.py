@@ -110,7 +110,7 @@ def profiles(docs: DataFrame, id_column: str, column: str) -> DataFrame:
                  pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys))],
                 ["id", "size", "digest", "keys"])
 
-    return docs.select(id_column, column).mapInArrow(run, "id long, size long, digest binary, keys array<long>")
+    return docs.select(F.col(id_column).cast("long").alias(id_column), column).mapInArrow(run, "id long, size long, digest binary, keys array<long>")
 
 
 def sets_of(docs: DataFrame, id_column: str, column: str) -> DataFrame:
@@ -124,7 +124,7 @@ def sets_of(docs: DataFrame, id_column: str, column: str) -> DataFrame:
                 [part.column(id_column), pa.array([raw[8 * a:8 * b] for a, b in zip(
                     starts[:-1].tolist(), starts[1:].tolist())], pa.binary())], ["point", "items"])
 
-    return docs.select(id_column, column).mapInArrow(run, "point long, items binary")
+    return docs.select(F.col(id_column).cast("long").alias(id_column), column).mapInArrow(run, "point long, items binary")
 
 
 class CountTree:

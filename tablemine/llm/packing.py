@@ -55,7 +55,7 @@ def token_pieces(docs: DataFrame, id_column: str = "doc_id", column: str = "text
                  pa.array(begin, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
                 ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(id_column, column).mapInArrow(
+    return docs.select(F.col(id_column).cast("long").alias(id_column), column).mapInArrow(
         run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
