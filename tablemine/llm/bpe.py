@@ -33,7 +33,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, Words, as_bytes, extended, read, slices
+from .common import SLICE_BYTES, Words, as_bytes, checkpointed, extended, read, slices
 
 VOCABULARY = "word_bpe_49k.json"
 #: Words of the automaton: it is built on the driver and mapped by every
@@ -470,11 +470,21 @@ def word_counts(docs: DataFrame, column: str = "text", vocabulary: str = VOCABUL
 
 def build_lexicon(docs: DataFrame, column: str = "text", size: int = LEXICON_WORDS,
                   vocabulary: str = VOCABULARY) -> str:
-    """Compile the ``size`` most frequent words (of up to ``ARRAY_BYTES``
-    bytes) of all texts; ship the file to
-    the executors and return its name there.  The driver receives ``size`` rows."""
-    counts = word_counts(docs, column, vocabulary).where(F.octet_length("word") <= ARRAY_BYTES)
-    top = counts.orderBy(F.desc("n"), "word").limit(size).collect()
+    """Compile up to ``size`` of the most frequent words (of up to
+    ``ARRAY_BYTES`` bytes, met twice or more) of all texts; ship the file to
+    the executors and return its name there."""
+    # a step holds the words of about one frequency; whole steps are taken while
+    # they fit, so the driver gets the steps' sizes and no more than ``size`` words
+    counts = checkpointed(word_counts(docs, column, vocabulary).where(
+        (F.octet_length("word") <= ARRAY_BYTES) & (F.col("n") > 1)).withColumn("step", F.floor(F.log2("n") * 16)))
+    sizes = {r["step"]: r["m"] for r in counts.groupBy("step").agg(F.count(F.lit(1)).alias("m")).collect()}
+    least, held = None, 0
+    for step in sorted(sizes, reverse=True):
+        held += sizes[step]
+        if held > size:
+            break
+        least = step
+    top = counts.where(F.col("step") >= least).select("word").collect() if least is not None else []
     words = sorted(bytes(r.word) for r in top)
     ids = Vocabulary(vocabulary_path(vocabulary)).merge(words)
     name = f"lexicon-{hashlib.sha256(b' '.join(words)).hexdigest()[:16]}.bin"
