@@ -2,7 +2,9 @@
 
 A tree builder makes elements out of the markup, with the end tags that HTML
 implies (a new ``<li>`` ends the open one, a block ends an open paragraph, a
-cell the cell before).  Visibility rules take out what is not shown.  The rest
+cell the cell before).  What stands in a table outside its cells and captions
+goes before the table, as browsers do it.  Visibility rules take out what is not
+shown; of a drawing (``svg``) the texts outside definitions stay.  The rest
 is laid out: blocks on lines of their own, a blank line around paragraphs and
 headings, list items with their mark and indent, preformatted text as it is,
 and tables as rows of cells padded to common column widths.
@@ -23,12 +25,14 @@ from .common import extended, read, slices
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 #: Never shown.
-HIDDEN = frozenset("head script style template noscript title meta link iframe object embed audio video canvas svg "
+HIDDEN = frozenset("head script style template noscript title meta link iframe object embed audio video canvas "
                    "datalist param source track noembed noframes area base".split())
 #: Blocks with a blank line around them, and blocks on lines of their own.
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl pre blockquote table figure hr fieldset".split())
 BLOCKS = SPACED | frozenset("html body div section article nav aside header footer main address form li dt dd "
                             "figcaption details summary center legend tr caption option optgroup menu dialog".split())
+#: Not drawn where they stand in an svg.
+UNDRAWN = HIDDEN | frozenset("defs symbol desc metadata clippath mask pattern marker lineargradient radialgradient filter".split())
 #: Opening one of these ends open ones of those, up to the nearest of the last.
 _CELLS, _ROWS, _GROUPS = ("td", "th"), ("tr",), ("thead", "tbody", "tfoot")
 CLOSES = {
@@ -36,8 +40,14 @@ CLOSES = {
     "option": (("option",), ("select", "datalist")), "optgroup": (("option", "optgroup"), ("select",)),
     "td": (_CELLS, ("tr", "table")), "th": (_CELLS, ("tr", "table")), "tr": ((*_CELLS, *_ROWS), ("table",)),
     **{g: ((*_CELLS, *_ROWS, *_GROUPS, "caption", "colgroup"), ("table",)) for g in _GROUPS},
+    **{g: ((*_CELLS, *_ROWS, *_GROUPS, "caption", "colgroup"), ("table",)) for g in ("caption", "colgroup")},
+    # a table in a table, but not in a cell, ends the outer one
+    "table": (("table",), (*_CELLS, "caption", "template")),
     "body": (("head",), ("html",)),
 }
+#: Elements between a table and its cells, and what may stand in them.
+FRAME = frozenset(("table", *_GROUPS, *_ROWS, "colgroup"))
+FRAMED = FRAME - {"table"} | {*_CELLS, "caption", "col", "script", "style", "template"}
 ENDS_PARAGRAPH = (BLOCKS - {"html", "body", "tr", "option", "optgroup", "caption", "legend"}) | {"li", "dt", "dd"}
 #: Tables in tables that keep their columns.
 MAX_TABLES = 20
@@ -77,9 +87,20 @@ def build(markup: str) -> Element:
     opened: Counter = Counter()
     at, size = 0, len(markup)
 
+    def put(node: Element | str) -> None:
+        """Add to the open element; before the table what may not stand in its frame."""
+        if open_[-1].tag in FRAME and opened["table"] and (
+                node.strip(" \t\n\r\f") if isinstance(node, str) else node.tag not in FRAMED):
+            k = len(open_) - 1
+            while open_[k].tag != "table":
+                k -= 1
+            open_[k - 1].children.insert(-1, node)  # an open table is the last child
+        else:
+            open_[-1].children.append(node)
+
     def text(raw: str) -> None:
         if raw:
-            open_[-1].children.append(html.unescape(raw) if "&" in raw else raw)
+            put(html.unescape(raw) if "&" in raw else raw)
 
     def close(tags: tuple[str, ...] | frozenset, stop: tuple[str, ...] | frozenset) -> None:
         """End the outermost open element of ``tags`` above the nearest ``stop``."""
@@ -108,7 +129,7 @@ def build(markup: str) -> Element:
         if m[1]:
             tag = m[1].lower()
             if tag == "br":
-                open_[-1].children.append(Element("br"))
+                put(Element("br"))
                 continue
             stop = SCOPES - {tag} if tag not in ("table", "html", "body") else frozenset()
             for k in range(len(open_) - 1, 0 if opened[tag] else len(open_), -1):
@@ -126,8 +147,16 @@ def build(markup: str) -> Element:
                 drop(len(open_) - 1)
             if tag in CLOSES:
                 close(*CLOSES[tag])
+            if opened["table"] and (tag in FRAMED and tag not in HIDDEN):  # ends what was put before the table
+                for k in range(len(open_) - 1, 0, -1):
+                    if open_[k].tag in FRAME:
+                        drop(k + 1)
+                    if open_[k].tag in FRAME or open_[k].tag in _CELLS or open_[k].tag == "template":
+                        break
+            if tag == "form" and opened["table"] and open_[-1].tag in FRAME:
+                continue  # holds no cells
             node = Element(tag, attributes)
-            open_[-1].children.append(node)
+            put(node)
             if tag in RAW:
                 end = re.compile(f"</{tag}[\\s/>]", re.IGNORECASE).search(markup, at)
                 stop_at = end.start() if end else size
@@ -219,6 +248,31 @@ class Page:
         return "\n".join(self.lines)
 
 
+def _drawn(svg: Element) -> list[Element]:
+    """Texts and embedded markup of a drawing, without what is only defined in it."""
+    shown = lambda x: (x.tag not in UNDRAWN and visible(x)
+                       and (x.get("display") or "").strip().lower() != "none"
+                       and (x.get("visibility") or "").strip().lower() not in ("hidden", "collapse"))
+    out, stack = [], [(svg, None)]
+    while stack:
+        x, text = stack.pop()
+        if isinstance(x, str):
+            if text:
+                text.children.append(x)
+            continue
+        if not shown(x):
+            continue
+        if x.tag == "foreignobject":
+            out.append(Element("div"))
+            out[-1].children = x.children
+            continue
+        if x.tag == "text" and not text:
+            text = Element("div")
+            out.append(text)
+        stack += ((c, text) for c in reversed(x.children))
+    return out
+
+
 def _plain(node: Element) -> str:
     """Text of preformatted content."""
     out, stack = [], [node]
@@ -229,7 +283,7 @@ def _plain(node: Element) -> str:
         elif x.tag == "br":
             out.append("\n")
         elif x is node or visible(x):
-            stack += reversed(x.children)
+            stack += reversed(_drawn(x) if x.tag == "svg" else x.children)
     return "".join(out)
 
 
@@ -319,6 +373,8 @@ def layout(page: Page, top: Element, depth: int = 0) -> None:
         elif tag == "input":
             if (x.get("type") or "text").lower() in ("text", "submit", "button", "reset"):
                 page.add(x.get("value") or "")
+        elif tag == "svg":
+            work += reversed(_drawn(x))
         elif tag in ("pre", "textarea"):
             page.block(1)
             raw = _plain(x)

@@ -26,6 +26,32 @@ CASES = [
 ]
 
 
+#: Text in a table outside its cells, and text of drawings.
+STRAYS = [
+    ("<table><tr><form><td>a</td><td>b</td></form></tr></table>", "a  b"),
+    ("<table><form><tr><td>a<td>b</tr></form><tr><td>c<td>d</table>", "a  b\nc  d"),
+    ("<table><tr><div>a</div></tr></table>z", "a\n\nz"), ("<table>note<tr><td>a<td>b</table>", "note\n\na  b"),
+    ("<table><tr>text</tr></table>", "text"), ("<table><tbody>x<tr><td>a</td>y</tr></tbody>z</table>", "xyz\n\na"),
+    ("<table><tr><div>s<td>a</td></div><td>b</td></tr></table>", "s\n\na  b"),
+    ("<table><div hidden><tr><td>a<td>b</table>", "a  b"), ("<table><tr hidden>x<td>a</td></tr></table>", "x"),
+    ("<table><center><tr><td>a<td>b</tr></center></table>", "a  b"),
+    ("<table><tr><p>one<p>two<td>a</table>", "one\n\ntwo\n\na"), ("<table><tr><img alt='i'><td>a</table>", "i\n\na"),
+    ("<table><tr><td>a<tr><table><tr><td>b</table>", "a\n\nb"), ("<table><tr><td>a<caption>c</table>", "c\na"),
+    ("<table><tr><td><table>in<tr><td>x</table><td>b</table>", "in / x  b"),
+    ("<table> <tr> <td>a</td> <td>b</td> </tr> </table>", "a  b"),
+    ("<table><script>s</script><tr><template>t</template><td>a</table>", "a"),
+    ("a<svg><title>t</title><g><text>one <tspan>two</tspan></text></g><path/><text>three</text></svg>b", "a\none two\nthree\nb"),
+    ("a<svg><title>t</title><path d='M0'/>x</svg>b", "ab"),
+    ("<svg><defs><text>d</text></defs><text display=none>n</text><text>s<desc>e</desc></text></svg>", "s"),
+    ("<svg><foreignObject><p>f</p></foreignObject></svg>", "f"), ("<pre>a <svg><text>s</text></svg></pre>", "a s"),
+]
+
+
+@pytest.mark.parametrize("markup,text", STRAYS)
+def test_text_outside_cells(markup, text):
+    assert visible_text(markup) == text
+
+
 @pytest.mark.parametrize("markup,text", CASES)
 def test_cases(markup, text):
     assert visible_text(markup) == text
@@ -39,6 +65,7 @@ def test_large_and_broken_pages_are_quick():
     assert visible_text("<a href=\"x>" * 20_000 + "x") is not None
     assert visible_text("&amp;" * 100_000) == "&" * 100_000
     assert len(visible_text("<p>word</p>" * 50_000).split()) == 50_000
+    assert len(visible_text("<table>" + "<tr>x<div>y" * 50_000)) >= 100_000
     assert time.time() - t < 60
 
 
