@@ -56,8 +56,12 @@ SCOPES = frozenset(("table", "td", "th", "caption", "button", "template", "html"
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|</([a-zA-Z][^\s/>]*+)[^>]*+>?"
-    # quotes hide a ">"; without their end the next ">" ends the tag
-    r"|<([a-zA-Z][^\s/><]*+)((?:[^<>\"']++|\"[^\"]{0,20000}+\"|'[^']{0,20000}+')*+)>|<([a-zA-Z][^\s/><]*+)([^<>]*+)>", re.DOTALL)
+    # a start tag; values with "<" or ">" in them are left to tag_end
+    r"|<([a-zA-Z][^\s/><]*+)(?:((?:[\s/]++|[^\s/><][^\s/><=]*+"
+    r"(?:\s*+=\s*+(?:\"[^\"<>]*+\"|'[^'<>]*+'|(?![\"'])[^\s><]*+)|(?!\s*+=)))*+)>)?", re.DOTALL)
+#: One attribute, up to the quote of its value if it has one.
+_PART = re.compile(r"[\s/]*+(?:[^\s/><][^\s/><=]*+(?:\s*+=\s*+(?:([\"'])|[^\s><\"'][^\s><]*+)?+)?+)?+")
+_REST = re.compile(r"[^<>]*+")
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 _GONE = re.compile(r"(?i)display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)")
@@ -80,12 +84,40 @@ class Element:
         return None
 
 
+def tag_end(markup: str, at: int, failed: set[int]) -> int:
+    """Where the ">" stands that ends the start tag whose name ends at ``at``;
+    -1 if there is none.  Quoted values of any length hide a ">"; without the
+    closing quote the next ">" ends the tag.  ``failed``: quotes of this page
+    that begin no value of a whole tag; none is followed twice."""
+    begin, quotes = at, []
+    while True:
+        m = _PART.match(markup, at)
+        if m[1]:
+            quote = m.end() - 1
+            if quote in failed:
+                break
+            quotes.append(quote)
+            at = markup.find(m[1], quote + 1) + 1
+            if not at:
+                break
+        elif m.end() > at:
+            at = m.end()
+        elif markup.startswith(">", at):
+            return at
+        else:
+            break
+    failed.update(quotes)
+    at = _REST.match(markup, begin).end()
+    return at if markup.startswith(">", at) else -1
+
+
 def build(markup: str) -> Element:
     """The tree of a page."""
     root = Element("root")
     open_ = [root]
     opened: Counter = Counter()
-    at, size = 0, len(markup)
+    at, scan, size = 0, 0, len(markup)
+    failed: set[int] = set()
 
     def put(node: Element | str) -> None:
         """Add to the open element; before the table what may not stand in its frame."""
@@ -120,12 +152,18 @@ def build(markup: str) -> Element:
         del open_[cut:]
 
     while at < size:
-        m = _TOKEN.search(markup, at)
+        m = _TOKEN.search(markup, max(at, scan))
         if not m:
             text(markup[at:])
             break
+        end_at = m.end()
+        if m[2] and m[3] is None:
+            end_at = tag_end(markup, m.end(2), failed) + 1
+            if not end_at:  # no tag: text
+                scan = m.end(2)
+                continue
         text(markup[at:m.start()])
-        at = m.end()
+        at = end_at
         if m[1]:
             tag = m[1].lower()
             if tag == "br":
@@ -138,9 +176,9 @@ def build(markup: str) -> Element:
                     break
                 if open_[k].tag in stop and not (tag in ("tr", *_GROUPS) and open_[k].tag in _CELLS):
                     break
-        elif m[2] or m[4]:
-            tag = (m[2] or m[4]).lower()
-            attributes = m[3] or m[5] or ""
+        elif m[2]:
+            tag = m[2].lower()
+            attributes = markup[m.end(2):at - 1]
             if tag in ENDS_PARAGRAPH:
                 close(("p",), SCOPES)
             if tag[0] == "h" and tag[1:].isdigit() and open_[-1].tag[:1] == "h" and open_[-1].tag[1:].isdigit():

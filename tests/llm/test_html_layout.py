@@ -47,6 +47,26 @@ STRAYS = [
 ]
 
 
+def test_quoted_values_of_any_length():
+    for value in ("<p>no</p>" * 5_000, "x > y " * 5_000, "<i " * 50_000):
+        for quote in "\"'":
+            tag = f"<div data-x={quote}{value}{quote}"
+            assert visible_text(f"a{tag}>b</div>c") == "a\nb\nc"
+            assert visible_text(f"a{tag} hidden>b</div>c") == "ac"
+            assert visible_text(f"a{tag} style='display:none'>b</div>c") == "ac"
+    assert visible_text("<p class=it's>a<p title='x>y'>b") == "a\n\nb"  # a quote inside a value or name begins none
+    assert visible_text("<a href=\"x\"\">a</a> \"b\" > c") == "a \"b\" > c"
+    assert visible_text("<a href=\"x>a</a>b") == "ab"
+
+
+def test_open_quotes_are_read_once():
+    t = time.time()
+    for unit in ("<a b=\"<c d=\"", "<a b=\"<c=\" d=", "<a b='<a c=\"", "<a=\"<b=\" ", "<a b='x>", "<a b=\"><", "<a b='\"'<"):
+        for end in ("", "<", "\"", "'<", ">"):
+            visible_text(unit * 30_000 + end)
+    assert time.time() - t < 60
+
+
 @pytest.mark.parametrize("markup,text", STRAYS)
 def test_text_outside_cells(markup, text):
     assert visible_text(markup) == text
