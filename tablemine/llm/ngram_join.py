@@ -17,7 +17,7 @@ a cell a verified link makes two groups one, and pairs inside a group need no
 check, so a cell of n copies costs n verifications and sends n - 1 links.
 Cells above ``CELL_DOCS`` are cut into blocks by size of set; documents that
 their block did not link to the leader's group are then held against the
-blocks of near sizes.
+blocks of near sizes, two blocks to a task.
 """
 
 from __future__ import annotations
@@ -179,8 +179,11 @@ class CountTree:
 
 def links_of(table: pa.Table) -> pa.Table:
     """Links that connect the linked points of a block: each point searches
-    the tree; found points of other groups are verified.  If the block has
-    rows that ask (``asks``), only pairs with one of them count."""
+    the tree; found points of other groups are verified.  If there are rows
+    that ask (``asks``), only pairs with one of them count, and of two blocks
+    only pairs across."""
+    block = table.column("block").to_numpy()
+    across = block.min() != block.max()
     ids = table.column("point").to_numpy()
     asks = table.column("asks").to_numpy(zero_copy_only=False).astype(bool)
     group = table.column("label").to_numpy().copy()
@@ -189,6 +192,8 @@ def links_of(table: pa.Table) -> pa.Table:
     out = []
     for k in first.tolist():
         found = tree.near(k)
+        if across:
+            found = found[block[found] != block[k]]
         while True:
             found = found[group[found] != group[k]]
             if not len(found):
@@ -279,21 +284,21 @@ def cell_links(cells: DataFrame, sets: DataFrame) -> DataFrame:
         .groupBy("lead", "block").applyInArrow(links_of, "a long, b long"))
     if not large.limit(1).count():
         return first
-    # blocks of large cells: what is not in the leader's group asks all blocks of near sizes
+    # blocks of large cells: what is not in the leader's group asks the other blocks of near sizes
     label = components(first)
     known = (large.join(label.withColumnRenamed("label", "l"), "point", "left")
              .withColumn("label", F.coalesce("l", "point")).drop("l"))
     heart = known.where("lead = point").select("lead", F.col("label").alias("core")).dropDuplicates(["lead"])
-    known = known.join(heart, "lead")
-    rest = known.where("label <> core")
-    targets = known.select("lead", "block", "band").distinct()
-    asked = (rest.select("lead", "point", "tag", "label", F.explode(F.array(
-        F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band")).join(targets, ["lead", "band"]))
-    columns = ["lead", "block", "point", "tag", "label"]
-    both = with_sets(
-        known.join(asked.select("lead", "block").distinct(), ["lead", "block"], "left_semi")
-        .select(*columns, F.lit(False).alias("asks")).union(asked.select(*columns, F.lit(True).alias("asks"))))
-    second = both.groupBy("lead", "block").applyInArrow(links_of, "a long, b long")
+    known = known.join(heart, "lead").withColumn("asks", F.col("label") != F.col("core"))
+    near = known.groupBy("lead", "block", "band").agg(F.max("asks").alias("any"))
+    # both ways: rows go to a pair of blocks if they ask or the other block does
+    pairs = near.join(near.select("lead", F.col("block").alias("other"), F.col("band").alias("band2"),
+                                  F.col("any").alias("asked")), "lead").where(
+        "block <> other and abs(band - band2) <= 1 and (any or asked)").select("lead", "block", "other", "asked")
+    sent = known.join(pairs, ["lead", "block"]).where("asks or asked").select(
+        "lead", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
+        "block", "point", "tag", "label", "asks")
+    second = with_sets(sent).groupBy("lead", "low", "high").applyInArrow(links_of, "a long, b long")
     return first.union(checkpointed(second))
 
 

@@ -47,6 +47,27 @@ def test_blocks_of_large_cells(spark, monkeypatch):
     _check(spark, _corpus(3, families=4, copies=20))
 
 
+def test_tasks_of_a_hot_passage_are_bounded(spark, monkeypatch):
+    """Many short documents that are half one passage and not similar, with near copies among them."""
+    r = random.Random(8)
+    passage = [f"hot{k}" for k in range(20)]
+    rows = []
+    for i in range(0, 600, 2):
+        own = [f"w{r.randrange(10**6)}" for _ in range(20)]
+        rows.append((i, " ".join(passage + own)))
+        if i % 20 == 0:
+            rows.append((i + 1, " ".join(passage + own[:19] + ["edited"])))
+    inner = J.links_of
+
+    def bounded(table):
+        assert table.num_rows <= 96, table.num_rows
+        return inner(table)
+
+    monkeypatch.setattr(J, "CELL_DOCS", 16)
+    monkeypatch.setattr(J, "links_of", bounded)
+    _check(spark, rows)
+
+
 def test_repeated_and_missing_ids(spark):
     text = "the same long passage of words stands in this row and in that one too"
     _check(spark, [(5, text), (5, text), (5, "another text with the id five that is not alike at all"), (2, text),
