@@ -200,3 +200,46 @@ def q_keyword_table_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (hits.groupBy("doc_id")
             .agg(F.count(F.lit(1)).alias("n_keywords"), F.min("keyword").alias("first_keyword"),
                  F.max("keyword").alias("last_keyword")))
+
+
+# all words of the benchmark, and the first two words of each item
+_ALL_KEYWORDS_SQL = r"""(SELECT DISTINCT keyword FROM (
+    SELECT unnest(regexp_extract_all(lower(text), '[\pL\pN_-]+')) AS keyword FROM benchmark
+    UNION ALL
+    SELECT regexp_extract(lower(text), '^[^\pL\pN_-]*([\pL\pN_-]+ [\pL\pN_-]+)', 1) FROM benchmark)
+  WHERE keyword <> '')"""
+
+
+def all_benchmark_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keyword table derived from the data: distinct words of any length in
+    the ``benchmark`` items, and each item's first two words where one space
+    parts them."""
+    b = read(spark, sf_dir, "benchmark").select(F.lower("text").alias("text"))
+    words = b.select(F.explode(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}_-]+"), 0)).alias("keyword"))
+    pairs = b.select(F.regexp_extract("text", r"^[^\p{L}\p{N}_-]*([\p{L}\p{N}_-]+ [\p{L}\p{N}_-]+)", 1)
+                     .alias("keyword"))
+    return words.unionByName(pairs).filter("keyword <> ''").distinct()
+
+
+@register("keyword_table_filter_all", rf"""
+WITH t AS (
+  SELECT doc_id, regexp_extract_all(lower(text), '[\pL\pN_-]+|[^\pL\pN_-]+') AS parts FROM documents),
+runs AS (
+  SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[\pL\pN_-]+')) AS run FROM documents
+  UNION
+  SELECT doc_id, unnest(list_transform(list_filter(range(1, len(parts) - 1), lambda i: parts[i + 1] = ' '),
+                                       lambda i: parts[i] || ' ' || parts[i + 2])) FROM t),
+hits AS (
+  SELECT r.doc_id, k.keyword FROM runs r JOIN {_ALL_KEYWORDS_SQL} k ON r.run = k.keyword
+  UNION
+  SELECT r.doc_id, k.keyword FROM runs r JOIN {_ALL_KEYWORDS_SQL} k ON r.run = k.keyword || 's')
+SELECT doc_id, count(*) AS n_keywords, min(keyword) AS first_keyword, max(keyword) AS last_keyword
+FROM hits GROUP BY doc_id
+""")
+def q_keyword_table_filter_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``keyword_table_filter`` with words of any length and word pairs."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    hits = keyword_table_filter(docs, all_benchmark_keywords(spark, sf_dir))
+    return (hits.groupBy("doc_id")
+            .agg(F.count(F.lit(1)).alias("n_keywords"), F.min("keyword").alias("first_keyword"),
+                 F.max("keyword").alias("last_keyword")))
