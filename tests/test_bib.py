@@ -55,3 +55,11 @@ def test_macro_f1_matches_direct_computation(spark):
                              token_counts(title_tokens(F.col("b")))).alias("f")).collect()
     for (a, b), r in zip(pairs, got):
         assert abs(r.f - _macro_f1(a.split(), b.split())) < 1e-9
+
+def test_title_match_all_keeps_titles_without_a_match(spark, tmp_path):
+    from tablemine.plans.q_entities import q_title_match, q_title_match_all
+    parts = [(3, "red steel", "small case"), (4, "blue brass", "large box"), (5, "green tin", "wide bag")]
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_type string").write.parquet(f"{tmp_path}/part.parquet")
+    got = {r.p_partkey: (r.arxiv_id, r.f1) for r in q_title_match_all(spark, str(tmp_path)).collect()}
+    assert got == {3: ("2401.00003", 1.0), 4: (None, None), 5: (None, None)}
+    assert [r.p_partkey for r in q_title_match(spark, str(tmp_path)).collect()] == [3]
