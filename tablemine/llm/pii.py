@@ -1,7 +1,7 @@
 """Personal data by a semi-Markov conditional random field.
 
 Patterns give the base spans.  Around characters that personal data needs
-(digits, ``@``, ``=``, ``[``) the words of a text become a sequence, and the
+(digits, ``@``, ``=``, ``[``, a spelled ``(at)`` or ``(dot)``) the words of a text become a sequence, and the
 field scores every segment of up to ``MAX_WORDS`` words as a whole: its shape,
 digits, checksum, and the words beside it.  A dynamic program over segments
 picks the best cut into entities and other words.  Its spans are added where
@@ -90,7 +90,7 @@ def base_spans(text: str) -> list[Span]:
 
 # -- sequences and features -----------------------------------------------
 
-_SEED = re.compile(r"\S*[0-9@=\[]\S*")
+_SEED = re.compile(r"(?<!\S)\S*(?:[0-9@=\[]|\((?=\s*(?i:at|dot)\s*\)))\S*")
 _WORD = re.compile(r"\S+")
 _OPEN, _CLOSE = "([{<\"'|", ".,;:!?)]}>\"'|*#%$&"
 _CUE = re.compile(r"(?i)(pass(word|wd)?|pwd|token|secret|api[_-]?key|key|auth|bearer)\W*\Z")

@@ -43,6 +43,25 @@ def test_held_out_accuracy():
     assert right / found > 0.93 and right / there > 0.93
 
 
+def test_held_out_recall_through_the_seeds():
+    field = P.fitted()
+    found = there = 0
+    for text, spans in P._examples(300, seed=99):
+        for text, spans in ((text, spans), (text.replace("[", "(").replace("]", ")"), spans)):
+            base = P.base_spans(text)
+            got = {(k, *P.trimmed(text, a, b)) for k, a, b in [*base, *P.added_spans(text, base, field)]}
+            gold = {(k, *P.trimmed(text, a, b)) for k, a, b in spans}
+            found, there = found + len(got & gold), there + len(gold)
+    assert found / there > 0.93
+
+
+def test_addresses_spelled_with_round_brackets():
+    field = P.fitted()
+    for address in ("jane (at) example (dot) com", "jane(at)example(dot)com", "jane (AT) example.com"):
+        text = f"write to {address} for more"
+        assert ("email", 9, 9 + len(address)) in P.added_spans(text, P.base_spans(text), field), address
+
+
 def test_best_cut_is_the_best_of_all():
     """The dynamic program against all cuts of a short sequence."""
     field = P.fitted()
