@@ -17,6 +17,9 @@ Tasks exchange symbols as sorted arrays, one per (chunk of documents, bucket
 of names), each name once with a mark if the chunk holds it more often.  So a
 passage that many documents share weighs one entry a chunk, and a bucket's
 size does not depend on how often its names occur.
+
+Marks come back by place in the chunk, so a chunk's rows are put in an order
+of their own (row hash, then text) whenever they are read: Spark promises none.
 """
 
 from __future__ import annotations
@@ -25,6 +28,7 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,8 +37,9 @@ from .common import Words, extended, mix, parts_for, read
 WIDTH = 35
 #: Rounds of pairing; a round joins about a quarter of the symbols.
 ROUNDS = 6
-#: Documents of a chunk, and documents for each bucket of names.
-CHUNK_DOCS, BUCKET_DOCS, LEAST = 1_000, 4_000, 64
+#: Documents and bytes of a chunk, documents and bytes for each bucket of names.
+CHUNK_DOCS, CHUNK_BYTES = 1_000, 4 << 20
+BUCKET_DOCS, BUCKET_BYTES, LEAST = 4_000, 16 << 20, 64
 
 _LEFT, _RIGHT = np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
@@ -152,10 +157,10 @@ def _power(c: np.uint64, n: int) -> np.uint64:
 NAMES = "chunk int, bucket int, names binary, marks binary"
 
 
-def names_by_bucket(keys: np.ndarray, check: np.ndarray | None, buckets: int):
+def names_by_bucket(keys: np.ndarray, check: np.ndarray | None, buckets: int, count: np.ndarray | None = None):
     """Distinct names by (bucket, name): order of first places, its inverse,
     bucket edges, and which names occur more than once.  ``check``: more bits
-    of the name."""
+    of the name; ``count``: how often each place counts (once)."""
     bucket = ((keys >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
     order = np.lexsort(([check] if check is not None else []) + [keys, bucket])
     k, b = keys[order], bucket[order]
@@ -168,13 +173,14 @@ def names_by_bucket(keys: np.ndarray, check: np.ndarray | None, buckets: int):
     code = np.empty(len(k), np.int64)
     code[order] = rank
     first = order[new]
-    often = np.bincount(rank, minlength=len(first)) > 1
+    often = np.bincount(code, count, minlength=len(first)) > 1
     edges = np.searchsorted(bucket[first], np.arange(buckets + 1))
     return first, code, edges, often
 
 
-def names_table(chunk: int, keys: np.ndarray, check: np.ndarray | None, buckets: int) -> list[tuple]:
-    first, _, edges, often = names_by_bucket(keys, check, buckets)
+def names_table(chunk: int, keys: np.ndarray, check: np.ndarray | None, buckets: int,
+                count: np.ndarray | None = None) -> list[tuple]:
+    first, _, edges, often = names_by_bucket(keys, check, buckets, count)
     keys = keys[first]
     check = check[first] if check is not None else None
     rows = []
@@ -241,26 +247,59 @@ def remove_repeats(docs: DataFrame, column: str = "text", width: int = WIDTH, ro
     Adds ``kept`` (the words left, one space apart), ``n_words`` and
     ``n_removed`` (columns of these names, or named ``chunk``, are replaced).
     Windows are judged on the input.  Null, empty and shorter texts lose
-    nothing (null: kept is empty); repeated rows lose all that a window covers;
-    an empty table gives no rows.
+    nothing (null: kept is empty); repeated rows lose all that a window covers
+    (where one row stands more than ``CHUNK_DOCS`` times, equal rows travel as
+    one with a count); an empty table gives no rows.
     """
-    docs = docs.drop("kept", "n_words", "n_removed", "chunk")
-    rows = docs.count()
-    chunks = max(LEAST, parts_for(rows, CHUNK_DOCS))
-    buckets = max(LEAST, parts_for(rows, BUCKET_DOCS))
-    place = F.pmod(F.xxhash64(*docs.columns), F.lit(chunks)).cast("int")
-    dealt = docs.withColumn("chunk", place).repartition("chunk")
+    docs = docs.drop("kept", "n_words", "n_removed", "chunk", _ROW, _COPIES)
+    per_row = docs.select(F.xxhash64(*docs.columns).alias("h"), F.octet_length(column).cast("long").alias("b"))
+    sizes = per_row.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.sum("b").alias("b")).agg(
+        F.sum("n"), F.sum("b"), F.max("n")).first()
+    rows, size, copies = (int(x or 0) for x in sizes)
+    if copies > CHUNK_DOCS:
+        once = docs.groupBy(*docs.columns).agg(F.count(F.lit(1)).alias(_COPIES))
+        cut = _remove(once, column, width, rounds, rows, size).withColumn(
+            _COPIES, F.explode(F.sequence(F.lit(1).cast("long"), F.col(_COPIES))))
+        return cut.drop(_COPIES)
+    return _remove(docs.withColumn(_COPIES, F.lit(1).cast("long")), column, width, rounds, rows, size).drop(_COPIES)
+
+
+_ROW, _COPIES = "_row_hash", "_row_copies"
+
+
+def in_order(table: pa.Table, column: str) -> pa.Table:
+    """A chunk's rows by hash and text, whatever order they came in; rows
+    equal in both have the same words, so their order makes no difference."""
+    if table.num_rows < 2:
+        return table
+    keys = pa.table({"h": table.column(_ROW), "t": pc.fill_null(table.column(column), "")})
+    return table.take(pc.sort_indices(keys, sort_keys=[("h", "ascending"), ("t", "ascending")]))
+
+
+def _remove(docs: DataFrame, column: str, width: int, rounds: int, rows: int, size: int) -> DataFrame:
+    chunks = max(LEAST, parts_for(rows, CHUNK_DOCS), parts_for(size, CHUNK_BYTES))
+    buckets = max(LEAST, parts_for(rows, BUCKET_DOCS), parts_for(size, BUCKET_BYTES))
+    named = docs.withColumn(_ROW, F.xxhash64(*[c for c in docs.columns if c != _COPIES]))
+    dealt = named.withColumn("chunk", F.pmod(F.col(_ROW), F.lit(chunks)).cast("int")).repartition("chunk")
     multipliers = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 
     def texts(table: pa.Table) -> Words:
         return Words(table.column(column).combine_chunks())
 
+    def copies(table: pa.Table, starts: np.ndarray, at: np.ndarray) -> np.ndarray | None:
+        """How many rows the row of each word stands for."""
+        n = table.column(_COPIES).to_numpy()
+        return n[np.searchsorted(starts, at, "right") - 1] if (n > 1).any() else None
+
     def symbols(table: pa.Table) -> pa.Table:
+        table = in_order(table, column)
         words = texts(table)
         if not len(words.ids):
             return as_table([])
-        name, _, _ = recompress(words.ids, words.starts, rounds)
-        return as_table(names_table(table.column("chunk")[0].as_py(), name, None, buckets))
+        name, lo, hi = recompress(words.ids, words.starts, rounds)
+        # the middle of a context lies in its document
+        count = copies(table, words.starts, (lo + hi) // 2)
+        return as_table(names_table(table.column("chunk")[0].as_py(), name, None, buckets, count))
 
     def hashes(words: Words, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         a, b = (windows_of(words.ids, width, m)[at] for m in multipliers)
@@ -269,6 +308,7 @@ def remove_repeats(docs: DataFrame, column: str = "text", width: int = WIDTH, ro
     def windows(table: pa.Table, bits: pa.Table) -> pa.Table:
         if not table.num_rows:
             return as_table([])
+        table = in_order(table, column)
         words = texts(table)
         fits = whole_windows(words.starts, width)
         if not fits.any():
@@ -283,9 +323,11 @@ def remove_repeats(docs: DataFrame, column: str = "text", width: int = WIDTH, ro
         open_ = np.zeros(len(fits), bool)
         open_[at] = True
         own = (chunk, -1 - chunk, b"", np.packbits(open_).tobytes())
-        return as_table([own, *names_table(chunk, *hashes(words, at), buckets)])
+        count = copies(table, words.starts, at)
+        return as_table([own, *names_table(chunk, *hashes(words, at), buckets, count)])
 
     def cut(table: pa.Table, bits: pa.Table) -> pa.Table:
+        table = in_order(table, column)
         words = texts(table)
         n, starts = len(words.ids), words.starts
         gone = np.zeros(n, bool)
@@ -302,7 +344,7 @@ def remove_repeats(docs: DataFrame, column: str = "text", width: int = WIDTH, ro
             if lost[k + 1] > lost[k]:
                 cut_words = compress(cut_words, keep[starts[k]:starts[k + 1]].tolist())
             kept.append(b" ".join(cut_words))
-        out = table.drop_columns(["chunk"])
+        out = table.drop_columns(["chunk", _ROW])
         out = out.append_column("kept", pa.array(kept, pa.binary()).cast(pa.string()))
         out = out.append_column("n_words", pa.array(np.diff(starts).astype(np.int64)))
         return out.append_column("n_removed", pa.array(np.diff(lost).astype(np.int64)))
@@ -313,10 +355,9 @@ def remove_repeats(docs: DataFrame, column: str = "text", width: int = WIDTH, ro
     schema = extended(docs, kept="string", n_words="long", n_removed="long")
     from pyspark.sql.pandas.types import to_arrow_schema
     empty = to_arrow_schema(schema).empty_table()
-    slim = dealt.select("chunk", column) if len(docs.columns) == 1 else dealt
-    found = slim.groupBy("chunk").applyInArrow(symbols, NAMES)
+    found = dealt.groupBy("chunk").applyInArrow(symbols, NAMES)
     bits = found.groupBy("bucket").applyInArrow(mark_repeats(8), NAMES)
-    open_windows = slim.groupBy("chunk").cogroup(bits.groupBy("chunk")).applyInArrow(windows, NAMES)
+    open_windows = dealt.groupBy("chunk").cogroup(bits.groupBy("chunk")).applyInArrow(windows, NAMES)
     repeats = open_windows.groupBy("bucket").applyInArrow(mark_repeats(16), NAMES)
     return dealt.groupBy("chunk").cogroup(repeats.groupBy("chunk")).applyInArrow(cut_or_none, schema)
 

@@ -34,6 +34,48 @@ def test_equals_all_windows(spark, seed):
     assert any(m for _, m, _ in got.values()) and any(n and not m for n, m, _ in got.values())
 
 
+def test_rows_in_another_order_at_each_reading(spark, monkeypatch):
+    """Each of the three readings gets its rows in an order of its own, as
+    from executors that answer at different times."""
+    monkeypatch.setattr(R, "LEAST", 2)
+    texts = _texts(5)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+
+    def shuffled(batches):
+        r = np.random.Generator(np.random.PCG64())
+        for batch in batches:
+            yield batch.take(pa.array(r.permutation(batch.num_rows)))
+
+    docs = docs.coalesce(1).mapInArrow(shuffled, docs.schema)
+    reuse = spark.conf.get("spark.sql.exchange.reuse")
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in R.remove_repeats(docs).collect()}
+    finally:
+        spark.conf.set("spark.sql.exchange.reuse", reuse)
+    assert got == {i: (n, m, " ".join(k)) for i, (n, m, k) in enumerate(without_repeats(texts))}
+
+
+def test_chunks_hold_a_budget_of_bytes(spark, monkeypatch):
+    monkeypatch.setattr(R, "LEAST", 1)
+    monkeypatch.setattr(R, "CHUNK_BYTES", 2000)
+    texts = _texts(6)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.n_removed for r in R.remove_repeats(docs).collect()}
+    assert got == {i: m for i, (_, m, _) in enumerate(without_repeats(texts))}
+
+
+def test_one_row_many_times(spark, monkeypatch):
+    """Equal rows travel as one with a count: the same result."""
+    monkeypatch.setattr(R, "CHUNK_DOCS", 5)
+    texts = _texts(7)
+    rows = [(i, t) for i, t in enumerate(texts)] + [(99, texts[-1])] * 40 + [(98, texts[30])] * 2 + [(None, None)] * 9
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.n_words, r.n_removed, r.kept) for r in R.remove_repeats(docs).collect()), key=repr)
+    want = [(d, n, m, " ".join(k)) for (d, _), (n, m, k) in zip(rows, without_repeats([t for _, t in rows]))]
+    assert got == sorted(want, key=repr)
+
+
 def test_rows_that_repeat_wholly(spark):
     text = " ".join(f"t{k}" for k in range(50))
     docs = spark.createDataFrame([(1, text)] * 3 + [(None, text), (2, None)], "doc_id long, text string")
