@@ -8,14 +8,12 @@ from pyspark.sql import functions as F
 
 def count_by_algorithm(papers: DataFrame, algos_col: str = "algorithms") -> DataFrame:
     """Papers per detected algorithm, plus a ``Total`` row of papers with
-    any algorithm.  Both are partial aggregates; only (algorithm, count)
-    pairs cross the shuffle."""
-    per = (papers.select(F.explode(algos_col).alias("algorithm"))
-           .groupBy("algorithm").agg(F.count(F.lit(1)).alias("n_papers")))
-    total = (papers.filter(F.size(algos_col) > 0)
-             .agg(F.count(F.lit(1)).alias("n_papers"))
-             .select(F.lit("Total").alias("algorithm"), "n_papers"))
-    return per.unionByName(total)
+    any algorithm, in one pass: a paper counts for each of its algorithms and
+    once for ``Total``.  Only (algorithm, count) pairs cross the shuffle."""
+    kinds = F.explode(F.concat(F.col(algos_col), F.array(F.lit("Total"))))
+    each = papers.filter(F.size(algos_col) > 0).select(kinds.alias("algorithm"), F.lit(1).alias("n"))
+    none = papers.sparkSession.range(1).select(F.lit("Total").alias("algorithm"), F.lit(0).alias("n"))
+    return each.unionByName(none).groupBy("algorithm").agg(F.sum("n").alias("n_papers"))
 
 
 def corpus_summary(papers: DataFrame, hits_col: str) -> DataFrame:
