@@ -6,11 +6,16 @@ joined once with the cited tags.
 
 ``title_match`` replaces a remote title search by a join with a paper
 metadata table (``arxiv_url``, ``title``).  A pair is accepted when the
-macro-F1 of the two token-count vectors is above 0.8.  Blocking is exact:
+macro-F1 of the two token-count vectors is above 0.8.  Candidates are exact:
 a pair whose token *sets* differ has class 0 scoring F1 = 0, so it can only
 pass when both titles have at least five distinct non-zero token counts
 ("heavy" titles); ordinary titles are joined on their sorted distinct token
-set, heavy ones on shared (token, count ≥ 2) pairs.
+set.  Heavy ones go through a prefix filter: the mean of the classes' F1 is
+above the threshold only if one class's is, so the tokens with that count must
+overlap, and the rarest of them (by how many titles use a token) must meet.
+Class sizes alone bound the macro-F1 from above; only pairs whose bound passes
+are scored.  Keys with many titles on both sides are cut into blocks that meet
+in pairs, so no task holds more than two blocks of one key.
 """
 
 from __future__ import annotations
@@ -21,6 +26,8 @@ from pyspark.sql import functions as F
 from ..constants import NO_LINK, TITLE_F1_THRESHOLD
 from ..functions.answers import arxiv_id_from_url, year_folder
 from ..functions.common import col, starts, strip_ws
+from ..session import ensure_checkpoint_dir
+from .lookup import lookup
 
 _ENTRY_KEY = r"^[^\S\n]*@[^\S\n]*[A-Za-z]+[^\S\n]*\{[^\S\n]*([^,\s]+)"
 _TITLE = r"(?d)(?<![A-Za-z])title[^\S\n]*=[^\S\n]*\{(.*)\},?"
@@ -84,17 +91,75 @@ def macro_f1(a: Column, b: Column) -> Column:
                   F.aggregate(scores, F.lit(0.0), lambda s, x: s + x) / F.size(classes))
 
 
-def _prepare(df: DataFrame, title: Column, prefix: str) -> DataFrame:
-    toks = title_tokens(title)
-    counts = token_counts(toks)
-    nonzero_counts = F.array_distinct(F.map_values(counts))
-    canon = F.array_join(F.array_sort(F.transform(
-        F.map_entries(counts), lambda e: F.concat(e["key"], F.lit("\u0001"), e["value"].cast("string")))),
-        "\u0002")
-    return df.select("*", counts.alias(f"{prefix}_counts"),
-                     F.array_join(F.array_sort(F.array_distinct(toks)), " ").alias("_set"),
-                     canon.alias(f"{prefix}_canon"),
-                     (F.size(nonzero_counts) >= 5).alias(f"{prefix}_heavy"))
+#: Titles of one key in a task, on either side.
+KEY_BLOCK = 2_000
+
+
+def class_sizes(counts: Column) -> Column:
+    """How many tokens stand once, twice, ...: map of count to tokens."""
+    values = F.map_values(counts)
+    return F.map_from_entries(F.transform(F.array_distinct(values), lambda v: F.struct(
+        v.alias("c"), F.size(F.filter(values, lambda x: x == v)).alias("n"))))
+
+
+def f1_bound(a: Column, b: Column) -> Column:
+    """An upper bound of the macro-F1 from the class sizes of both titles: a
+    class scores at most twice the smaller size over the sum, and nothing if
+    one title lacks it."""
+    classes = F.array_union(F.map_keys(a), F.map_keys(b))
+    best = F.transform(classes, lambda c: F.when(a[c].isNotNull() & b[c].isNotNull(),
+                                                 2.0 * F.least(a[c], b[c]) / (a[c] + b[c])).otherwise(F.lit(0.0)))
+    return F.when(F.size(classes) > 0, F.aggregate(best, F.lit(0.0), lambda s, x: s + x) / F.size(classes))
+
+
+def _vectors(df: DataFrame, title: Column, side: str) -> DataFrame:
+    """``df`` with the count vector of its title, as map and as text."""
+    tokens = title_tokens(title)
+    counts = df.withColumn(f"{side}_counts", token_counts(tokens))
+    entries = F.transform(F.map_entries(f"{side}_counts"), lambda e: F.concat(
+        e["key"], F.lit("\u0001"), e["value"].cast("string")))
+    return counts.withColumn(f"{side}_canon", F.array_join(F.array_sort(entries), "\u0002"))
+
+
+def _prefixes(heavy: DataFrame, side: str, order: DataFrame, threshold: float) -> DataFrame:
+    """Keys (count, token) of a heavy title: of each class the rarest tokens,
+    as many as must hold one of any class with enough in common."""
+    each = heavy.select(f"{side}_canon", F.explode(f"{side}_counts").alias("token", "n")).join(order, "token")
+    classes = each.groupBy(f"{side}_canon", "n").agg(F.array_sort(F.collect_list(F.struct("titles", "token"))).alias("ts"))
+    # F1 above t needs more than t / (2 - t) of the tokens in common
+    length = F.size("ts") - F.floor(F.size("ts") * F.lit(threshold / (2 - threshold)) - F.lit(1e-9)).cast("int")
+    return classes.select(f"{side}_canon", F.explode(F.slice("ts", F.lit(1), length)).alias("t"), "n").select(
+        f"{side}_canon", F.concat_ws("\u0003", F.lit("n"), F.col("n").cast("string"), "t.token").alias("key"))
+
+
+def _meet(w: DataFrame, c: DataFrame) -> DataFrame:
+    """(w_canon, c_canon) of equal ``key``.  A key that more than ``KEY_BLOCK``
+    titles of a side hold is cut into blocks on that side, each of which meets
+    each of the other's."""
+    counts = w.groupBy("key").agg(F.count(F.lit(1)).alias("nw")).join(
+        c.groupBy("key").agg(F.count(F.lit(1)).alias("nc")), "key")
+    blocks = counts.select("key", F.ceil(F.col("nw") / KEY_BLOCK).cast("int").alias("bw"),
+                           F.ceil(F.col("nc") / KEY_BLOCK).cast("int").alias("bc"))
+    blocks = blocks.filter("bw > 1 or bc > 1").checkpoint()
+    if blocks.isEmpty():
+        return w.join(c, "key").select("w_canon", "c_canon")
+
+    def dealt(rows: DataFrame, own: str, other: str, name: str) -> DataFrame:
+        cut = lookup(rows, blocks, "key").select("key", f"{name}_canon", F.coalesce(own, F.lit(1)).alias("own"),
+                                                 F.coalesce(other, F.lit(1)).alias("other"))
+        return cut.select("key", f"{name}_canon", F.pmod(F.xxhash64(f"{name}_canon"), "own").cast("int").alias(own),
+                          F.explode(F.sequence(F.lit(0), F.col("other") - 1)).alias(other))
+
+    return dealt(w, "bw", "bc", "w").join(dealt(c, "bc", "bw", "c"), ["key", "bw", "bc"]).select("w_canon", "c_canon")
+
+
+def _near(w: DataFrame, c: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of heavy titles that share a prefix key."""
+    # the rarest token first; any one order for both sides is right
+    order = (w.select(F.explode(F.map_keys("w_counts")).alias("token"))
+             .unionByName(c.select(F.explode(F.map_keys("c_counts")).alias("token")))
+             .groupBy("token").agg(F.count(F.lit(1)).alias("titles")))
+    return _meet(_prefixes(w, "w", order, threshold), _prefixes(c, "c", order, threshold))
 
 
 def title_match(wanted: DataFrame, candidates: DataFrame, wanted_title: str = "title",
@@ -103,33 +168,36 @@ def title_match(wanted: DataFrame, candidates: DataFrame, wanted_title: str = "t
     """wanted + (arxiv_id, f1) of the best candidate above the threshold
     (ties: smallest URL); braces are removed from the wanted title first.
     Matching runs once per distinct wanted title; rows without a match keep
-    NULLs."""
+    NULLs.  Thresholds of 0.8 and above give all pairs."""
     clean = F.translate(F.col(wanted_title), "{}", "")
     # both sides are reduced to distinct count vectors: F1 depends on
     # nothing else, so no set of near-identical titles multiplies the pairs
-    w = _prepare(wanted.select(clean.alias("_wt")).filter(F.col("_wt").isNotNull()),
-                 F.col("_wt"), "w")
-    w = w.groupBy("w_canon").agg(F.first("w_counts").alias("w_counts"), F.first("_set").alias("_set"),
-                                 F.first("w_heavy").alias("w_heavy"))
-    c = _prepare(candidates.select(F.col(cand_url).alias("_url"), F.col(cand_title).alias("_ct")),
-                 F.col("_ct"), "c")
-    c = (c.groupBy("c_canon").agg(F.min("_url").alias("_url"), F.first("c_counts").alias("c_counts"),
-                                  F.first("_set").alias("_set"), F.first("c_heavy").alias("c_heavy")))
-    by_set = w.join(c.drop("c_heavy"), "_set").select("w_canon", "w_counts", "_url", "c_counts")
-    hw = w.filter("w_heavy").select("w_canon", "w_counts", F.explode("w_counts").alias("_tok", "_n")) \
-          .filter(F.col("_n") >= 2)
-    hc = c.filter("c_heavy").select("_url", "c_counts", F.explode("c_counts").alias("_tok", "_n")) \
-          .filter(F.col("_n") >= 2)
-    heavy = hw.join(hc, ["_tok", "_n"]).select("w_canon", "w_counts", "_url", "c_counts")
-    pairs = by_set.unionByName(heavy).dropDuplicates(["w_canon", "_url"])
-    scored = pairs.withColumn("f1", macro_f1(F.col("c_counts"), F.col("w_counts"))) \
-                  .filter(F.col("f1") > threshold)
+    w = _vectors(wanted.select(clean.alias("_wt")).filter(F.col("_wt").isNotNull()), F.col("_wt"), "w")
+    ensure_checkpoint_dir(wanted.sparkSession)
+    w = w.groupBy("w_canon").agg(F.first("w_counts").alias("w_counts")).checkpoint()
+    c = _vectors(candidates.select(F.col(cand_url).alias("_url"), F.col(cand_title).alias("_ct")), F.col("_ct"), "c")
+    c = c.groupBy("c_canon").agg(F.min("_url").alias("_url"), F.first("c_counts").alias("c_counts")).checkpoint()
+
+    def token_set(side: str) -> Column:
+        return F.concat(F.lit("s"), F.array_join(F.array_sort(F.map_keys(f"{side}_counts")), " "))
+
+    def heavy(side: str) -> Column:
+        return F.size(F.array_distinct(F.map_values(f"{side}_counts"))) >= 5
+
+    same = _meet(w.select("w_canon", token_set("w").alias("key")), c.select("c_canon", token_set("c").alias("key")))
+    hw, hc = w.filter(heavy("w")), c.filter(heavy("c"))
+    if hw.isEmpty() or hc.isEmpty():  # an ordinary title has no partner beside its set
+        pairs = same
+    else:
+        pairs = same.unionByName(_near(hw, hc, threshold)).distinct()
+    sized = (pairs.join(w.select("w_canon", "w_counts"), "w_canon").join(c, "c_canon")
+             .filter(f1_bound(class_sizes(F.col("w_counts")), class_sizes(F.col("c_counts"))) > threshold))
+    scored = sized.withColumn("f1", macro_f1(F.col("c_counts"), F.col("w_counts"))).filter(F.col("f1") > threshold)
     # best score first, then the smallest URL: one partial aggregate
     best = (scored.groupBy("w_canon")
             .agg(F.min(F.struct((-F.col("f1")).alias("nf"), F.col("_url").alias("u"))).alias("b"))
             .select("w_canon", F.col("b.u").alias("_url"), (-F.col("b.nf")).alias("f1")))
-    keyed = _prepare(wanted.withColumn("_wt", clean), F.col("_wt"), "w")
-    out = keyed.join(best, "w_canon", "left")
+    out = lookup(_vectors(wanted.withColumn("_wt", clean), F.col("_wt"), "w"), best, "w_canon")
     return out.select(*wanted.columns, arxiv_id_from_url(F.col("_url")).alias("arxiv_id"), "f1")
 
 
@@ -138,7 +206,7 @@ def link_columns(records: DataFrame, matched: DataFrame, key_cols: list[str],
     """Append dataset_link (arXiv id) and external_source_path; '' when any
     step failed (tag ``xx``, unknown year folder, no title, no match)."""
     m = matched.select(*key_cols, F.col("arxiv_id").alias("_aid"))
-    out = records.join(m, key_cols, "left")
+    out = lookup(records, m, key_cols)
     ok = F.col("_aid").isNotNull() & year_folder("paper_id").isNotNull()
     return (out.withColumn("dataset_link", F.when(ok, F.col("_aid")).otherwise(F.lit(NO_LINK)))
             .withColumn("external_source_path",

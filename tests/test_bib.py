@@ -63,3 +63,79 @@ def test_title_match_all_keeps_titles_without_a_match(spark, tmp_path):
     got = {r.p_partkey: (r.arxiv_id, r.f1) for r in q_title_match_all(spark, str(tmp_path)).collect()}
     assert got == {3: ("2401.00003", 1.0), 4: (None, None), 5: (None, None)}
     assert [r.p_partkey for r in q_title_match(spark, str(tmp_path)).collect()] == [3]
+
+
+def _f1(a, b):
+    """Macro-F1 of two titles, by its definition."""
+    import re
+    from collections import Counter
+    x, y = (Counter(re.findall(r"\b\w\w+\b", t.lower())) for t in (a, b))
+    pairs = [(x[k], y[k]) for k in {*x, *y}]
+    classes = {v for p in pairs for v in p}
+    score = [2 * sum(p == (c, c) for p in pairs) / (sum(p[0] == c for p in pairs) + sum(p[1] == c for p in pairs)) for c in classes]
+    return sum(score) / len(score) if score else 0.0
+
+
+def _titles(seed, n):
+    """Ordinary titles and heavy ones (tokens up to seven times); one token
+    stands in half of all."""
+    import random
+    r = random.Random(seed)
+    out = []
+    for _ in range(n):
+        if r.random() < 0.5:
+            out.append(" ".join(r.choice(["of", "deep", "nets", "for", "tables"]) for _ in range(r.randint(0, 6))))
+        else:
+            base = [w for k, w in enumerate(["the", "a1", "b2", "c3", "d4", "e5", "f6", "g7"]) for _ in range(k + 1 if k < 6 else 1)]
+            extra = [r.choice(["the", "xx", "yy", "g7", "h8", "i9"]) for _ in range(r.randint(0, 2))]
+            words = [w for w in base if r.random() < 0.99] + extra
+            r.shuffle(words)
+            out.append(" ".join(words))
+    return out
+
+
+def test_title_match_against_all_pairs(spark, monkeypatch):
+    import pytest
+
+    from tablemine.operators import bib as B
+    wanted, found = _titles(1, 60) + ["", "{Deep} nets", None], _titles(2, 120)
+    w = spark.createDataFrame([(i, t) for i, t in enumerate(wanted)], "i long, title string")
+    c = spark.createDataFrame([(f"http://arxiv.org/abs/2401.{k:05d}", t) for k, t in enumerate(found)], "arxiv_url string, title string")
+    for block in (2_000, 3):
+        monkeypatch.setattr(B, "KEY_BLOCK", block)
+        got = {r.i: r for r in B.title_match(w, c).collect()}
+        assert len(got) == len(wanted)
+        different = 0
+        for i, t in enumerate(wanted):
+            clean = (t or "").replace("{", "").replace("}", "")
+            scores = [(-_f1(clean, f), f"2401.{k:05d}") for k, f in enumerate(found)] if t is not None else []
+            best = min((s for s in scores if -s[0] > 0.8 + 1e-12), default=None)
+            assert got[i].arxiv_id == (best and best[1])
+            if best:
+                assert got[i].f1 == pytest.approx(-best[0])
+                different += -best[0] < 0.999
+        assert different > 3
+
+
+def test_bound_is_above_every_score(spark):
+    from tablemine.operators import bib as B
+    a, b = _titles(3, 80), _titles(4, 80)
+    df = spark.createDataFrame([(x, y) for x, y in zip(a, b)], "x string, y string")
+    x, y = (B.token_counts(B.title_tokens(c)) for c in ("x", "y"))
+    df = df.withColumn("cx", x).withColumn("cy", y).filter("size(cx) > 0 and size(cy) > 0")
+    rows = df.select(B.f1_bound(B.class_sizes(F.col("cx")), B.class_sizes(F.col("cy"))).alias("bound"),
+                     B.macro_f1(F.col("cx"), F.col("cy")).alias("f1")).collect()
+    assert rows and all(r.bound >= r.f1 - 1e-12 for r in rows)
+
+
+def test_common_token_is_no_hot_key(spark):
+    """A token in half of all titles, and one token set with many vectors:
+    keys are cut, so no task holds more than two blocks."""
+    from tablemine.operators import bib as B
+    rows = [(f"v{k}", "s-hot") for k in range(9_000)] + [(f"u{k}", f"s{k}") for k in range(50)]
+    w = spark.createDataFrame(rows, "w_canon string, key string")
+    c = spark.createDataFrame([(f"c{k}", "s-hot") for k in range(30)] + [("c", "s3")], "c_canon string, key string")
+    met = B._meet(w, c)
+    assert met.count() == 9_000 * 30 + 1
+    blocks = w.groupBy("key").count().filter("key = 's-hot'").first()["count"] / B.KEY_BLOCK
+    assert blocks > 4
