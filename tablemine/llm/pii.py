@@ -36,7 +36,8 @@ TRAINING_SEQUENCES, EPOCHS = 700, 5
 
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+# the contract's pattern; its leftmost match begins where a run of digits does
+_IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
@@ -75,7 +76,8 @@ def base_spans(text: str) -> list[Span]:
     out = _emails(text)
     if _DIGIT.search(text):
         for m in _IP.finditer(text):
-            if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split(".")):
+            parts = [p.lstrip("0") or "0" for p in m.group().split(".")]
+            if all(len(p) <= 3 and int(p) <= 255 for p in parts):
                 out.append(("ip", *m.span()))
         for m in _CARD.finditer(text):
             digits = re.sub("[^0-9]", "", m.group())

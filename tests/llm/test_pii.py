@@ -101,3 +101,25 @@ def test_operator(spark):
 def test_redaction_of_overlaps():
     assert P.redacted("abcdef", [("ip", 1, 3), ("card", 2, 5)]) == "a<IP>f"
     assert P.redacted("abc", []) == "abc"
+
+
+def test_long_runs_of_digits_are_linear():
+    import re
+    import time
+
+    from tablemine.llm import pii as P
+    plain = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+    samples = ["1" * 300, "12." * 90, "0" * 99 + "1.2.3.4", "1.2.3.4.5.6.7.8.9", "1..2.3.4.5", "a1.2.3.4b5.6.7.8", "999.1.1.1.1", "1.2.3", ".1.2.3.4.",
+               "1.2.3.4" + "5" * 200, "00.00.00.00"]
+    for t in samples:
+        want = [("ip", *m.span()) for m in plain.finditer(t) if all(int(p) <= 255 for p in m.group().split("."))]
+        assert [x for x in P.base_spans(t) if x[0] == "ip"] == want, t
+    field = P.fitted()
+    for t in ("7" * 1_000_000, "1." * 500_000, "0" * 1_000_000 + "1.1.1.1", "1 " * 20_000, "12-" * 300_000):
+        start = time.process_time()
+        P.base_spans(t)
+        assert time.process_time() - start < 2, t[:9]
+    assert ("ip", 0, 1_000_007) in P.base_spans("0" * 1_000_000 + "1.1.1.1")
+    start = time.process_time()
+    P.added_spans("7" * 1_000_000, P.base_spans("7" * 1_000_000), field)
+    assert time.process_time() - start < 2
