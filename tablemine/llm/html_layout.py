@@ -349,32 +349,53 @@ def _table(page: Page, table: Element, depth: int) -> None:
         page.block(0)
         layout(page, c, depth + 1)
         page.block(0)
-    grid: list[list[str]] = []
-    blocked: dict[tuple[int, int], str] = {}
+    grid: list[list[tuple[int, str]]] = []  # (column, text) of the cells with text
+    spans: list[tuple[int, int, int]] = []  # columns from, to, and last row, of cells that reach into this row
     for r, row in enumerate(rows):
-        cells: list[str] = []
+        spans = sorted(s for s in spans if s[2] >= r)
+        cells: list[tuple[int, str]] = []
+        down: list[tuple[int, int, int]] = []
+        at = k = 0
         for c in row:
-            while (r, len(cells)) in blocked:
-                cells.append(blocked[r, len(cells)])
+            while k < len(spans) and spans[k][0] <= at:
+                at = max(at, spans[k][1])
+                k += 1
             inner = Page()
             layout(inner, c, depth + 1)
             value = " / ".join(x.strip() for x in inner.text().split("\n") if x.strip())
-            span = [min(max(int(s), 1), 1000) if (s := (c.get(k) or "").strip()).isdecimal() and s.isascii() else 1
-                    for k in ("colspan", "rowspan")]
-            for down in range(1, min(span[1], len(rows) - r)):
-                for k in range(span[0]):
-                    blocked[r + down, len(cells) + k] = ""
-            cells += [value, *[""] * (span[0] - 1)]
-        while (r, len(cells)) in blocked:
-            cells.append("")
-        grid.append(cells)
-    columns = max(map(len, grid), default=0)
-    if columns == 1:
-        page.whole([r[0] for r in grid if r[0]])
+            span = [min(max(int(s), 1), 1000) if (s := (c.get(a) or "").strip()).isdecimal() and s.isascii() else 1
+                    for a in ("colspan", "rowspan")]
+            if span[1] > 1 and r + 1 < len(rows):
+                down.append((at, at + span[0], r + span[1] - 1))
+            if value:
+                cells.append((at, value))
+            at += span[0]
+        spans += down
+        if cells:
+            grid.append(cells)
+    # only columns that hold text take room; a very wide cell does not pad its column
+    width = {k: 0 for row in grid for k, _ in row}
+    for row in grid:
+        for k, x in row:
+            if len(x) <= 80:
+                width[k] = max(width[k], len(x))
+    if len(width) == 1:
+        page.whole([row[0][1] for row in grid])
         return
-    # a very wide cell does not pad its column
-    width = [max((len(r[k]) for r in grid if k < len(r) and len(r[k]) <= 80), default=0) for k in range(columns)]
-    page.whole(["  ".join(x.ljust(width[k]) for k, x in enumerate(r)).rstrip() for r in grid if any(r)])
+    left, place = 0, {}
+    for k in sorted(width):
+        place[k] = left
+        left += width[k] + 2
+    lines = []
+    for row in grid:
+        line, size, wider = [], 0, 0
+        for k, x in row:
+            start = place[k] + wider
+            line += [" " * (start - size), x]
+            size = start + len(x)
+            wider += max(0, len(x) - width[k])
+        lines.append("".join(line))
+    page.whole(lines)
 
 
 def layout(page: Page, top: Element, depth: int = 0) -> None:

@@ -96,3 +96,51 @@ def test_operator(spark):
     assert got.columns == ["page_id", "html", "text"]
     assert sorted(((r.page_id or 0, r.text) for r in got.collect())) == [(0, ""), (1, "a"), (1, "a"), (2, "")]
     assert extract(pages.limit(0)).count() == 0
+
+
+def test_spanning_cells_take_no_room_of_their_own():
+    import time
+    import tracemalloc
+    row = "<tr><td colspan=1000 rowspan=1000>x</td></tr>"
+    page = f"<table>{row * 2000}</table>"
+    start = time.process_time()
+    lines = visible_text(page).split("\n")
+    assert time.process_time() - start < 3
+    assert len(lines) == 2000 and all(x.strip() == "x" for x in lines)
+    tracemalloc.start()
+    visible_text(f"<table>{row * 500}</table>")
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100 << 20
+
+
+def _table_by_grid(rows):
+    """Lines of a table of (text, colspan, rowspan), by filling every position."""
+    taken, cells = set(), {}
+    for r, row in enumerate(rows):
+        c = 0
+        for text, wide, high in row:
+            while (r, c) in taken:
+                c += 1
+            taken |= {(r + d, c + k) for d in range(1, high) for k in range(wide)}
+            if text:
+                cells[r, c] = text
+            c += wide
+    columns = sorted({c for _, c in cells})
+    width = {k: max([len(t) for (_, c), t in cells.items() if c == k and len(t) <= 80], default=0) for k in columns}
+    if len(columns) == 1:
+        return [cells[k] for k in sorted(cells)]
+    return ["  ".join(cells.get((r, c), "").ljust(width[c]) for c in columns).rstrip() for r in range(len(rows))
+            if any((r, c) in cells for c in columns)]
+
+
+def test_tables_equal_a_full_grid():
+    import random
+    r = random.Random(9)
+    for _ in range(300):
+        rows = [[(r.choice(["", "a", "bb", "ccc dd", "w" * 90]), r.choice((1, 1, 1, 2, 5)), r.choice((1, 1, 1, 2, 4)))
+                 for _ in range(r.randint(1, 4))] for _ in range(r.randint(1, 6))]
+        page = "<table>" + "".join("<tr>" + "".join(f"<td colspan={w} rowspan={h}>{t}</td>" for t, w, h in row) + "</tr>"
+                                   for row in rows) + "</table>"
+        want = _table_by_grid(rows)
+        assert [x for x in visible_text(page).split("\n") if x] == want, rows
