@@ -15,8 +15,10 @@ from ..constants import RECORD_FIELDS
 from ..functions import answers as A
 from ..functions.common import strip_ws
 from ..operators import dedupe as D
-from ..operators.metrics import METRIC_RULES, alias_regex, parse_metric_answer, standardize_metric
-from ..operators.records import drop_failed_answers, extract_records, flatten_records, parse_jsonl_records
+from ..operators.metrics import (METRIC_RULES, alias_regex, parse_metric_answer, rule_table, standardize_metric,
+                                standardize_metric_by_rules)
+from ..operators.records import (drop_failed_answers, drop_failed_counted, extract_records, flatten_records,
+                                parse_jsonl_records)
 from ..operators.summary import failure_counts
 from .queries import read, register
 from .render import bounded_chunks
@@ -82,6 +84,25 @@ def q_failure_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return failure_counts(a, "ans")
 
 
+@register("drop_failed_counted", f"""
+SELECT count(*) AS n_total, CAST(count_if({_FAILED_ORDER}) AS BIGINT) AS n_failed,
+       CAST(count_if(NOT {_FAILED_ORDER}) AS BIGINT) AS n_written
+FROM (SELECT DISTINCT l_orderkey FROM lineitem)
+""")
+def q_drop_failed_counted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts observed by the job that writes the kept answers."""
+    import uuid
+
+    from ..session import ensure_checkpoint_dir
+    a = order_answers(spark, sf_dir).withColumn("ans", A.strip_reasoning("table_results_raw"))
+    kept, counted = drop_failed_counted(a.select("l_orderkey", "ans"), "ans")
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/kept-answers-{uuid.uuid4().hex}"
+    kept.write.parquet(path)
+    seen = counted.get
+    return spark.read.parquet(path).agg(F.count(F.lit(1)).alias("n_written")).select(
+        F.lit(seen["n_total"]).cast("long").alias("n_total"), F.lit(seen["n_failed"]).cast("long").alias("n_failed"), "n_written")
+
+
 @register("drop_failed_answers", f"""
 SELECT DISTINCT l_orderkey FROM lineitem WHERE NOT {_FAILED_ORDER}
 """)
@@ -142,6 +163,15 @@ WHERE std IS NOT NULL AND v IS NOT NULL
 """
 
 
+@register("standardize_metric_rules", _metric_oracle())
+def q_standardize_metric_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fixed rules as a rule table."""
+    ev = read(spark, sf_dir, "events")
+    recs = ev.select("event_id", *[F.expr(e).alias(k) for k, e in METRIC_INPUT_SQL.items()])
+    return standardize_metric_by_rules(recs, rule_table(spark)).select(
+        "event_id", "standardized_metric", "adjusted_metric_value")
+
+
 @register("standardize_metric", _metric_oracle())
 def q_standardize_metric(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = read(spark, sf_dir, "events")
@@ -341,6 +371,23 @@ def q_truncate_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.md5(t).alias("prompt_md5"), F.length(t).cast("bigint").alias("prompt_chars"))
 
 
+_BUDGET = 300
+
+
+@register("truncate_prompt_tokens", rf"""
+SELECT doc_id, md5(p) AS prompt_md5, length(p) AS prompt_chars FROM (
+  SELECT doc_id, CASE WHEN len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) > {_BUDGET}
+    THEN regexp_extract(text, '^[\x20\x09-\x0D]*(?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]+){{{_BUDGET - 1}}}[^\x20\x09-\x0D]+', 0)
+    ELSE text END AS p
+  FROM documents)
+""")
+def q_truncate_prompt_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents cut to 300 words by the word tokenizer."""
+    from ..operators.prompts import truncate_prompt_tokens
+    d = read(spark, sf_dir, "documents").select("doc_id", truncate_prompt_tokens("text", _BUDGET).alias("p"))
+    return d.select("doc_id", F.md5("p").alias("prompt_md5"), F.length("p").cast("bigint").alias("prompt_chars"))
+
+
 _LABEL_ANSWER_SQL = ("CASE WHEN quality = 1 AND toxic = 0 THEN 'True' "
                      "WHEN quality = 1 THEN 'Answer: TRUE, mostly' "
                      "WHEN toxic = 1 THEN 'false' ELSE 'Not relevant.' END")
@@ -412,6 +459,15 @@ def q_sorted_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select("o_orderkey", F.array_join(terms, "|").alias("sorted_terms"))
 
 
+@register("sorted_paths", """
+SELECT url, page_id, row_number() OVER (ORDER BY url, page_id) - 1 AS "rank" FROM pages
+""")
+def q_sorted_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All page paths in order, with gapless ranks."""
+    from ..operators.ordering import sorted_inputs
+    return sorted_inputs(read(spark, sf_dir, "pages").select("url", "page_id"), ["url", "page_id"])
+
+
 @register("final_projection", "SELECT concat('o', CAST(l_orderkey AS VARCHAR)) AS table_source_arxiv_id, "
           "'T' AS table_source, " + RECORD_SQL["dataset"] + " AS dataset_name, '' AS dataset_reference_arxiv_id, "
           "'GPT4o' AS dataset_description_source, 'D' AS dataset_description, "

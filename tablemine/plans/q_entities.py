@@ -10,7 +10,7 @@ from ..operators.bib import bib_title_lookup, title_match
 from ..operators.describe import describe_distinct, fill_failed_descriptions
 from ..operators.model import apply_model
 from .stubs import describer_stub, source_describer_stub
-from .queries import read, register
+from .queries import ORACLES, read, register
 from .render import bounded_chunks
 
 # ------------------------------------------------------------ RT-DESC
@@ -96,6 +96,20 @@ def q_apply_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_model(c, "prompt", describer_stub).select("conv_id", "turn", "answer")
 
 
+@register("apply_model_once", ORACLES["apply_model"])
+def q_apply_model_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same answers through a store of answers, in three commits."""
+    import uuid
+
+    from ..operators.answers_store import apply_model_once
+    from ..session import ensure_checkpoint_dir
+    c = read(spark, sf_dir, "conversations").select(
+        "conv_id", "turn", F.concat(F.lit("Dataset: "), F.col("role"), F.lit("\nSubset: "),
+                                    F.col("turn").cast("string"), F.lit("\n")).alias("prompt"))
+    store = f"{ensure_checkpoint_dir(spark).rstrip('/')}/answers-{uuid.uuid4().hex}"
+    return apply_model_once(c, "prompt", describer_stub, store, batches=3).select("conv_id", "turn", "answer")
+
+
 # ------------------------------------------------------------ RT-BIB
 def _tag(partkey: F.Column) -> F.Column:
     return F.concat(F.lit("ref"), F.lpad(partkey.cast("string"), 6, "0"))

@@ -200,19 +200,21 @@ def q_command_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("tables_by_numeric_content", r"""
-SELECT l_orderkey, 0 AS n_without_numeric, 1 AS n_with_numeric
-FROM (SELECT DISTINCT l_orderkey FROM lineitem)
+SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'without' WHEN 1 THEN 'without' ELSE 'with' END AS numeric_cells FROM orders
 """)
 def q_tables_by_numeric_content(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The original keeps tables *without* numeric cells; every rendered
-    order table has some, so it keeps none and the opposite selection keeps
-    all."""
-    from ..operators.cells import has_numeric_cell
-    t = order_tables(spark, sf_dir).withColumn("_has", has_numeric_cell("table_source"))
-    # one pass: the operator is a filter on this flag (kept: no numeric cell)
-    return t.groupBy("l_orderkey").agg(
-        F.count_if(~F.col("_has")).cast("int").alias("n_without_numeric"),
-        F.count_if(F.col("_has")).cast("int").alias("n_with_numeric"))
+    """Both selections, over a table per order: of words (0), of words and a
+    caption number outside the cells (1), with a marked number (2), plain (3)."""
+    from ..operators.cells import tables_by_numeric_content
+    k = F.col("o_orderkey") % 4
+    cell = (F.when(k == 2, F.concat(F.lit("\\textbf{"), F.col("o_custkey").cast("string"), F.lit("}")))
+            .when(k == 3, F.col("o_totalprice").cast("decimal(12,2)").cast("string")).otherwise(F.lit("open")))
+    number = F.when(k == 1, F.col("o_custkey").cast("string")).otherwise(F.lit("none"))
+    table = F.concat(F.lit("\\begin{table}\n\\caption{No "), number, F.lit("}\n\\begin{tabular}{ll}\nname & value \\\\\n"),
+                     F.col("o_orderstatus"), F.lit(" & "), cell, F.lit(" \\\\\n\\end{tabular}\n\\end{table}"))
+    t = read(spark, sf_dir, "orders").select("o_orderkey", table.alias("table_source"))
+    return (tables_by_numeric_content(t).select("o_orderkey", F.lit("without").alias("numeric_cells"))
+            .unionByName(tables_by_numeric_content(t, keep_numeric=True).select("o_orderkey", F.lit("with").alias("numeric_cells"))))
 
 
 @register("nearest_label_after", r"""

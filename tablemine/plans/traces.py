@@ -113,7 +113,8 @@ def valid_records(records: DataFrame) -> DataFrame:
 def final_table(records: DataFrame, describe_model: ModelFactory, source_model: ModelFactory,
                 paper_text: DataFrame, links: DataFrame | None = None,
                 canonicalize: bool = True) -> DataFrame:
-    """valid records → the 13-column final table."""
+    """valid records → the 13-column final table, under canonical dataset
+    names (``canonicalize=False``: the names as extracted)."""
     r = records
     if links is not None:
         r = r.join(links, ["paper_id", "table_index", "record_index"], "left")
@@ -128,6 +129,6 @@ def final_table(records: DataFrame, describe_model: ModelFactory, source_model:
     d = fill_failed_descriptions(d, texts, source_model)
     d = d.withColumn("_o1", F.col("paper_id")).withColumn("_o2", F.col("table_index")) \
          .withColumn("_o3", F.col("record_index"))
-    final = D.final_projection(d, extra=["_o1", "_o2", "_o3"])
+    final = D.final_projection(d, name_col="dataset_canonical" if canonicalize else None, extra=["_o1", "_o2", "_o3"])
     deduped = D.dedupe_conflicting(final, order=["_o1", "_o2", "_o3"]).drop("_o1", "_o2", "_o3")
     return D.description_filter(D.sentinel_filter(deduped))
