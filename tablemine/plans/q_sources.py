@@ -396,6 +396,28 @@ def q_scan_paper_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count_if(F.contains("rel_path", F.lit("/"))).alias("n_nested"))
 
 
+@register("read_archives", """
+SELECT concat('c', CAST(o_custkey AS VARCHAR), '-0') AS paper_id,
+       CAST(CASE WHEN o_custkey % 10 = 7 THEN 0
+            ELSE count_if(o_orderkey % 6 IN (0, 1, 2, 3)) + 2 + CASE WHEN o_custkey % 5 = 0 THEN 1 ELSE 0 END END AS BIGINT) AS n_files,
+       CAST(CASE WHEN o_custkey % 10 = 7 THEN 0 ELSE count_if(o_orderkey % 6 = 2) END AS BIGINT) AS n_nested,
+       CAST(CASE WHEN o_custkey % 10 = 7 THEN 1 ELSE 0 END AS BIGINT) AS n_errors
+FROM orders GROUP BY o_custkey
+""")
+def q_read_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Source folders written as archives (every tenth cut short), streamed
+    back by the archive source."""
+    from ..sources.archives import read_archives
+    from .render import write_archives
+    root = _tree_root(spark)
+    write_archives(customer_paper_files(read(spark, sf_dir, "orders")), root).write.format("noop").mode("overwrite").save()
+    rows = read_archives(spark, root)
+    good = F.col("error").isNull()
+    return rows.groupBy("paper_id").agg(
+        F.count_if(good).alias("n_files"), F.count_if(good & F.contains("rel_path", F.lit("/"))).alias("n_nested"),
+        F.count_if(~good).alias("n_errors"))
+
+
 @register("list_top_level_tex", """
 SELECT concat('c', CAST(o_custkey AS VARCHAR), '-0') AS paper_id,
        CAST(count_if(o_orderkey % 6 IN (0, 1, 3)) + 2 + CASE WHEN o_custkey % 5 = 0 THEN 1 ELSE 0 END
