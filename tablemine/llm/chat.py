@@ -81,6 +81,31 @@ def masked(starts: list[int], ends: list[int], spans: list[tuple[int, int]]) ->
     return mask, kept
 
 
+class Side:
+    """Starts (0) or ends (1) of an encoding's tokens, read one at a time: a
+    binary search looks at a few of them, not at all."""
+
+    def __init__(self, encoding, side: int) -> None:
+        self.encoding, self.side = encoding, side
+
+    def __len__(self) -> int:
+        return len(self.encoding)
+
+    def __getitem__(self, k: int) -> int:
+        return self.encoding.token_to_chars(k)[self.side]
+
+
+def covered(encoding, spans: list[tuple[int, int]]) -> list[tuple[int, int, int, int]]:
+    """For each span, the tokens that share a character with it (from, to) and
+    its characters that they hold (from, to); empty spans have none."""
+    starts, ends, out = Side(encoding, 0), Side(encoding, 1), []
+    for a, b in spans:
+        i, j = (bisect_right(ends, a), bisect_left(starts, b)) if a < b else (0, 0)
+        if i < j:
+            out.append((i, j, max(a, starts[i]), min(b, ends[j - 1])))
+    return out
+
+
 def tokenizer(path: str):
     """The worker's tokenizer; offsets cover every character."""
     if path not in _TOKENIZERS:
@@ -93,6 +118,22 @@ def tokenizer(path: str):
     return _TOKENIZERS[path]
 
 
+def _conversations(turns: DataFrame) -> DataFrame:
+    return turns.groupBy(F.col("conv_id").cast("long").alias("conv_id")).agg(F.sort_array(F.collect_list(F.struct(
+        "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")))).alias("turns"))
+
+
+def _encoded(batches: Iterator[pa.RecordBatch], vocabulary: str) -> Iterator[tuple[pa.Array, list]]:
+    """Ids of some conversations, and each one's (string, target spans, encoding)."""
+    t = tokenizer(vocabulary_path(vocabulary))
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            done = [render([(x["role"], x["text"]) for x in turns]) for turns in part.column("turns").to_pylist()]
+            encodings = t.encode_batch([x for x, _ in done], add_special_tokens=False)
+            yield part.column("conv_id"), [(text, spans, e) for (text, spans), e in zip(done, encodings)]
+
+
 def format_conversations(turns: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """One row per conversation: ``formatted``, ``ids``, ``starts``, ``ends``
     (code points) and ``loss`` of its tokens, and ``spans`` [start, end] of the
@@ -103,28 +144,58 @@ def format_conversations(turns: DataFrame, vocabulary: str = VOCABULARY) -> Data
     of role and text, repeated rows each make a turn; null conv_ids are one
     conversation; an empty table gives no rows.
     """
-    whole = turns.groupBy(F.col("conv_id").cast("long").alias("conv_id")).agg(F.sort_array(F.collect_list(F.struct(
-        "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")))).alias("turns"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = tokenizer(vocabulary_path(vocabulary))
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                done = [render([(x["role"], x["text"]) for x in turns]) for turns in part.column("turns").to_pylist()]
-                rows = []
-                for (text, spans), e in zip(done, t.encode_batch([x for x, _ in done], add_special_tokens=False)):
-                    starts, ends = [a for a, _ in e.offsets], [b for _, b in e.offsets]
-                    loss, kept = masked(starts, ends, spans)
-                    rows.append((text, e.ids, starts, ends, loss, [list(x) for x in kept]))
-                ints = pa.list_(pa.int32())
-                kinds = (pa.string(), ints, ints, ints, ints, pa.list_(ints))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("conv_id"), *(pa.array(x, k) for x, k in zip(zip(*rows), kinds))],
-                    ["conv_id", "formatted", "ids", "starts", "ends", "loss", "spans"])
-
-    return whole.mapInArrow(run, "conv_id long, formatted string, ids array<int>, starts array<int>, ends array<int>, "
-                                 "loss array<int>, spans array<array<int>>")
+        for ids, done in _encoded(batches, vocabulary):
+            rows = []
+            for text, spans, e in done:
+                starts, ends = [a for a, _ in e.offsets], [b for _, b in e.offsets]
+                loss, kept = masked(starts, ends, spans)
+                rows.append((text, e.ids, starts, ends, loss, [list(x) for x in kept]))
+            ints = pa.list_(pa.int32())
+            kinds = (pa.string(), ints, ints, ints, ints, pa.list_(ints))
+            yield pa.RecordBatch.from_arrays([ids, *(pa.array(x, k) for x, k in zip(zip(*rows), kinds))],
+                                             ["conv_id", "formatted", "ids", "starts", "ends", "loss", "spans"])
+
+    return _conversations(turns).mapInArrow(run, "conv_id long, formatted string, ids array<int>, starts array<int>, "
+                                                 "ends array<int>, loss array<int>, spans array<array<int>>")
+
+
+DIGESTS = ("conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, "
+           "n_tokens long, n_loss_tokens long")
+
+
+def conversation_digests(turns: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
+    """What ``digests`` reads back from ``format_conversations``, and the
+    counts of tokens, in the pass that formats: no token array leaves it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, done in _encoded(batches, vocabulary):
+            rows = []
+            for text, spans, e in done:
+                under = covered(e, spans)
+                rows.append((*_digest(text, [unescape(text[a:b]) for _, _, a, b in under]), len(e),
+                             _tokens([(i, j) for i, j, _, _ in under])))
+            kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([ids, *(pa.array(x, k) for x, k in zip(zip(*rows), kinds))],
+                                             [f.split()[0] for f in DIGESTS.split(", ")])
+
+    return _conversations(turns).mapInArrow(run, DIGESTS)
+
+
+def _tokens(runs: list[tuple[int, int]]) -> int:
+    """Tokens in sorted runs, of which neighbours may share one."""
+    total = last = 0
+    for i, j in runs:
+        total += max(0, j - max(i, last))
+        last = max(last, j)
+    return total
+
+
+def _digest(text: str, under: list[str]) -> tuple[int, str, int, str, int]:
+    turns, said = parse(text), "".join(under)
+    return (len(turns), hashlib.sha256("".join(f"{r}\n{x}\n" for r, x in turns).encode()).hexdigest(),
+            len(said), hashlib.sha256(said.encode()).hexdigest(), len(text))
 
 
 def digests(formatted: DataFrame) -> DataFrame:
@@ -135,15 +206,12 @@ def digests(formatted: DataFrame) -> DataFrame:
             rows = []
             for text, loss, starts, ends, spans in zip(*(part.column(c).to_pylist() for c in (
                     "formatted", "loss", "starts", "ends", "spans"))):
-                turns = parse(text)
                 under = []
                 for a, b in spans:  # the span's characters that masked tokens hold
                     i, j = bisect_right(ends, a), bisect_left(starts, b)
                     own = [k for k in range(i, j) if loss[k]]
                     under.append(unescape(text[max(a, starts[own[0]]):min(b, ends[own[-1]])]) if own else "")
-                said = "".join(under)
-                rows.append((len(turns), hashlib.sha256("".join(f"{r}\n{x}\n" for r, x in turns).encode()).hexdigest(),
-                             len(said), hashlib.sha256(said.encode()).hexdigest(), len(text)))
+                rows.append(_digest(text, under))
             kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [part.column("conv_id"), *(pa.array(x, k) for x, k in zip(zip(*rows) if rows else [[]] * 5, kinds))],
@@ -160,4 +228,4 @@ def op8_offset_masks(spark, sf_dir: str) -> DataFrame:
                                   F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
                                   F.lit(said).alias("text"))
     turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    return digests(format_conversations(turns.union(extra)))
+    return conversation_digests(turns.union(extra))

@@ -42,7 +42,10 @@ def test_read_back(spark):
     made = C.format_conversations(df)
     got = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in C.digests(made).collect()}
     assert got == {k: _want(t) for k, t in talks.items()}
+    one = {r.conv_id: r for r in C.conversation_digests(df).collect()}
+    assert {k: tuple(r)[1:5] for k, r in one.items()} == got
     for row in made.collect():
+        assert (one[row.conv_id].n_tokens, one[row.conv_id].n_loss_tokens) == (len(row.ids), sum(row.loss))
         assert row.starts[0] == 0 and row.ends[-1] == len(row.formatted)
         assert len(row.ids) == len(row.loss) == len(row.starts)
 
@@ -51,6 +54,7 @@ def test_equal_turn_numbers_and_empty(spark):
     df = spark.createDataFrame([(1, None, "user", "b"), (1, None, "user", "a"), (1, None, "user", "a")], "conv_id long, turn long, role string, text string")
     assert [t for _, t in C.parse(C.format_conversations(df).collect()[0].formatted)] == ["a", "a", "b"]
     assert C.digests(C.format_conversations(df.limit(0))).count() == 0
+    assert C.conversation_digests(df.limit(0)).count() == 0
 
 
 def test_query_adds_the_hard_conversation(spark, tmp_path):
