@@ -261,6 +261,27 @@ def q_incremental_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incremental_manifest(p, done, ["target"]).select("page_id")
 
 
+@register("incremental_manifest_stream", "SELECT page_id FROM pages WHERE page_id % 3 <> 0")
+def q_incremental_manifest_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same pages as a stream with keyed state: the manifest fills the
+    state, new pages go to a table in the checkpoint folder."""
+    import uuid
+
+    from ..session import ensure_checkpoint_dir
+    from ..streaming.keyed import process_new_items_keyed
+    # a pattern, since a stream takes a path for a folder and this may be one file
+    pattern = f"{sf_dir.rstrip('/')}/page[s].parquet"
+    pages = spark.read.parquet(pattern)
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    target = A.stable_filename("url").alias("target")
+    done = pages.filter(F.col("page_id") % 3 == 0).select(target)
+    stream = spark.readStream.schema(pages.schema).parquet(pattern).select("page_id", target)
+    query = process_new_items_keyed(stream, ["target"], lambda new: new.select("page_id"),
+                                    f"{base}/pages", f"{base}/state", done)
+    query.awaitTermination()
+    return spark.read.schema("page_id long").parquet(f"{base}/pages")
+
+
 @register("json_column_codec", """
 SELECT l_orderkey, count(*) AS n_items, true AS round_trip
 FROM lineitem GROUP BY l_orderkey
