@@ -34,7 +34,8 @@ _TITLE = r"(?d)(?<![A-Za-z])title[^\S\n]*=[^\S\n]*\{(.*)\},?"
 
 
 def bib_entries(bib_files: DataFrame) -> DataFrame:
-    """(paper_id, tag, title) of every entry of the ``.bib`` files, read row by
+    """(paper_id, tag, title, head) of every entry of the ``.bib`` files, with
+    its opening line, read row by
     row: comment lines (first non-blank char ``%``) go, the text is cut before
     each line that begins with ``@``, and an entry's title is the first one
     before the next entry (NULL if it has none)."""
@@ -42,20 +43,40 @@ def bib_entries(bib_files: DataFrame) -> DataFrame:
     cut = F.filter(F.split(text, r"\n(?=[^\S\n]*@)"), lambda e: starts(strip_ws(e), "@"))
     entry = bib_files.select("paper_id", F.explode(cut).alias("entry"))
     title = F.when(F.col("entry").rlike(_TITLE), strip_ws(F.regexp_extract("entry", _TITLE, 1)))
-    return entry.select("paper_id", F.regexp_extract("entry", _ENTRY_KEY, 1).alias("tag"), title.alias("title"))
+    return entry.select("paper_id", F.regexp_extract("entry", _ENTRY_KEY, 1).alias("tag"), title.alias("title"),
+                        F.substring_index("entry", "\n", 1).alias("head"))
 
 
-def bib_title_lookup(bib_files: DataFrame, citations: DataFrame,
-                     tag_col: str = "dataset_citation_tag") -> DataFrame:
+def bib_title_lookup(bib_files: DataFrame, citations: DataFrame, tag_col: str = "dataset_citation_tag",
+                     containing: bool = False) -> DataFrame:
     """(paper_id, tag, title): the title of the tag's entry, NULL when the
     tag has no entry or more than one, or the entry has no title line.  One
-    row-local parse, one join with the cited tags, one count per tag."""
+    row-local parse, one join with the cited tags, one count per tag.
+
+    An entry is a tag's when its key equals the tag; with ``containing``, when
+    the line that opens it holds the tag anywhere, as the original has it (so
+    ``a1`` finds ``a10`` too, and nothing if both are there)."""
     tags = citations.select("paper_id", F.col(tag_col).alias("tag")).distinct()
-    found = (tags.join(bib_entries(bib_files), ["paper_id", "tag"], "left")
+    entries = bib_entries(bib_files)
+    if containing:
+        entries = _entries_by_substring(entries, tags)
+    found = (tags.join(entries.select("paper_id", "tag", "title"), ["paper_id", "tag"], "left")
              .groupBy("paper_id", "tag").agg(F.count(F.lit(1)).alias("n"), F.min("title").alias("t")))
     return found.select("paper_id", "tag", F.when(F.col("n") == 1, F.col("t")).alias("title"))
 
 
+def _entries_by_substring(entries: DataFrame, tags: DataFrame) -> DataFrame:
+    """Entries once for each different substring of their opening line that is
+    as long as one of the paper's tags, so that holding a tag is equality: no
+    entry is held against all tags of its paper."""
+    lengths = tags.groupBy("paper_id").agg(F.collect_set(F.length("tag")).alias("sizes"))
+    sized = lookup(entries, lengths, "paper_id", how="inner")
+    line = F.col("head")
+    cuts = F.flatten(F.transform(F.filter("sizes", lambda n: n <= F.length(line)), lambda n: F.transform(
+        F.sequence(F.lit(1), F.length(line) - n + 1), lambda at: F.substr(line, at, n))))
+    return sized.select("paper_id", F.explode(F.array_distinct(cuts)).alias("tag"), "title")
+
+
 # -------------------------------------------------------------- title match
 _TOKEN = r"(?U)\b\w\w+\b"
 
@@ -201,12 +222,16 @@ def title_match(wanted: DataFrame, candidates: DataFrame, wanted_title: str = "t
     return out.select(*wanted.columns, arxiv_id_from_url(F.col("_url")).alias("arxiv_id"), "f1")
 
 
-def link_columns(records: DataFrame, matched: DataFrame, key_cols: list[str],
+def link_columns(records: DataFrame, matched: DataFrame | None, key_cols: list[str],
                  source_root: str) -> DataFrame:
     """Append dataset_link (arXiv id) and external_source_path; '' when any
-    step failed (tag ``xx``, unknown year folder, no title, no match)."""
-    m = matched.select(*key_cols, F.col("arxiv_id").alias("_aid"))
-    out = lookup(records, m, key_cols)
+    step failed (tag ``xx``, unknown year folder, no title, no match).
+    ``matched`` has an ``arxiv_id`` for each key; without it the records bring
+    their own, as ``title_match`` returns them, and nothing is joined."""
+    if matched is None:
+        out = records.withColumnRenamed("arxiv_id", "_aid")
+    else:
+        out = lookup(records, matched.select(*key_cols, F.col("arxiv_id").alias("_aid")), key_cols)
     ok = F.col("_aid").isNotNull() & year_folder("paper_id").isNotNull()
     return (out.withColumn("dataset_link", F.when(ok, F.col("_aid")).otherwise(F.lit(NO_LINK)))
             .withColumn("external_source_path",

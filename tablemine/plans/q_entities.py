@@ -155,6 +155,32 @@ def q_bib_title_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("l_suppkey", "l_partkey", "title"))
 
 
+_CITED_SQL = "CASE WHEN p_partkey % 3 = 0 THEN concat(k, ',') ELSE k END"
+_KEYED_SQL = """SELECT p_partkey, concat('b', CAST({div} AS {text})) AS paper_id,
+  concat('k', CAST(p_partkey % 20 AS {text})) AS k, p_name FROM """
+
+
+@register("bib_title_lookup_containing", f"""
+WITH e AS ({_KEYED_SQL.format(div="p_partkey // 20", text="VARCHAR")} part),
+c AS (SELECT p_partkey, paper_id, {_CITED_SQL} AS tag FROM e)
+SELECT c.p_partkey, CASE WHEN count(e.k) = 1 THEN min(e.p_name) END AS title
+FROM c LEFT JOIN e ON c.paper_id = e.paper_id AND contains(concat('@book{{', e.k, ','), c.tag)
+GROUP BY c.p_partkey
+""")
+def q_bib_title_lookup_containing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries found by an opening line that holds the tag.  A file per twenty
+    parts with keys ``k0`` to ``k19``: ``k1`` stands in eleven lines, ``k1,`` in
+    one."""
+    p = read(spark, sf_dir, "part")
+    div, text = "p_partkey div 20", "STRING"
+    e = spark.sql(_KEYED_SQL.format(div=div, text=text) + "{p}", p=p)
+    entry = F.concat(F.lit("@book{"), F.col("k"), F.lit(",\n  title = {"), F.col("p_name"), F.lit("},\n}\n"))
+    files = e.groupBy("paper_id").agg(F.array_join(F.array_sort(F.collect_list(entry)), "").alias("content"))
+    cites = e.select("p_partkey", "paper_id", F.expr(_CITED_SQL).alias("tag"))
+    found = bib_title_lookup(files, cites, "tag", containing=True)
+    return cites.join(found, ["paper_id", "tag"], "left").select("p_partkey", "title")
+
+
 # ------------------------------------------------------------ RT-TITLE
 _CAND_TITLE_SQL = ("CASE p_partkey % 3 WHEN 0 THEN concat(p_name, ' ', p_type) WHEN 1 THEN p_name "
                    "ELSE concat(p_name, ' ', p_type, ' ', p_type) END")
@@ -380,10 +406,8 @@ def q_link_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("title"), F.lit(" ref"), F.col("l_partkey").cast("string"))))
     matched = title_match(recs, cands)
     keyed = matched.withColumn("paper_id", F.concat(F.lit("2301."), F.col("paper_id")))
-    out = link_columns(keyed.drop("arxiv_id", "f1"),
-                       keyed.select("paper_id", "l_partkey", "arxiv_id"),
-                       ["paper_id", "l_partkey"], "/sources")
-    return out.select("l_suppkey", "l_partkey", "dataset_link").distinct()
+    # a citation is one row, and so is its link
+    return link_columns(keyed, None, [], "/sources").select("l_suppkey", "l_partkey", "dataset_link")
 
 
 def _clean_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -403,6 +427,33 @@ def q_classify_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return traces.relevant_tables(_clean_papers(spark, sf_dir)).select("paper_id", "table_index")
 
 
+@register("classify_table_keywords", """
+SELECT concat('t', CAST(o_orderkey AS VARCHAR)) AS paper_id, i AS table_index
+FROM orders, (SELECT unnest([0, 1]) AS i)
+WHERE (o_orderkey + i) % 3 <> 0 AND (o_orderkey + i) % 4 > 1
+""")
+def q_classify_table_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule form with the keyword test: two tables an order, which name a
+    keyword (or a longer word that begins with one) and hold a numeric cell (or
+    a number in the caption alone) in all four ways."""
+    from ..constants import KEYWORDS
+    from . import traces
+
+    def table(i: int):
+        k = F.col("o_orderkey") + i
+        caption = F.concat(F.when(k % 3 == 0, F.lit("RLHFish 7")).otherwise(F.lit("RLHF")), F.lit(" runs"))
+        cell = F.when(k % 4 > 1, F.concat(F.lit("\\textbf{"), F.col("o_custkey").cast("string"), F.lit("}")))
+        return F.struct(F.concat(
+            F.lit("\\begin{table}\n\\caption{"), caption, F.lit("}\n\\begin{tabular}{ll}\nname & value \\\\\n"),
+            F.col("o_orderstatus"), F.lit(" & "), F.coalesce(cell, F.lit("open")),
+            F.lit(" \\\\\n\\end{tabular}\n\\end{table}")).alias("latex"))
+
+    papers = read(spark, sf_dir, "orders").select(
+        F.concat(F.lit("t"), F.col("o_orderkey").cast("string")).alias("paper_id"),
+        F.array(table(0), table(1)).alias("tables"))
+    return traces.relevant_tables(papers, keywords=KEYWORDS).select("paper_id", "table_index")
+
+
 _EXTRACTED_SQL = """SELECT concat('o', CAST(l_orderkey AS VARCHAR), 'c0') AS paper_id,
   concat(CAST(l_partkey % 5 + 1 AS VARCHAR), '-o', CAST(l_orderkey AS VARCHAR), '-l',
          CAST(l_linenumber AS VARCHAR)) AS dataset,

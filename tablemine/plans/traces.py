@@ -55,13 +55,16 @@ def papers_from_files(files: DataFrame, keywords: list[str] | None = None) -> Da
 
 # ------------------------------------------------------------------ trace B
 def relevant_tables(papers: DataFrame, model_factory: ModelFactory | None = None,
-                    max_prompt_chars: int | None = None) -> DataFrame:
+                    max_prompt_chars: int | None = None, keywords: list[str] | None = None) -> DataFrame:
     """papers → (paper_id, table_index, table_source).  Rule form: tables
-    with at least one numeric cell; with a model: its answer contains
+    with at least one numeric cell, and with ``keywords`` those that name one
+    of them as well; with a model: its answer contains
     "true" (the model sees the whole table unless ``max_prompt_chars`` is
     given; the original cuts to 10,000 characters)."""
     t = papers_with_tables(papers.withColumn("tables", F.transform("tables", lambda x: x["latex"]))
                            .drop("full_paper_latex_code", "keywords"))
+    if keywords is not None:  # the cheaper test first
+        t = keyword_filter(t, "table_source", keywords, "_keywords").drop("_keywords")
     if model_factory is None:
         return t.filter(has_numeric_cell("table_source"))
     prompt = render_prompt(TABLE_TEMPLATE, {"table": F.col("table_source")})

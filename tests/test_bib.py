@@ -19,6 +19,36 @@ def test_bib_lookup(spark):
     assert got == {"alpha": "Alpha {Set}", "dup": None, "far": "Too far", "next": None, "none": None}
 
 
+def test_bib_lookup_by_a_line_that_holds_the_tag(spark):
+    import random
+    rnd = random.Random(7)
+    heads, bibs, tags = {}, [], []
+    for paper in ("p", "q", "none"):
+        keys = ["".join(rnd.choice("ab1") for _ in range(rnd.randint(1, 5))) for _ in range(12)]
+        heads[paper] = [(f"  @misc{{{k}, x = {{é}}", f"T{n}") for n, k in enumerate(keys)] if paper != "none" else []
+        bibs += [(paper, "".join(f"{h},\n  title = {{{t}}},\n}}\n" for h, t in heads[paper]))]
+        tags += [(paper, t) for t in {*keys, "a", "b1a", "é", "misc", "", "x" * 60, "@misc{a"}] + [(paper, None)]
+    files = spark.createDataFrame(bibs, "paper_id string, content string")
+    cites = spark.createDataFrame(tags, "paper_id string, tag string")
+    got = {(r.paper_id, r.tag): r.title for r in bib_title_lookup(files, cites, "tag", containing=True).collect()}
+    want = {}
+    for paper, tag in tags:
+        held = [t for h, t in heads[paper] if tag is not None and tag in h + ","]
+        want[paper, tag] = held[0] if len(held) == 1 else None
+    assert got == want and any(want.values())
+
+
+def test_links_with_and_without_a_table_of_matches(spark):
+    from tablemine.operators.bib import link_columns
+    recs = spark.createDataFrame([(1, "2301.00001", "2401.7"), (2, "2301.00002", None), (3, "x", "2401.8")],
+                                 "id int, paper_id string, arxiv_id string")
+    own = link_columns(recs, None, [], "/s/").collect()
+    joined = link_columns(recs.drop("arxiv_id"), recs.select("id", "arxiv_id"), ["id"], "/s/").collect()
+    assert sorted(own) == sorted(joined)
+    assert {r.id: (r.dataset_link, r.external_source_path) for r in own} == {
+        1: ("2401.7", "/s/2401.7"), 2: ("", ""), 3: ("", "")}
+
+
 def _macro_f1(a, b):
     ca, cb = Counter(a), Counter(b)
     vocab = set(ca) | set(cb)
