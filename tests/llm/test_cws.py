@@ -4,8 +4,10 @@ import collections
 import hashlib
 import math
 import random
+import struct
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from brute import words
@@ -35,6 +37,41 @@ def test_collisions_estimate_similarity(spark):
     assert math.sqrt(sum(x * x for x in off) / len(off)) < 1.3 * 0.5 / math.sqrt(W.SAMPLES)
 
 
+def _hash(first, *more):
+    h = xxhash.xxh64_intdigest(first, 42)
+    for part in more:
+        h = xxhash.xxh64_intdigest(part, h)
+    return h
+
+
+def _plain(text, samples):
+    """The samples of a text, one word and one number after the other."""
+    out = []
+    counts = collections.Counter(words(text))
+    for k in range(samples):
+        bids = []
+        for word, n in counts.items():
+            w = struct.pack("<Q", _hash(word.encode()))
+            a, b = (_hash(w, struct.pack("<i", 2 * k + i)) for i in (0, 1))
+            u = lambda bits, shift, width: ((bits >> shift) % (1 << width) + 0.5) / (1 << width)
+            r, beta = -math.log(u(a, 40, 24) * u(a, 16, 24)), u(b, 40, 24)
+            c = -math.log(u(b, 20, 20) * u(b, 0, 20))
+            t = math.floor(math.log(n) / r + beta)
+            value = math.log(c) - r * (t - beta) - r
+            bids.append((value, _hash(w, struct.pack("<q", t), struct.pack("<i", k)) % (1 << 31)))
+        out.append(f"{min(bids)[1]:08x}")
+    return "".join(out)
+
+
+def test_fingerprints_equal_plain_ones(spark):
+    r = random.Random(4)
+    texts = [" ".join(r.choice(["é", "word", "a", "\U0001f600", f"w{r.randint(0, 400)}"]) for _ in range(r.choice((1, 3, 40, 300))))
+             for _ in range(60)] + ["\t one\n one ", "x " * 5000]
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, text string")
+    got = {x.i: x.fingerprint for x in W.fingerprints(df, ["i"]).collect()}
+    assert got == {i: _plain(t, W.SAMPLES) for i, t in enumerate(texts)}
+
+
 @pytest.mark.parametrize("ids", [[0], [5, 3], list(range(0, 2000, 2)), [i ** 5 for i in range(900)], [None, 1, 2], [1 << 62, -(1 << 62), 0]])
 def test_next_rows(spark, monkeypatch, ids):
     monkeypatch.setattr(W, "RANGE_DOCS", 7)

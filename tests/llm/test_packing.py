@@ -33,6 +33,52 @@ def test_plan_uses_all_and_fits():
     assert K.best_two_fit({}) == []
 
 
+def _one_bin(pieces, capacity):
+    """The next bin of plain best-two-fit over single pieces."""
+    left = sorted(pieces, reverse=True)
+    taken, gap = [], capacity
+    for n in list(left):
+        if n <= gap:
+            taken.append(n)
+            left.remove(n)
+            gap -= n
+    if gap:
+        small = min(taken)
+        room, best = gap + small, (small, None)
+        free = sorted([*left, small])
+        for i, a in enumerate(free):
+            for b in free[:i]:
+                if best[0] < a + b <= room:
+                    best = (a + b, (a, b))
+        if best[1]:
+            taken.remove(small)
+            taken += best[1]
+    return taken
+
+
+def test_each_pattern_is_the_plain_next_bin():
+    r = random.Random(8)
+    for _ in range(60):
+        capacity = r.choice((10, 30, 100))
+        pieces = [r.randint(1, r.choice((capacity, max(1, capacity // 3)))) for _ in range(r.choice((1, 12, 60)))]
+        rest = Counter(pieces)
+        plain_bins, plain_rest = 0, Counter(pieces)
+        while plain_rest:
+            plain_rest -= Counter(_one_bin(plain_rest.elements(), capacity))
+            plain_bins += 1
+        plan = K.best_two_fit(dict(rest), capacity)
+        for times, content in plan:
+            # two pairs may fill a bin alike
+            plain = _one_bin(rest.elements(), capacity)
+            assert sum(plain) == sum(n * k for n, k in content)
+            for n, k in content:
+                rest[n] -= k * times
+            rest = +rest
+        assert not rest
+        # a pattern is used again while its pieces last
+        assert abs(sum(times for times, _ in plan) - plain_bins) <= 1
+
+
 def test_two_replace_the_smallest():
     # greedy: 6 + 3 leaves 1; 2 + 2 in place of 3 fill the bin
     assert _bins(K.best_two_fit({6: 1, 3: 1, 2: 2}, 10))[0] == [6, 2, 2]

@@ -4,6 +4,8 @@ import random
 import zlib
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from tablemine.llm import ring as R
 
 
@@ -51,6 +53,37 @@ def test_overflow_walks_clockwise():
     assert order == list(dict.fromkeys(walk))
 
 
+def _walk(keyed, shards):
+    """Place and slot of every key, one after the other, by the plain ring:
+    ``keyed`` is (cell, key) in the ring's order."""
+    ring = R.virtual_nodes(shards)
+    room = [len(keyed) // shards + (s < len(keyed) % shards) for s in range(shards)]
+    got, waiting, used = {}, [], [0] * shards
+    for cell, key in keyed:
+        home = next((i for i, (c, _) in enumerate(ring) if c >= cell), 0)
+        s = ring[home][1]
+        if used[s] < room[s]:
+            got[key] = (s, used[s])
+            used[s] += 1
+        else:
+            waiting.append((key, home))
+    for key, home in waiting:
+        while used[ring[home][1]] >= room[ring[home][1]]:
+            home = (home + 1) % len(ring)
+        s = ring[home][1]
+        got[key] = (s, used[s])
+        used[s] += 1
+    return got
+
+
+def test_every_key_against_a_plain_walk(spark):
+    for shards, n in ((1, 50), (3, 400), (16, 3001)):
+        df = spark.createDataFrame([(i * 31 - 500, i % 9) for i in range(n)], "doc_id long, size long")
+        spots = sorted((r.h % R.CELLS, r.h, r.doc_id) for r in df.select("doc_id", F.xxhash64("doc_id").alias("h")).collect())
+        got = {r.doc_id: (r.shard, r.slot) for r in R.assign(df, ["doc_id"], shards).collect()}
+        assert got == _walk([(cell, key) for cell, _, key in spots], shards)
+
+
 def test_one_more_shard_moves_little(spark):
     rows = [(i, 1, "x") for i in range(6000)]
     before = {d: s for d, _, s, _ in _assigned(spark, rows, 16)}
