@@ -200,10 +200,16 @@ def q_command_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("tables_by_numeric_content", r"""
-SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'without' WHEN 1 THEN 'without' ELSE 'with' END AS numeric_cells FROM orders
+SELECT l_orderkey, CAST(sum(n_without) AS INTEGER) AS n_without_numeric, CAST(sum(n_with) AS INTEGER) AS n_with_numeric
+FROM (SELECT DISTINCT l_orderkey, 0 AS n_without, 1 AS n_with FROM lineitem
+      UNION ALL
+      SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 1 WHEN 1 THEN 1 ELSE 0 END,
+             CASE o_orderkey % 4 WHEN 0 THEN 0 WHEN 1 THEN 0 ELSE 1 END FROM orders)
+GROUP BY l_orderkey
 """)
 def q_tables_by_numeric_content(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Both selections, over a table per order: of words (0), of words and a
+    """Both selections, counted by order, over the tables of all line items
+    (numbers in each) and one more table an order: of words (0), of words and a
     caption number outside the cells (1), with a marked number (2), plain (3)."""
     from ..operators.cells import tables_by_numeric_content
     k = F.col("o_orderkey") % 4
@@ -212,9 +218,12 @@ def q_tables_by_numeric_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = F.when(k == 1, F.col("o_custkey").cast("string")).otherwise(F.lit("none"))
     table = F.concat(F.lit("\\begin{table}\n\\caption{No "), number, F.lit("}\n\\begin{tabular}{ll}\nname & value \\\\\n"),
                      F.col("o_orderstatus"), F.lit(" & "), cell, F.lit(" \\\\\n\\end{tabular}\n\\end{table}"))
-    t = read(spark, sf_dir, "orders").select("o_orderkey", table.alias("table_source"))
-    return (tables_by_numeric_content(t).select("o_orderkey", F.lit("without").alias("numeric_cells"))
-            .unionByName(tables_by_numeric_content(t, keep_numeric=True).select("o_orderkey", F.lit("with").alias("numeric_cells"))))
+    one = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), table.alias("table_source"))
+    t = order_tables(spark, sf_dir).select("l_orderkey", "table_source").unionByName(one)
+    found = (tables_by_numeric_content(t).select("l_orderkey", F.lit(False).alias("numeric"))
+             .unionByName(tables_by_numeric_content(t, keep_numeric=True).select("l_orderkey", F.lit(True).alias("numeric"))))
+    return found.groupBy("l_orderkey").agg(F.count_if(~F.col("numeric")).cast("int").alias("n_without_numeric"),
+                                           F.count_if("numeric").cast("int").alias("n_with_numeric"))
 
 
 @register("nearest_label_after", r"""
