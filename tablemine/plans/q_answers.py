@@ -50,7 +50,7 @@ def order_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
                                   rec.alias("line")),
                         "l_orderkey", ["l_linenumber", "l_partkey", "l_suppkey"])
     g = li.groupBy("l_orderkey", "chunk").agg(
-        F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "line")))
+        F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "line")))
         .alias("rows"))
     k = F.col("l_orderkey")
     lines = F.array_join(F.transform("rows", lambda r: r["line"]), "\n")

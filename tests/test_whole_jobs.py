@@ -23,3 +23,35 @@ def test_tables_by_numeric_content_reads_line_items(spark):
     got = {r.l_orderkey: (r.n_without_numeric, r.n_with_numeric)
            for r in E.queries()["tables_by_numeric_content"](spark, at).collect()}
     assert got == {1: (1, 1), 2: (0, 2), 3: (0, 2), 4: (1, 1), 5: (0, 1), 6: (0, 1), 7: (0, 1), 8: (0, 1)}
+
+
+def test_tree_stands_on_disk_in_parts(spark, monkeypatch):
+    import os
+
+    from tablemine.plans import q_sources
+    from tablemine.sources import files
+    at = folder(spark, orders=(ORDERS, [(k, k % 9, "O", "1-URGENT", 9.5) for k in range(60)]))
+    monkeypatch.setattr(q_sources, "TREE_FILES", 20, raising=False)
+    seen, scan = [], files.scan_paper_tree
+
+    def counted(spark, root, *args):
+        seen.append((root, sum(len(found) for _, _, found in os.walk(root.removeprefix("file:")))))
+        return scan(spark, root, *args)
+    monkeypatch.setattr(files, "scan_paper_tree", counted)
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    rows = {r.paper_id: (r.year, r.n_files, r.n_nested) for r in E.queries()["scan_paper_tree"](spark, at).collect()}
+    want = {c: [k for k in range(60) if k % 9 == c] for c in range(9)}
+    assert rows == {f"c{c}-0": ("arxiv_src_2023" if c % 2 == 0 else "arxiv_src_2024",
+                                sum(k % 6 < 4 for k in ks) + 2 + (c % 5 == 0), sum(k % 6 == 2 for k in ks)) for c, ks in want.items()}
+    assert sum(n for _, n in seen) == sum(n for _, n, _ in rows.values()) and max(n for _, n in seen) < 40
+    assert not any(os.path.exists(root.removeprefix("file:")) for root, _ in seen)
+    assert spark.conf.get("spark.sql.files.openCostInBytes") == before
+
+
+def test_costly_columns_are_made_once(spark):
+    """No filter that Spark infers makes blocks or records a second time."""
+    at = folder(spark, lineitem=(LINES + ", l_returnflag string", [(k, 10 + k, 3, 1, 2.5, "A") for k in range(1, 9)]))
+    for name, call in (("numeric_cells", "regexp_extract_all"), ("flatten_records", "from_json")):
+        plan = E.queries()[name](spark, at)._jdf.queryExecution().optimizedPlan()
+        filters = [str(n) for n in (plan.p(i) for i in range(200)) if n is not None and n.nodeName() == "Filter"]
+        assert filters and not any(call in f for f in filters)
