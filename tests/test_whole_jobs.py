@@ -55,3 +55,19 @@ def test_costly_columns_are_made_once(spark):
         plan = E.queries()[name](spark, at)._jdf.queryExecution().optimizedPlan()
         filters = [str(n) for n in (plan.p(i) for i in range(200)) if n is not None and n.nodeName() == "Filter"]
         assert filters and not any(call in f for f in filters)
+
+
+def test_archives_are_written_in_a_stream(spark):
+    import os
+    import tarfile
+
+    from tablemine.plans.render import write_archives
+    at = tempfile.mkdtemp()
+    rows = [(f"c{k}-0", name, text) for k in range(5) for name, text in (("main.tex", f"é{k}"), ("sec/a.tex", None), ("a.tex", "y"), ("a.tex", "x"))]
+    done = write_archives(spark.createDataFrame(rows, "paper_id string, rel_path string, content string"), at)
+    assert "FlatMapGroups" not in done._jdf.queryExecution().executedPlan().toString()
+    sizes = {r.paper_id: r.bytes for r in done.collect()}
+    assert sizes == {f"c{k}-0": os.path.getsize(f"{at}/c{k}-0.tar.gz") for k in range(5)}
+    with tarfile.open(f"{at}/c3-0.tar.gz") as tar:
+        assert [(m.name, tar.extractfile(m).read()) for m in tar] == [
+            ("a.tex", b"x"), ("a.tex", b"y"), ("main.tex", "é3".encode()), ("sec/a.tex", b"")]
