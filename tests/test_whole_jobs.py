@@ -2,6 +2,8 @@
 
 import tempfile
 
+from pyspark.sql import functions as F
+
 import __spark_entry__ as E
 
 
@@ -71,3 +73,34 @@ def test_archives_are_written_in_a_stream(spark):
     with tarfile.open(f"{at}/c3-0.tar.gz") as tar:
         assert [(m.name, tar.extractfile(m).read()) for m in tar] == [
             ("a.tex", b"x"), ("a.tex", b"y"), ("main.tex", "é3".encode()), ("sec/a.tex", b"")]
+
+
+def test_model_column_runs_once_per_row_and_keeps_other_columns_out_of_python(spark):
+    from tablemine.operators.model import apply_model
+    df = spark.range(20).select("id", F.concat(F.lit("p"), F.col("id").cast("string")).alias("p"))
+    calls = spark.sparkContext.accumulator(0)
+
+    def factory():
+        def model(prompts):
+            calls.add(len(prompts))
+            return [None if p == "p3" else p + "!" for p in prompts]
+        return model
+    out = apply_model(df, "p", factory, "a")
+    used = out.filter("a <> 'p4!'").withColumn("b", F.concat("a", "a")).filter("b <> 'p5!p5!'")
+    assert {r.id: r.a for r in used.collect()} == {i: f"p{i}!" for i in range(20) if i not in (3, 4, 5)}
+    assert calls.value == 20
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "MapInPandas" not in plan and "ArrowEvalPython [answer(p" in plan
+
+
+def test_strip_ws_takes_every_unicode_blank_from_the_ends_only(spark):
+    from tablemine.functions.common import count_sub, strip_ws
+    blanks = "\t\n\x0b\x0c\r \x85\xa0      　"
+    rows = [(blanks + "a" + blanks + "b" + blanks,), (blanks,), ("",), (None,), ("​a﻿",)]
+    df = spark.createDataFrame(rows, "v string")
+    got = [r[0] for r in df.select(strip_ws(F.col("v"))).collect()]
+    assert got == ["a" + blanks + "b", "", "", None, "​a﻿"]
+    old = [r[0] for r in df.select(F.regexp_replace("v", r"(?U)^\s+|\s+$", "")).collect()]
+    assert got == old
+    n = spark.createDataFrame([("aaaa",), ("xaax",), ("",), (None,)], "v string").select(count_sub(F.col("v"), "aa")).collect()
+    assert [r[0] for r in n] == [2, 1, 0, None]
