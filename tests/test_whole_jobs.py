@@ -104,3 +104,16 @@ def test_strip_ws_takes_every_unicode_blank_from_the_ends_only(spark):
     assert got == old
     n = spark.createDataFrame([("aaaa",), ("xaax",), ("",), (None,)], "v string").select(count_sub(F.col("v"), "aa")).collect()
     assert [r[0] for r in n] == [2, 1, 0, None]
+
+
+def test_rendered_papers_join_by_paper_without_moving_again(spark):
+    from tablemine.plans.render import lineitem_papers
+    li = spark.range(600).select(
+        (F.col("id") % 40).alias("l_orderkey"), F.col("id").alias("l_partkey"), F.col("id").alias("l_suppkey"),
+        (F.col("id") % 7).cast("int").alias("l_linenumber"), F.lit(3.0).alias("l_quantity"))
+    papers = lineitem_papers(li, noise=False)
+    both = papers.select("paper_id", "l_orderkey").hint("merge").join(papers.select("paper_id", "full_paper_latex_code"), "paper_id")
+    plan = both._jdf.queryExecution().executedPlan().toString()
+    join = plan[plan.index("SortMergeJoin"):]
+    assert "hashpartitioning(paper_id" in join and "hashpartitioning(l_orderkey" not in join.split("BroadcastExchange")[0]
+    assert both.count() == 40
