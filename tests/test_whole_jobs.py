@@ -117,3 +117,48 @@ def test_rendered_papers_join_by_paper_without_moving_again(spark):
     join = plan[plan.index("SortMergeJoin"):]
     assert "hashpartitioning(paper_id" in join and "hashpartitioning(l_orderkey" not in join.split("BroadcastExchange")[0]
     assert both.count() == 40
+
+
+def test_lookup_copies_the_table_for_hot_keys_only(spark):
+    from tablemine.operators.lookup import lookup
+    rows = spark.range(900).select("id", F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id")).alias("k"))
+    rows = rows.unionByName(spark.range(2).select((F.col("id") + 900).alias("id"), F.lit(None).cast("long").alias("k")))
+    table = spark.range(0, 900, 2).select(F.col("id").alias("k"), (F.col("id") * 10).alias("v"))
+    hot = spark.createDataFrame([(0,)], "k long")
+    old, new = lookup(rows, table, "k"), lookup(rows, table, "k", hot=hot)
+    assert new.columns == ["id", "k", "v"]
+    assert sorted(map(str, old.select("id", "k", "v").collect())) == sorted(map(str, new.collect()))
+    assert sorted(map(str, lookup(rows, table, "k", how="inner").select("id", "k", "v").collect())) == sorted(
+        map(str, lookup(rows, table, "k", how="inner", hot=hot).collect()))
+
+
+def test_descriptions_are_made_once_however_often_they_are_read(spark):
+    from tablemine.operators.describe import describe_distinct, fill_failed_descriptions
+    calls = spark.sparkContext.accumulator(0)
+
+    def factory():
+        def model(prompts):
+            calls.add(len(prompts))
+            return ["<FAILED>" if "Dataset: d1\n" in p else "Dataset Summary: x" for p in prompts]
+        return model
+    rows = spark.range(60).select(F.concat(F.lit("d"), (F.col("id") % 6).cast("string")).alias("dataset"),
+                                  F.lit("xx").alias("subset"), F.lit("").alias("dataset_link"),
+                                  F.concat(F.lit("p"), F.col("id").cast("string")).alias("paper_id"))
+    texts = rows.select("paper_id", F.lit("text").alias("text"))
+    out = fill_failed_descriptions(describe_distinct(rows, factory), texts, lambda: lambda ps: ["again"] * len(ps))
+    assert {r.dataset_description for r in out.filter("dataset = 'd1'").collect()} == {"again"}
+    assert out.count() == 60 and calls.value == 6
+
+
+def test_assembly_reads_the_files_once_and_files_without_a_paper_see_no_tree(spark):
+    from tablemine.operators.assembly import assemble_papers
+    main = "\\begin{document}\n\\input{a}\n\\end{document}\n"
+    files = spark.createDataFrame(
+        [("p", "main.tex", main), ("p", "a.tex", "body"), ("p", "sec/a.tex", "other"), ("q", "a.tex", "no main"),
+         (None, "main.tex", main), (None, "a.tex", "body"), ("r", "main.tex", main), ("r", "a.tex", None)],
+        "paper_id string, rel_path string, content string")
+    out = assemble_papers(files)
+    got = {r.paper_id: r.full_paper_latex_code.strip() for r in out.collect()}
+    assert got == {"p": "body", None: "\\input{a}", "r": "\\input{a}"}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") == 1 and "Join" not in plan
