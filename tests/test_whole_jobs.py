@@ -162,3 +162,13 @@ def test_assembly_reads_the_files_once_and_files_without_a_paper_see_no_tree(spa
     assert got == {"p": "body", None: "\\input{a}", "r": "\\input{a}"}
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("LogicalRDD") == 1 and "Join" not in plan
+
+
+def test_written_tables_are_read_by_column(spark):
+    from tablemine.session import written
+    rows = spark.range(50).select("id", F.struct(F.col("id").alias("a"), F.repeat(F.lit("x"), 99).alias("b")).alias("r"))
+    made = written(rows, "rows")
+    assert made.schema.simpleString() == rows.schema.simpleString()
+    assert sorted(map(str, made.collect())) == sorted(map(str, rows.collect()))
+    plan = made.select("r.a")._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<r:struct<a:bigint>>" in plan
