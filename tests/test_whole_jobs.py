@@ -172,3 +172,21 @@ def test_written_tables_are_read_by_column(spark):
     assert sorted(map(str, made.collect())) == sorted(map(str, rows.collect()))
     plan = made.select("r.a")._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<r:struct<a:bigint>>" in plan
+
+
+def test_source_folders_are_rendered_in_one_pass(spark):
+    from tablemine.plans.render import customer_paper_files
+    rows = [(k, k % 7, "O", "1-URGENT" if k % 5 else None, 9.5) for k in range(40)]
+    rows += [(3, 3, "F", "2-HIGH", 1.0), (None, 2, "O", "x", 1.0), (99, None, "O", "x", 1.0)]
+    files = customer_paper_files(spark.createDataFrame(rows, ORDERS))
+    assert files.columns == ["paper_id", "o_custkey", "chunk", "rel_path", "content"]
+    assert "Union" not in files._jdf.queryExecution().optimizedPlan().toString()
+    got = [(r.paper_id, r.rel_path) for r in files.collect()]
+    want = [(f"c{c}-0", name) for c in range(7) for name in ("main.tex", "notes.tex", *["alt.tex"] * (c % 5 == 0))]
+    want += [(f"c{c}-0", f"{'sec/' if k % 6 == 2 else ''}o{k}.tex") for k, c, *_ in rows if None not in (k, c) and k % 6 < 4]
+    assert sorted(got) == sorted(want)
+    main = {r.paper_id: r.content for r in files.filter("rel_path = 'main.tex'").collect()}
+    assert main["c3-0"].split("\n")[6:-3] == [r"\input{other/o3}", r"\input{other/o3}", r"\input{o10.bbl}", r"\input{missing17}",
+                                             r"\input{o24}", r"\input{o31.tex}", r"\input{sec/o38}"]
+    text = {r.rel_path: r.content for r in files.filter("o_custkey = 0").collect()}
+    assert text["o7.tex"] == "Order 7: O 1-URGENT by \\cust{}.\n" and text["o0.tex"] is None
