@@ -1,8 +1,10 @@
 """Downloaded source archives (``<paper id>.tar.gz``) as a table.
 
 ``paper_archives`` is a data source with partitions of its own: the driver
-lists the folder (names and sizes only), archives are dealt over partitions by
-size, and each task streams its archives member by member.  Nothing is
+walks the folder and adds up sizes by class (a hash of the path), classes are
+dealt over partitions by size, and each task walks the folder too and streams
+the archives of its classes member by member.  However many archives there are,
+the driver holds ``CLASSES`` sums and no name.  Nothing is
 unpacked to disk, so no member can be written outside a folder; members whose
 path would leave theirs, links, and archives that cannot be read become rows
 that say so.  Folders are named by path or URI (``pyarrow.fs``: local, HDFS,
@@ -11,6 +13,7 @@ S3, ...) and have to be reachable from all executors.
 
 from __future__ import annotations
 
+import os
 import posixpath
 import tarfile
 import zlib
@@ -24,19 +27,50 @@ SUFFIX = ".tar.gz"
 #: Members that are read; others are passed over in the stream.
 SUFFIXES = ".tex,_tex,.bib"
 SCHEMA = "paper_id string, rel_path string, content binary, error string"
+#: Classes into which archives fall by a hash of their path.
+CLASSES = 1 << 16
 
 
 class Archives(InputPartition):
-    def __init__(self, paths: list[str]) -> None:
-        self.paths = paths
-
-
-def dealt(sizes: list[tuple[int, str]], parts: int) -> list[list[str]]:
-    """Paths in ``parts`` lists of nearly equal size, the largest first into
+    """The archives of some classes; so many stood there when they were dealt."""
+
+    def __init__(self, classes: list[int], count: int) -> None:
+        self.classes, self.count = classes, count
+
+
+def class_of(path: str) -> int:
+    return zlib.crc32(os.fsencode(path)) % CLASSES
+
+
+def listed(files, base: str, sized: bool) -> Iterator[tuple[str, int]]:
+    """(path, size) of the archives under ``base``; the size is 0 unless
+    ``sized``.  A local folder is read entry by entry, of another store one
+    folder's entries are held at a time."""
+    from pyarrow import fs
+    local, folders = isinstance(files, fs.LocalFileSystem), [base]
+    while folders:
+        folder = folders.pop()
+        if local:
+            with os.scandir(folder) as entries:
+                for e in entries:
+                    if e.is_dir():
+                        folders.append(e.path)
+                    elif e.name.endswith(SUFFIX) and e.is_file():
+                        yield e.path, e.stat().st_size if sized else 0
+        else:
+            for f in files.get_file_info(fs.FileSelector(folder)):
+                if f.type == fs.FileType.Directory:
+                    folders.append(f.path)
+                elif f.is_file and f.path.endswith(SUFFIX):
+                    yield f.path, f.size or 0
+
+
+def dealt[T](sizes: list[tuple[int, T]], parts: int) -> list[list[T]]:
+    """Items in ``parts`` lists of nearly equal size, the largest first into
     the list that holds least."""
     import heapq
     heap = [(0, k) for k in range(parts)]
-    out: list[list[str]] = [[] for _ in range(parts)]
+    out: list[list[T]] = [[] for _ in range(parts)]
     for size, path in sorted(sizes, reverse=True):
         held, k = heapq.heappop(heap)
         out[k].append(path)
@@ -78,18 +112,28 @@ class ArchiveReader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         from pyarrow import fs
         files, base = fs.FileSystem.from_uri(self.root)
-        found = files.get_file_info(fs.FileSelector(base, recursive=True))
-        sizes = [(f.size or 0, f.path) for f in found if f.is_file and f.path.endswith(SUFFIX)]
+        sizes, counts = [0] * CLASSES, [0] * CLASSES
+        for path, size in listed(files, base, sized=True):
+            k = class_of(path)
+            sizes[k] += size
+            counts[k] += 1
+        held = dealt([(sizes[k], k) for k in range(CLASSES) if counts[k]], self.parts)
         # an empty folder still needs one partition
-        return [Archives(p) for p in dealt(sizes, self.parts)] or [Archives([])]
+        return [Archives(p, sum(counts[k] for k in p)) for p in held] or [Archives([], 0)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         from pyarrow import fs
-        files, _ = fs.FileSystem.from_uri(self.root)
-        for path in partition.paths:
+        files, base = fs.FileSystem.from_uri(self.root)
+        mine, left = set(partition.classes), partition.count
+        for path, _ in listed(files, base, sized=False) if mine else ():
+            if class_of(path) not in mine:
+                continue
+            left -= 1
             name = path.rsplit("/", 1)[-1][:-len(SUFFIX)]
             with files.open_input_stream(path, compression=None) as stream:
                 yield from members(name, stream, self.suffixes)
+        if left > 0:
+            raise FileNotFoundError(f"{left} archives went from {self.root} while it was read")
 
 
 class PaperArchives(DataSource):

@@ -57,3 +57,26 @@ def test_paths_and_deal():
     assert [inside(x) for x in ("a/b.tex", "./a", "..", ".", "C:\\x.tex", "a\\..\\..\\x")] == ["a/b.tex", "a", None, None, None, None]
     parts = dealt([(100, "big"), *((10, f"s{k}") for k in range(10))], 2)
     assert sorted(map(len, parts)) == [1, 10]
+
+
+def test_partitions_hold_no_names(tmp_path):
+    import pickle
+    import random
+
+    import pytest
+
+    from tablemine.sources.archives import ArchiveReader
+    (tmp_path / "deep" / "er").mkdir(parents=True)
+    sizes = random.Random(1)
+    for k in range(400):
+        _archive(tmp_path / ("deep/er" if k % 3 else "") / f"name{k}.tar.gz", [("a.tex", sizes.randbytes(sizes.randrange(3000)))])
+    reader = ArchiveReader({"path": str(tmp_path), "partitions": "4"})
+    parts = reader.partitions()
+    assert len(parts) == 4 and not any(b"name" in pickle.dumps(p) for p in parts)
+    read = [list(reader.read(p)) for p in parts]
+    assert sorted(row[0] for rows in read for row in rows) == sorted(f"name{k}" for k in range(400))
+    held = [sum(len(row[2]) for row in rows) for rows in read]
+    assert max(held) < 1.1 * min(held)
+    (tmp_path / "name0.tar.gz").unlink()
+    with pytest.raises(FileNotFoundError):
+        [list(reader.read(p)) for p in parts]
