@@ -169,3 +169,35 @@ def test_common_token_is_no_hot_key(spark):
     assert met.count() == 9_000 * 30 + 1
     blocks = w.groupBy("key").count().filter("key = 's-hot'").first()["count"] / B.KEY_BLOCK
     assert blocks > 4
+
+
+def test_wanted_titles_are_cut_once_and_looked_up_by_text(spark):
+    rows = [(k, f"{{Alpha}} set {k % 3}x") for k in range(9)] + [(9, None), (10, ""), (11, "alpha SET 1x"), (12, "none")]
+    wanted = spark.createDataFrame(rows, "id int, title string")
+    cands = spark.createDataFrame([(f"http://arxiv.org/abs/2401.0000{k}v1", f"Set {k}x alpha") for k in (0, 1)], "arxiv_url string, title string")
+    out = title_match(wanted, cands)
+    assert out.columns == ["id", "title", "arxiv_id", "f1"]
+    got = {r.id: r.arxiv_id for r in out.collect()}
+    assert got == {k: f"2401.0000{n}" if n < 2 else None for k in range(9) for n in [k % 3]} | {9: None, 10: None, 11: "2401.00001", 12: None}
+    assert "regexp_extract_all" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_citations_are_made_once_and_parts_travel_without_their_entries(spark):
+    import tempfile
+
+    from tablemine.plans.q_entities import supplier_bib_files
+    at = tempfile.mkdtemp()
+    pairs = [(s, p) for s in (1, 2) for p in (5, 7, 9, 9, 12)] + [(None, 5), (3, None)]
+    spark.createDataFrame(pairs, "l_suppkey long, l_partkey long").write.parquet(f"{at}/lineitem.parquet")
+    parts = [(5, "red nut", "BIG"), (7, "a", "b"), (9, "dup", "SMALL"), (12, None, "c")]
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_type string").write.parquet(f"{at}/part.parquet")
+    files, cites = supplier_bib_files(spark, at)
+    assert "Exchange" not in cites._jdf.queryExecution().executedPlan().toString()
+    assert "booktitle" not in files._jdf.queryExecution().executedPlan().toString()  # in no partial result
+    assert {(r.paper_id, r.l_partkey, r.dataset_citation_tag) for r in cites.collect() if r.l_partkey} == {
+        (f"s{s}-0", p, f"ref{p:06d}") for s in (1, 2) for p in (5, 7, 9, 12)}
+
+    def entry(s, p, title):
+        return f"% part {p}\n@article{{ref{p:06d},\n  booktitle = {{Proceedings of S{s}}},\n  title = {{{title}}},\n  year = {{2024}}\n}}\n"
+    assert {r.paper_id: r.content for r in files.collect()} == {
+        f"s{s}-0": entry(s, 5, "red nut BIG") + 2 * entry(s, 9, "dup SMALL") for s in (1, 2)}
